@@ -48,19 +48,31 @@ def notice_bigrams(notice: str) -> list[str]:
     return list(dict.fromkeys(f"{x} {y}" for x, y in zip(words, words[1:], strict=False)))
 
 
-def necessary_words(grams: list[str], least: int = LEAST) -> list[str]:
-    """Words of a template one of which any matching unit holds: a match shares least / (200 - least) of the template's
-    bigrams, so it has one of any words that lie in more than the rest. Long words first, as they are rare."""
+def necessary(grams: list[str], least: int = LEAST) -> list[str]:
+    """Words and bigrams of a template one of which any matching unit holds: a match shares least / (200 - least) of the
+    template's bigrams, so it has one of any set that covers more than the rest. Words of four letters or more first, the
+    longest before others, as they are rare; then single bigrams."""
+    words = sorted({w for g in grams for w in g.split() if len(w) > 3}, key=lambda w: (-len(w), w))
     found: list[str] = []
     covered: set[str] = set()
-    for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
+    for part in words + sorted(grams, key=lambda g: (-len(g), g)):
         if (len(grams) - len(covered)) * (200 - least) < len(grams) * least:
             break
-        found.append(word)
-        covered |= {g for g in grams if word in g.split()}
+        new = {part} if " " in part else {g for g in grams if part in g.split()}
+        if new - covered:
+            found.append(part)
+            covered |= new
     return found
 
 
+def may_hold(text: Column, parts: list[str]) -> Column:
+    """Whether a text in lower case holds one of some words or bigrams, by substring; parts that hold others are left out."""
+    words = {x for x in parts if " " not in x}
+    tests = [F.contains(text, F.lit(w)) for w in sorted(words) if not any(x in w and x != w for x in words)]
+    tests += [text.rlike(x.replace(" ", "[^a-z0-9]+")) for x in sorted(set(parts) - words) if not any(w in x for w in words)]
+    return reduce(lambda x, y: x | y, tests, F.lit(False))
+
+
 def licence_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and licence that a unit of it matches best: doc_id, licence, n_units, best_overlap,
     best_total and dice (2 * best_overlap / best_total). Units are the lines of a text and, if it has several, the whole.
@@ -81,9 +93,7 @@ def licence_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = N
     low, high = min((n * least / (200 - least) for n in sizes), default=1), max((n * (200 - least) / least for n in sizes), default=0)
     index = spark.createDataFrame([(k, licence, len(grams), g) for k, (licence, grams) in enumerate(listed) for g in grams], "template int, licence string, b int, gram string")
     text = whole_text("text")
-    needed = sorted({w for _, grams in listed for w in necessary_words(grams, least)}, key=lambda w: (len(w), w))
-    needed = [w for w in needed if not any(x in w and x != w for x in needed)]  # a word is found by any part of it
-    may = reduce(lambda x, y: x | y, (F.contains(F.lower("text"), F.lit(w)) for w in needed), F.lit(False))
+    may = may_hold(F.lower("text"), [x for _, grams in listed for x in necessary(grams, least)])
     kept = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).filter(may)
     units = kept.select("doc_id", F.explode(F.when(F.contains(text, F.lit("\n")), F.concat(F.split(text, "\n"), F.array(text))).otherwise(F.array(text))).alias("unit"))
     sized = units.select("doc_id", normal_words(F.col("unit")).alias("words")).filter(F.size("words") > 1)
