@@ -36,7 +36,6 @@ GROUP = 4096
 ROUNDS = 2
 #: Bits of the filter of nodes that have a candidate, broadcast (4 MB).
 NODE_BITS = 1 << 25
-MEMO_WORDS = 1_000_000
 
 _FACTORS = np.random.default_rng(1).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -48,31 +47,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Sets of hashed n-grams of texts; the memo of word hashes lives as long as the task."""
-
-    def __init__(self, size: int = SIZE):
-        self.size, self.memo = size, {}
-
-    def sets(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        """Each text's distinct n-grams, ascending; the whole sequence where it has fewer words; empty without words."""
-        memo, size = self.memo, self.size
-        for text in texts:
-            words = text.lower().split()
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            for w in set(words).difference(memo):
-                memo[w] = xxhash.xxh64_intdigest(w)
-            h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-            n = min(size, len(h))
-            if not n:
-                yield h
-                continue
-            with np.errstate(over="ignore"):
-                total = np.full(len(h) - n + 1, n, np.uint64)
-                for k in range(n):
-                    total += h[k : len(h) - n + 1 + k] * _FACTORS[k]
-            yield np.unique(_mix(total))
+def gram_sets(texts: list[bytes], size: int = SIZE) -> Iterator[np.ndarray]:
+    """Each text's distinct hashed n-grams, ascending; the whole sequence where it has fewer words; empty without words."""
+    for text in texts:
+        words = text.lower().split()
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        n = min(size, len(h))
+        if not n:
+            yield h
+            continue
+        with np.errstate(over="ignore"):
+            total = np.full(len(h) - n + 1, n, np.uint64)
+            for k in range(n):
+                total += h[k : len(h) - n + 1 + k] * _FACTORS[k]
+        total = np.sort(_mix(total))
+        first = np.ones(len(total), bool)
+        np.not_equal(total[1:], total[:-1], out=first[1:])
+        yield total[first]
 
 
 def digest(grams: np.ndarray) -> int:
@@ -123,29 +114,41 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def _frequent(docs: DataFrame, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams that occur at least twice in some task's rows and, by the sum of those, in `least` documents."""
+def _first_pass(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, node, n_shingles) of every row, and (gram, n) of n-grams that occur at least twice in the rows a
+    task counts together."""
+    names = ["doc_id", "node", "n_shingles", "gram", "n"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, held, n = Shingler(size), [], 0
+        held, n = [], 0
 
         def out() -> pa.RecordBatch:
             g, times = np.unique(np.concatenate(held), return_counts=True)
             twice = times > 1
-            return pa.RecordBatch.from_arrays([_signed(g[twice]), pa.array(times[twice], pa.int64())], names=["gram", "n"])
+            k = int(twice.sum())
+            return pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in range(3)), _signed(g[twice]), pa.array(times[twice], pa.int64())], names=names)
 
         for batch in batches:
-            for grams in shingler.sets(text_bytes(batch.column(0))):
+            nodes, sizes = [], []
+            for grams in gram_sets(text_bytes(batch.column(1)), size):
+                nodes.append(digest(grams))
+                sizes.append(len(grams))
                 held.append(grams)
                 n += len(grams)
                 if n >= 16 << 20:
                     yield out()
                     held, n = [], 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(nodes), pa.int64()), pa.nulls(len(nodes), pa.int64())], names=names)
         if held:
             yield out()
 
-    counts = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    counts = written(counts, "frequent-grams")
+    rows = written(docs.mapInArrow(count, "doc_id long, node long, n_shingles long, gram long, n long"), "first-pass")
+    return rows.filter("n is null").select("doc_id", "node", "n_shingles"), rows.filter("n is not null").select("gram", "n")
+
+
+def _frequent(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that, by the sums of those counts, are in `least` documents: the most frequent, up to a bound."""
+    counts = written(counts.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "frequent-grams")
     step = F.floor(F.log2("n") * 4)
     room, lowest = FREQUENT, None
     for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):
@@ -171,7 +174,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    order = spark.sparkContext.broadcast(Order(*_frequent(docs, size, LEAST)))
+    members, counts = _first_pass(docs, size)
+    order = spark.sparkContext.broadcast(Order(*_frequent(counts, LEAST)))
 
     postings = _postings(docs, order, size, similarity, group)
     nodes = _bitmap(postings)
@@ -189,7 +193,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             labels = components(edges)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
-    members = _members(docs, size)
     named = labels.withColumnRenamed("component", "c")
     node_ids = members.groupBy("node").agg(F.min("doc_id").alias("least")).join(named, "node", "left").withColumn("c", F.coalesce("c", "node"))
     least = node_ids.groupBy("c").agg(F.min("least").alias("component_id"))
@@ -203,10 +206,10 @@ def _postings(docs: DataFrame, order, size: int, similarity: int, group: int) ->
     place is the n-gram's position in the node's ordered set. A frequent n-gram is dealt to several salts, else salt is -1."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, done = Shingler(size), set()
+        done = set()
         for batch in batches:
             grams, salts, owners, sizes, lengths = [], [], [], [], []
-            for s in shingler.sets(text_bytes(batch.column(0))):
+            for s in gram_sets(text_bytes(batch.column(0)), size):
                 node = digest(s)
                 if not len(s) or node in done:
                     continue
@@ -226,9 +229,52 @@ def _postings(docs: DataFrame, order, size: int, similarity: int, group: int) ->
                     names=["gram", "salt", "node", "size", "place"],
                 )
 
-    rows = docs.select("text").mapInArrow(prefixes, "gram long, salt int, node long, size int, place int").repartition("gram", "salt").dropDuplicates()
-    shared = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram", "salt"))).filter("n > 1 or salt >= 0").drop("n")
-    return written(shared, "postings")
+    names = ["gram", "salt", "node", "size", "place"]
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From rows in order of gram, salt and node, those that may link: one group of rows at a time is carried over."""
+        held = [np.empty(0, np.int64)] * 5
+        for batch in batches:
+            rows = [np.concatenate([h, np.asarray(batch.column(i)).astype(np.int64)]) for i, h in enumerate(held)]
+            last = len(rows[0])
+            if last:
+                last = int(np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))[-1:].sum() + ((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1])).any())
+            held = [r[last:] for r in rows]
+            yield from out([r[:last] for r in rows])
+        yield from out(held)
+
+    def out(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        kept = [r[may_link(*rows, similarity)] for r in rows]
+        if len(kept[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(k if c in ("gram", "node") else k.astype(np.int32)) for c, k in zip(names, kept, strict=True)], names=names)
+
+    schema = "gram long, salt int, node long, size int, place int"
+    rows = docs.select("text").mapInArrow(prefixes, schema).repartition("gram", "salt").sortWithinPartitions("gram", "salt", "node")
+    return written(rows.mapInArrow(shared, schema), "postings")
+
+
+def may_link(gram: np.ndarray, salt: np.ndarray, node: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: int) -> np.ndarray:
+    """Of whole groups of rows in order of gram, salt and node, the places of those that another node of the group may
+    link with, by size and position: its size lies within the ratio, and the smallest such size leaves room enough behind
+    this row's place. Rows of a dealt n-gram may have partners elsewhere and all stay."""
+    if not len(gram):
+        return np.empty(0, np.int64)
+    new = np.ones(len(gram), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])
+    at = np.flatnonzero(new | np.concatenate([[True], node[1:] != node[:-1]]))
+    group = np.cumsum(new)[at]
+    n, p, dealt = size[at], place[at], salt[at] >= 0
+    order = np.lexsort((n, group))
+    key = (group << 32 | n)[order]
+    low, high = (n * similarity + 99) // 100, n * 100 // similarity
+    first, end = np.searchsorted(key, group << 32 | low), np.searchsorted(key, group << 32 | high, "right")
+    own = np.empty(len(at), np.int64)
+    own[order] = np.arange(len(at))
+    other = np.minimum(np.where(first == own, first + 1, first), len(at) - 1)
+    least = n[order][other]
+    ok = dealt | ((end - first > 1) & ((n - p) * (100 + similarity) >= similarity * (n + least)))
+    left = np.bincount(group[ok], minlength=group[-1] + 1)
+    return at[ok & (dealt | (left[group] > 1))]
 
 
 def _bitmap(postings: DataFrame):
@@ -247,10 +293,10 @@ def _segments(docs: DataFrame, order, nodes, size: int) -> str:
     spark = docs.sparkSession
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, done = Shingler(size), set()
+        done = set()
         for batch in batches:
             owners, parts, segments = [], [], []
-            for s in shingler.sets(text_bytes(batch.column(0))):
+            for s in gram_sets(text_bytes(batch.column(0)), size):
                 node = digest(s)
                 at = node % NODE_BITS
                 if not len(s) or node in done or not nodes.value[at >> 3] >> (at & 7) & 1:
@@ -343,15 +389,3 @@ def _verified(pairs: DataFrame, table: str, similarity: int) -> DataFrame:
         partial = part if partial is None else partial.unionByName(part)
     total = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("overlap").alias("overlap"))
     return total.filter(F.col("overlap") * 100 >= similarity * (F.col("size_a") + F.col("size_b") - F.col("overlap"))).select("a", "b")
-
-
-def _members(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, node, n_shingles) of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size)
-        for batch in batches:
-            sets = [(digest(s), len(s)) for s in shingler.sets(text_bytes(batch.column(1)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d for d, _ in sets], pa.int64()), pa.array([n for _, n in sets], pa.int64())], names=["doc_id", "node", "n_shingles"])
-
-    return written(docs.mapInArrow(run, "doc_id long, node long, n_shingles long"), "members")
