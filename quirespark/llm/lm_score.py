@@ -25,8 +25,9 @@ BITS_PER_ENTRY, PROBES = 10, 4
 #: Counts are kept as 1 + floor(log(count) / log(BASE)).
 BASE, MAX_LEVEL = 1.5, 64
 #: Words whose exact counts are broadcast at most; the exact counts of all others are joined.
-HEAD_WORDS = 1 << 19
-MEMO_WORDS = 1_000_000
+HEAD_WORDS = 1 << 18
+#: Words that a task or a worker remembers at most; then it starts anew.
+MEMO_WORDS = 500_000
 #: N-grams that a task counts at a time.
 CHUNK = 4 << 20
 #: Candidate weights of the unigram distribution, and the training documents they are tried on at most.
@@ -45,8 +46,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
+word_hash = xxhash.xxh64_intdigest
 
 
 def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -176,7 +176,6 @@ def train(docs: DataFrame, text_col: str = "text", head_words: int = HEAD_WORDS,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        memo: dict[bytes, int] = {}
         pairs, held = [], 0
         end = np.uint64(word_hash(END))
         for batch in batches:
@@ -184,13 +183,9 @@ def train(docs: DataFrame, text_col: str = "text", head_words: int = HEAD_WORDS,
                 w = text.lower().split()
                 words.update(w)
                 words[END] += 1
-                for x in set(w).difference(memo):
-                    memo[x] = word_hash(x)
-                h = np.fromiter(map(memo.__getitem__, w), np.uint64, len(w))
+                h = np.fromiter(map(word_hash, w), np.uint64, len(w))
                 pairs.append(pair_hash(np.concatenate([[_START], h]), np.concatenate([h, [end]])))
                 held += len(w) + 1
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
                 if held >= CHUNK:
                     yield _blobs(words, np.concatenate(pairs))
                     words, pairs, held = Counter(), [], 0
