@@ -12,6 +12,12 @@ from quirespark.llm.shared import written
 HEAVY, COUNTERS = 256, 4096
 
 
+def frequent_digests(rows: DataFrame, heavy: int = HEAVY, counters: int = COUNTERS) -> DataFrame:
+    """Digests that a Misra-Gries summary of the rows names as frequent: at most `heavy`, so they can be broadcast."""
+    top = rows.agg(F.expr(f"approx_top_k(hex(digest), {int(heavy)}, {int(counters)})").alias("top"))
+    return top.select(F.explode("top").alias("t")).filter(F.col("t.count") > 1).select(F.unhex("t.item").alias("digest"))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY, counters: int = COUNTERS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -28,8 +34,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = spaced(whole_text(text_col))
     rows = written(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")), "exact-digests")
-    frequent = rows.agg(F.expr(f"approx_top_k(hex(digest), {int(heavy)}, {int(counters)})").alias("top")).select(F.explode("top").alias("t")).filter(F.col("t.count") > 1).select(F.unhex("t.item").alias("digest"))
-    winners = rows.join(F.broadcast(frequent), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    winners = rows.join(F.broadcast(frequent_digests(rows, heavy, counters)), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     winners = F.broadcast(written(winners, "exact-winners"))
     hot = rows.join(winners, "digest")
     group = Window.partitionBy("digest")

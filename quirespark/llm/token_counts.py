@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirespark.llm.columns import spaced, whole_text
+from quirespark.llm.exact_dedup import frequent_digests
+from quirespark.llm.shared import written
 from quirespark.llm.tokenization import encoder, file_digest, text_bytes
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
@@ -45,7 +47,8 @@ def token_counts(docs: DataFrame, vocabulary: str, cache: str, id_col: str = "do
     that `cache`, a Parquet table in shared storage, holds for this version of the tokenizer (the digest of its file).
     Only distinct contents without a stored count are encoded, and their counts are appended; the result then reads the
     cache alone. Copies of a text are dropped before the shuffle by the map-side part of the aggregation, so a hot group
-    sends one text per map task; its rows meet their count in a join whose large partitions adaptive execution splits.
+    sends one text per map task. The counts of frequent digests (a bounded number) are broadcast to their rows; all other
+    rows meet their counts in a shuffled join.
 
     Null text is empty text with no tokens. Null or repeated ids give a row each. An empty table gives an empty result
     and appends nothing. Other columns are not read.
@@ -57,5 +60,8 @@ def token_counts(docs: DataFrame, vocabulary: str, cache: str, id_col: str = "do
     distinct = content.select(digest, "content").groupBy("digest").agg(F.first("content").alias("content"))
     misses = distinct.join(_stored(spark, cache, version), "digest", "left_anti")
     misses.select("digest", F.lit(version).alias("tokenizer"), counter(vocabulary)("content").alias("n_tokens")).write.mode("append").parquet(cache)
-    counted = content.select("doc_id", "n_bytes", digest).join(_stored(spark, cache, version), "digest", "left")
+    rows = written(content.select("doc_id", "n_bytes", digest), "content-digests")
+    stored = _stored(spark, cache, version)
+    hot = F.broadcast(written(stored.join(F.broadcast(frequent_digests(rows)), "digest", "left_semi"), "frequent-counts"))
+    counted = rows.join(hot, "digest").unionByName(rows.join(hot, "digest", "left_anti").join(stored, "digest", "left"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
