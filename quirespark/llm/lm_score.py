@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirespark.llm.columns import whole_text
-from quirespark.llm.shared import written
+from quirespark.llm.shared import mapped, new_dir, write_whole, written
 from quirespark.llm.tokenization import text_bytes
 
 #: The filter is cut into segments by the first bits of an n-gram's hash. Its size is bounded: SEGMENTS * MAX_BITS / 8 bytes (128 MB).
@@ -95,17 +95,28 @@ def segment_bits(identity: np.ndarray, counts: np.ndarray, max_bits: int = MAX_B
 
 @dataclass
 class Filter:
-    """All segments one after another: bytes, the first byte and the bit mask of each."""
+    """All segments one after another, a file in shared storage that workers map into memory: its place, and the first
+    byte and the bit mask of each segment. The workers of a machine share the mapped pages."""
 
-    data: np.ndarray
+    uri: str
     first: np.ndarray
     mask: np.ndarray
+    _data: np.ndarray | None = None
 
     @staticmethod
-    def of(segments: dict[int, bytes]) -> Filter:
+    def of(segments: dict[int, bytes], uri: str) -> Filter:
         size = np.array([len(segments.get(k, b"\0")) for k in range(SEGMENTS)], np.int64)
-        data = np.frombuffer(b"".join(segments.get(k, b"\0") for k in range(SEGMENTS)), np.uint8)
-        return Filter(data, np.concatenate([[0], np.cumsum(size)[:-1]]), (size * 8 - 1).astype(np.uint64))
+        write_whole(uri, b"".join(segments.get(k, b"\0") for k in range(SEGMENTS)))
+        return Filter(uri, np.concatenate([[0], np.cumsum(size)[:-1]]), (size * 8 - 1).astype(np.uint64))
+
+    def __getstate__(self):
+        return self.__dict__ | {"_data": None}
+
+    @property
+    def data(self) -> np.ndarray:
+        if self._data is None:
+            self._data = mapped(self.uri, "u1")
+        return self._data
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         """Approximate counts by repeated probes: the last level that is present with all before it. Sorted hashes probe
@@ -130,7 +141,7 @@ class Model:
     """words: all exact counts, as a table (word, n). head: the counts of the most frequent words, broadcast."""
 
     words: DataFrame
-    filter: object
+    filter: Filter
     head: object
     train_tokens: int
     distinct: int
@@ -169,8 +180,8 @@ def train(docs: DataFrame, text_col: str = "text", head_words: int = HEAD_WORDS,
 
     Each task counts its rows and sends one blob per segment; a segment's blobs meet in one task, which writes the exact
     word counts and the segment's bits. So one shuffle carries all counts, pre-aggregated, and a frequent word or pair is
-    one entry per task. Words are counted exactly; pairs by 44 bits of a hash. The filter and the head are collected and
-    broadcast: both have fixed bounds. Past `max_bits` a segment takes on more false positives, not fewer n-grams.
+    one entry per task. Words are counted exactly; pairs by 44 bits of a hash. The filter (as a
+    mapped file) and the head are broadcast: both have fixed bounds. Past `max_bits` a segment takes on more false positives, not fewer n-grams.
     """
     spark = docs.sparkSession
 
@@ -242,7 +253,7 @@ def train(docs: DataFrame, text_col: str = "text", head_words: int = HEAD_WORDS,
     ends = words.filter(F.col("word") == F.lit(END)).first()
     bits = {r.segment: bytes(r.bits) for r in parts.filter("bits is not null").select("segment", "bits").toLocalIterator()}
     sc = spark.sparkContext
-    return Model(words, sc.broadcast(Filter.of(bits)), sc.broadcast(top), sum(x[1] for x in sizes.values()), sum(x[0] for x in sizes.values()), ends.n if ends else 0)
+    return Model(words, Filter.of(bits, new_dir(spark, "lm-filter") + "/bits"), sc.broadcast(top), sum(x[1] for x in sizes.values()), sum(x[0] for x in sizes.values()), ends.n if ends else 0)
 
 
 class Scorer:
@@ -291,14 +302,14 @@ class Scorer:
         return np.log10((np.maximum(pair - held, 0) + weight * unigram) / (np.maximum(context - held, 0) + weight))
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[str, Scorer] = {}
 
 
 def _scorer(model_filter, head, n: int, v: int, documents: int) -> Scorer:
-    key = id(model_filter.value)
+    key = model_filter.uri
     if key not in _SCORERS:
         _SCORERS.clear()
-        _SCORERS[key] = Scorer(model_filter.value, head.value, n, v, documents)
+        _SCORERS[key] = Scorer(model_filter, head.value, n, v, documents)
     return _SCORERS[key]
 
 
