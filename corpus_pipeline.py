@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirespark.llm import decontam, quality
-from quirespark.llm.columns import fold
+from quirespark.llm.columns import fold, spaced, whole_text
 from quirespark.llm.exact_dedup import exact_groups
 from quirespark.llm.ngram_join import near_duplicates
 from quirespark.llm.packing import pack
 from quirespark.llm.queries import VOCABULARY
 from quirespark.llm.shared import written
 
-#: A document that shares no words with this many benchmark items or more is kept.
+#: A document that holds passages of this many benchmark items or more goes.
 LEAKED_ITEMS = 2
 
 
@@ -29,22 +29,20 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.scored(docs, ranking, score="_score", predicted="_predicted").filter("_predicted = 1").select(*docs.columns)
 
 
-def _once(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """The documents whose id is among `rows`; of rows that repeat an id, one (they have the same id and may differ in
-    text: the smallest row stays). A null id matches a null id."""
-    ids = rows.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
-
-
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact copies: that of the smallest id."""
-    return _once(exact_groups(docs).filter("kept"), docs).dropDuplicates(["doc_id"])
+    """One document of each group of exact copies: that of the smallest id. Rows are told apart by id and text, so of
+    rows that share an id those with other texts stay."""
+    key = F.sha2(spaced(whole_text("text")).cast("binary"), 256)
+    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept")).distinct()
+    rows = docs.withColumn("_text", key)
+    return rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_text"] == kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest id. Texts without words are kept."""
-    found = near_duplicates(docs)
-    return _once(found.filter("n_shingles = 0 or doc_id <=> component_id"), docs)
+    """One document of each group of near copies: that of the smallest id. Texts without words are kept. Rows that share
+    an id stand or fall together."""
+    kept = near_duplicates(docs).filter("n_shingles = 0 or doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

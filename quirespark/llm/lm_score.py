@@ -371,7 +371,7 @@ def scored(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_i
                 words, text, lengths, exact, pair, context, word = scorer.block(texts)
                 k, known = len(texts), exact >= 0
                 value = np.bincount(text, scorer.log_probability(pair, context, word, weight), k)
-                base = np.bincount(text[known], np.log10((exact[known] + 1) / (n + v + 1)), k)
+                base = np.bincount(text[known], np.log10((exact[known] + 1) / (n + v + 1)), k).astype(np.float64)
                 rows = np.arange(row, row + k)
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -19,8 +19,8 @@ from quirespark.llm.tokenization import text_bytes
 
 #: Labelled documents that are learnt from at most; scored tokens kept at most (those of the largest z).
 LABELLED, TABLE = 20_000, 50_000
-#: Weight of the Dirichlet prior, in counts over all tokens; least z and log-odds of a token that counts as toxic.
-PRIOR, LEAST_Z, LEAST_ODDS = 50_000.0, 3.0, 3.0
+#: Weight of the Dirichlet prior, as a share of the counts of both classes; least z and log-odds of a token that counts as toxic.
+PRIOR, LEAST_Z, LEAST_ODDS = 0.01, 3.0, 3.0
 #: Score of every other token; the K of the extreme-value law; the expected number of chance passages up to which one is significant.
 DRIFT, K, SIGNIFICANT = -0.05, 0.1, 0.05
 #: Words are also scored by their first letters, as inflected forms are rare one by one.
@@ -159,10 +159,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, usable: Column, id_col
     if not total.t or not total.c:
         mean = float(y.mean()) if len(y) else 0.0
         return Lexicon({}, base=math.log((mean + 1e-3) / (1 - mean + 1e-3)))
-    a = F.lit(PRIOR) * (F.col("t") + F.col("c")) / F.lit(float(total.t + total.c))
-    odds = F.log((F.col("t") + a) / (F.lit(total.t + PRIOR) - F.col("t") - a)) - F.log((F.col("c") + a) / (F.lit(total.c + PRIOR) - F.col("c") - a))
+    weight = PRIOR * (total.t + total.c)
+    a = F.lit(PRIOR) * (F.col("t") + F.col("c"))
+    odds = F.log((F.col("t") + a) / (F.lit(total.t + weight) - F.col("t") - a)) - F.log((F.col("c") + a) / (F.lit(total.c + weight) - F.col("c") - a))
     z = odds / F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a))
-    table = counts.select("stem", odds.alias("odds"), z.alias("z"), ((F.col("c") + a) / F.lit(total.c + PRIOR)).alias("p")).filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS))
+    table = counts.select("stem", odds.alias("odds"), z.alias("z"), ((F.col("c") + a) / F.lit(total.c + weight)).alias("p")).filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS))
     kept = table.orderBy(F.desc("z"), "stem").limit(TABLE).collect()
     lexicon = Lexicon({r.stem: r.odds for r in kept})
     lexicon.rate = extreme_rate(lexicon.odds, {r.stem: r.p for r in kept})
