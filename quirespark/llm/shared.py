@@ -3,38 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN: dict[str, str] = {}
-
-
-def base_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; the warehouse, or in local mode a temporary folder, where the setting is missing."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
-        if "dir" not in _OWN:
-            _OWN["dir"] = tempfile.mkdtemp(prefix="quirespark-")
-        return _OWN["dir"]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quirespark"
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{base_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: cuts the lineage, and outlives lost executors."""
-    spark = df.sparkSession
-    path = new_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quirespark.scratch import base_dir, new_dir, written
 
+__all__ = ["base_dir", "local_path", "mapped", "new_dir", "write_whole", "written"]
 
 def local_path(uri: str) -> str | None:
     """The POSIX path of a URI that names one, else None."""
