@@ -71,7 +71,7 @@ def number_text(v: float) -> str:
     if "e" in text:
         mantissa, exponent = text.split("e")
         k = int(exponent)
-        if -7 <= k < 0:
+        if -7 < k < 0:
             return f"{v:.{-k + len(mantissa.replace('-', '').replace('.', '')) - 1}f}"
         return f"{mantissa}e{'+' if k > 0 else '-'}{abs(k)}"
     return text
