@@ -91,7 +91,9 @@ def licence_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = N
     listed = [(licence, grams) for licence, notice in dict.fromkeys(TEMPLATES if templates is None else templates) if (grams := notice_bigrams(notice))]
     sizes = {len(grams) for _, grams in listed}
     low, high = min((n * least / (200 - least) for n in sizes), default=1), max((n * (200 - least) / least for n in sizes), default=0)
-    index = spark.createDataFrame([(k, licence, len(grams), g) for k, (licence, grams) in enumerate(listed) for g in grams], "template int, licence string, b int, gram string")
+    entries = [F.struct(F.lit(k).alias("template"), F.lit(licence).alias("licence"), F.lit(len(grams)).alias("b"), F.lit(g).alias("gram")) for k, (licence, grams) in enumerate(listed) for g in grams]
+    kind = "array<struct<template:int,licence:string,b:int,gram:string>>"
+    index = spark.range(1).select(F.inline(F.array(*entries).cast(kind)))
     text = whole_text("text")
     may = may_hold(F.lower("text"), [x for _, grams in listed for x in necessary(grams, least)])
     kept = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).filter(may)
