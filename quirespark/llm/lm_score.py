@@ -29,7 +29,7 @@ HEAD_WORDS = 1 << 18
 #: Words that a task or a worker remembers at most; then it starts anew.
 MEMO_WORDS = 500_000
 #: N-grams that a task counts at a time.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Candidate weights of the unigram distribution, and the training documents they are tried on at most.
 WEIGHTS, TRIED = (1.0, 10.0, 100.0, 1000.0, 10000.0), 2000
 
