@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirespark.llm.columns import whole_text
-from quirespark.llm.shared import local_path, mapped, new_dir, write_whole
+from quirespark.llm.shared import bounded_batches, local_path, mapped, new_dir, write_whole
 from quirespark.llm.tokenization import text_bytes
 
 WINDOW = 8
@@ -84,6 +84,7 @@ def build_index(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, text_
     """Files in shared storage, each the prefix index of a block of items. Items come to the driver a block at a time.
     Words are ordered by how often they occur in all of `docs`: one pass, which counts the benchmark's words only."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     at = new_dir(spark, "benchmark-index")
     blocks: list[str] = []
     held: list[tuple[str, bytes]] = []
@@ -158,4 +159,5 @@ def marked(docs: DataFrame, index: list[str], text_col: str = "text", hits: str
             flat = [merged(s) for s in spans]
             yield pa.array([{"n_words": len(t), "n_hit": sum(b - a for a, b in f), "items": sorted(i), "spans": [{"first": a, "end": b} for a, b in f]} for t, f, i in zip(texts, flat, items, strict=True)], kind)
 
+    bounded_batches(docs.sparkSession)
     return docs.withColumn(hits, mark(whole_text(text_col)))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirespark.llm.columns import whole_text
-from quirespark.llm.shared import mapped, new_dir, write_whole, written
+from quirespark.llm.shared import bounded_batches, mapped, new_dir, write_whole, written
 from quirespark.llm.tokenization import text_bytes
 
 #: The filter is cut into segments by the first bits of an n-gram's hash. Its size is bounded: SEGMENTS * MAX_BITS / 8 bytes (128 MB).
@@ -184,6 +184,7 @@ def train(docs: DataFrame, text_col: str = "text", head_words: int = HEAD_WORDS,
     mapped file) and the head are broadcast: both have fixed bounds. Past `max_bits` a segment takes on more false positives, not fewer n-grams.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()

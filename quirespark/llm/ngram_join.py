@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quirespark.llm.columns import whole_text
 from quirespark.llm.components import components
-from quirespark.llm.shared import new_dir, written
+from quirespark.llm.shared import bounded_batches, new_dir, written
 from quirespark.llm.tokenization import text_bytes
 
 SIZE, SIMILARITY = 5, 80
@@ -34,6 +34,8 @@ FREQUENT, LEAST = 1 << 18, 8
 GROUP = 4096
 #: Rounds with hubs before all remaining pairs are counted.
 ROUNDS = 2
+#: N-grams that a task counts together.
+CHUNK = 4 << 20
 #: Bits of the filter of nodes that have a candidate, broadcast (4 MB).
 NODE_BITS = 1 << 25
 
@@ -135,7 +137,7 @@ def _first_pass(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
                 sizes.append(len(grams))
                 held.append(grams)
                 n += len(grams)
-                if n >= 16 << 20:
+                if n >= CHUNK:
                     yield out()
                     held, n = [], 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(nodes), pa.int64()), pa.nulls(len(nodes), pa.int64())], names=names)
@@ -174,6 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    bounded_batches(spark)
     members, counts = _first_pass(docs, size)
     order = spark.sparkContext.broadcast(Order(*_frequent(counts, LEAST)))
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirespark.llm.columns import whole_text
+from quirespark.llm.shared import bounded_batches
 from quirespark.llm.tokenization import encoder, text_bytes
 
 #: Ids that are packed together: what a task holds, and the block within which costs are balanced.
@@ -98,4 +99,5 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, limit: int = 4096, block
         if ids:
             yield from packed()
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, SCHEMA)

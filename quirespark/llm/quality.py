@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirespark.llm.columns import whole_text
+from quirespark.llm.shared import bounded_batches
 from quirespark.llm.tokenization import text_bytes
 
 #: Labelled rows that are learnt from at most, chosen by a hash of the id; and pairs drawn from them.
@@ -134,6 +135,7 @@ def sampled_labels(labels: DataFrame, label: str, id_col: str = "doc_id", bound:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, usable: Column, id_col: str = "doc_id", text_col: str = "text", bound: int = LABELLED) -> Ranking:
     """Fits the ranking to the labelled rows of `docs` for which `usable` holds (a bounded sample, collected)."""
+    bounded_batches(docs.sparkSession)
     sample = docs.filter(usable).select(F.col(id_col).alias("label_id"), whole_text(text_col).alias("text")).join(F.broadcast(sampled_labels(labels, label, id_col, bound)), "label_id")
     rows = sample.select(feature_column("text").alias("x"), "label").collect()
     rows.sort(key=lambda r: (r.label, r.x))  # the same draw for any order of rows
@@ -151,4 +153,5 @@ def scored(docs: DataFrame, ranking: Ranking, text_col: str = "text", score: str
             x = np.array([features(t) for t in text_bytes(texts)]).reshape(-1, N_FEATURES)
             yield pa.array(ranking.score(x))
 
+    bounded_batches(docs.sparkSession)
     return docs.withColumn(score, value(whole_text(text_col))).withColumn(predicted, (F.col(score) >= ranking.cut).cast("int"))

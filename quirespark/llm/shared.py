@@ -8,7 +8,19 @@ from urllib.parse import unquote, urlparse
 
 from quirespark.scratch import base_dir, new_dir, written
 
-__all__ = ["base_dir", "local_path", "mapped", "new_dir", "write_whole", "written"]
+__all__ = ["base_dir", "bounded_batches", "local_path", "mapped", "new_dir", "write_whole", "written"]
+
+
+#: Rows of an Arrow batch that goes to Python: ten thousand long texts, the default, can be gigabytes.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS where it is larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
 
 def local_path(uri: str) -> str | None:
     """The POSIX path of a URI that names one, else None."""

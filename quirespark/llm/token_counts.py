@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quirespark.llm.columns import spaced, whole_text
 from quirespark.llm.exact_dedup import frequent_digests
-from quirespark.llm.shared import written
+from quirespark.llm.shared import bounded_batches, written
 from quirespark.llm.tokenization import encoder, file_digest, text_bytes
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
@@ -54,6 +54,7 @@ def token_counts(docs: DataFrame, vocabulary: str, cache: str, id_col: str = "do
     and appends nothing. Other columns are not read.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     version = file_digest(vocabulary)
     content = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), spaced(F.col("text")).alias("content"))
     digest = F.unhex(F.sha2(F.col("content").cast("binary"), 256)).alias("digest")

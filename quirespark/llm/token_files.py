@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirespark.llm.columns import whole_text
-from quirespark.llm.shared import mapped, write_whole
+from quirespark.llm.shared import bounded_batches, mapped, write_whole
 from quirespark.llm.tokenization import encoder, text_bytes
 
 
@@ -44,6 +44,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int,
     by text. An empty table gives an empty manifest. Other columns are not read.
     """
     dtype = "<u4" if wide else "<u2"
+    bounded_batches(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, lengths, names, valid = [], [], [], []

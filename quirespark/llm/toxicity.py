@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from quirespark.llm.columns import whole_text
 from quirespark.llm.quality import sampled_labels
-from quirespark.llm.shared import written
+from quirespark.llm.shared import bounded_batches, written
 from quirespark.llm.tokenization import text_bytes
 
 #: Labelled documents that are learnt from at most; scored tokens kept at most (those of the largest z).
@@ -130,6 +130,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, usable: Column, id_col
     """Log-odds of words and stems between the labelled classes, with an informative Dirichlet prior (each token's share
     of both classes together), over a bounded sample of the labelled rows for which `usable` holds. A token counts once
     for each document. Without both labels, or without significant tokens, every text gets the labels' mean."""
+    bounded_batches(docs.sparkSession)
     sample = docs.filter(usable).select(F.col(id_col).alias("label_id"), whole_text(text_col).alias("text")).join(F.broadcast(sampled_labels(labels, label, id_col, bound)), "label_id")
     sample = written(sample.select("text", "label"), "toxicity-sample")
 
@@ -183,6 +184,7 @@ def scored_passages(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", p
         for texts in batches:
             yield pa.array([[{"first": a, "end": b, "evidence": e} for e, a, b in lexicon.passages(x)[1]] for x in text_bytes(texts)], kind)
 
+    bounded_batches(docs.sparkSession)
     return docs.withColumn(passages, find(whole_text(text_col)))
 
 
