@@ -18,6 +18,8 @@ from quirespark.llm.packing import pack
 from quirespark.llm.queries import VOCABULARY
 from quirespark.llm.shared import written
 
+#: Words that a tokenizing worker remembers: fewer than by default, as the other stages' workers are there too.
+MEMO_WORDS = 200_000
 #: A document that holds passages of this many benchmark items or more goes.
 LEAKED_ITEMS = 2
 
@@ -53,7 +55,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 ids: a row per piece."""
-    pieces = pack(docs, public_tokenizers.path(VOCABULARY), end_id=2, limit=4096)
+    pieces = pack(docs, public_tokenizers.path(VOCABULARY), end_id=2, limit=4096, memo_words=MEMO_WORDS)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

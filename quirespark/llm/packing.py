@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quirespark.llm.columns import whole_text
 from quirespark.llm.shared import bounded_batches
-from quirespark.llm.tokenization import encoder, text_bytes
+from quirespark.llm.tokenization import MEMO_WORDS, encoder, text_bytes
 
 #: Ids that are packed together: what a task holds, and the block within which costs are balanced.
 BLOCK_TOKENS = 4 << 20
@@ -51,7 +51,7 @@ def assign(lengths: np.ndarray, limit: int, quadratic: float = QUADRATIC) -> lis
     return found
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int, limit: int = 4096, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int, limit: int = 4096, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", memo_words: int = MEMO_WORDS) -> DataFrame:
     """Packs all documents into sequences of at most `limit` (a power of two) ids. One row per piece: doc_id, start,
     length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset, cost.
 
@@ -89,7 +89,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, limit: int = 4096, block
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                for name, encoded in zip(part.column(0).to_pylist(), encoder(vocabulary).encode(text_bytes(part.column(1))), strict=True):
+                for name, encoded in zip(part.column(0).to_pylist(), encoder(vocabulary, memo_words).encode(text_bytes(part.column(1))), strict=True):
                     names.append(name)
                     ids.append(encoded + end)
                     held += len(encoded) // 4 + 1

@@ -20,7 +20,7 @@ BLOCK_BYTES = 4 << 20
 
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _LETTERS = frozenset(range(97, 123))
-_LOADED: dict[str, "WordMemo"] = {}
+_LOADED: dict[tuple[str, int], "WordMemo"] = {}
 
 
 def file_digest(path: str) -> str:
@@ -32,12 +32,13 @@ def file_digest(path: str) -> str:
 class WordMemo:
     """Encodes texts (UTF-8 bytes) to little-endian 32-bit ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = MEMO_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
         self._memo: dict[bytes, bytes] = {}
+        self._most = words
 
     def _whole(self, text: bytes) -> bytes:
         return _packed(self._library.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
@@ -79,7 +80,7 @@ class WordMemo:
         # special strings need the whole text; combining marks (lead byte 0xCC) may join a capital otherwise than its small letter
         split = [None if b"<|" in t else (t if b"\xcc" in t else t.lower()).split() for t in texts]
         new = set().union(*(w for w in split if w)).difference(memo)
-        if len(memo) + len(new) > MEMO_WORDS:
+        if len(memo) + len(new) > self._most:
             memo.clear()
             new = set().union(*(w for w in split if w))
         extra = self._learn(new) if new else {}
@@ -96,11 +97,11 @@ def _packed(ids: list[int]) -> bytes:
     return packed.tobytes()
 
 
-def encoder(path: str) -> WordMemo:
-    """This worker's encoder of a vocabulary file; it lives as long as the worker."""
-    if path not in _LOADED:
-        _LOADED[path] = WordMemo(path)
-    return _LOADED[path]
+def encoder(path: str, words: int = MEMO_WORDS) -> WordMemo:
+    """This worker's encoder of a vocabulary file; it lives as long as the worker. words: what its memo holds at most."""
+    if (path, words) not in _LOADED:
+        _LOADED[path, words] = WordMemo(path, words)
+    return _LOADED[path, words]
 
 
 def text_bytes(column) -> list[bytes]:
