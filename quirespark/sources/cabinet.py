@@ -9,6 +9,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import takewhile
 from operator import xor
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirespark.functions import binary, text
+from quirespark.sources import lzx
 
 
 class FormatError(ValueError):
@@ -114,7 +116,8 @@ def _folder(data: bytes, folder: tuple[int, int, int], reserve: int, room: int,
         if any(len(p) != n for p, n in parts):
             raise FormatError("ONENOTE_CAB_UNCOMPRESSED")
         return b"".join(p for p, _ in parts)
-    # LZX (3) is not read yet, and counts as a method that is not supported
+    if kind == 3:
+        return lzx.expand(parts, method >> 8 & 31, needed, FormatError)
     raise FormatError("ONENOTE_CAB_MSZIP" if kind == 1 else "ONENOTE_CAB_COMPRESSION")
 
 
@@ -141,6 +144,30 @@ def extract(data: bytes, wanted: set[str] | None = None, limits: Limits = Limits
         yield e, expanded[e.folder][e.offset : e.offset + e.length]
 
 
+#: Streams of a compound file that tell rights protection.
+PROTECTED_STREAMS = {"EncryptedPackage", "DRMEncryptedTransform", "DRMEncryptedDataSpace"}
+
+
+def compound_code(data: bytes) -> str:
+    """Why a compound file is declined: its directory names streams of a protected document, or it is of no kind we know."""
+    try:
+        sector, (n_fat, first) = 1 << struct.unpack_from("<H", data, 30)[0] % 32, struct.unpack_from("<II", data, 44)
+        whole = lambda k: len(data[(k + 1) * sector : (k + 2) * sector]) == sector
+        tables = struct.unpack_from(f"<{min(n_fat, 109)}I", data, 76)
+        chain = [x for t in takewhile(whole, tables) for x in struct.unpack_from(f"<{sector // 4}I", data, (t + 1) * sector)]
+    except struct.error:
+        return "ONENOTE_ONEX_UNSUPPORTED"
+    seen, at = set(), first
+    while at not in seen and whole(at) and len(seen) < 4096:
+        seen.add(at)
+        for k in range((at + 1) * sector, (at + 2) * sector - 127, 128):
+            size = struct.unpack_from("<H", data, k + 64)[0]
+            if size >= 2 and data[k + 66] and data[k : k + size - 2].decode("utf-16le", "replace") in PROTECTED_STREAMS:
+                return "ONENOTE_ONEX_PROTECTED"
+        at = chain[at] if at < len(chain) else 0xFFFFFFFE
+    return "ONENOTE_ONEX_UNSUPPORTED"
+
+
 def discover(spark: SparkSession, path: str) -> DataFrame:
     """Inputs below a folder (or one file), by name: input, content, length, mod."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
@@ -158,7 +185,7 @@ def _rows(inputs: DataFrame, with_bytes: bool, wanted: set[str] | None, limits:
                 rows: list[list] = []
                 try:
                     if data is None or data[:4] != b"MSCF":
-                        kind = "ONENOTE_ONEX_UNSUPPORTED" if data and data[:8].hex() == "d0cf11e0a1b11ae1" else None
+                        kind = compound_code(data) if data and data[:8].hex() == "d0cf11e0a1b11ae1" else None
                         own = path.replace("\\", "/").rsplit("/", 1)[-1]
                         if wanted is None or own in wanted:
                             rows.append([path, own, 0, None, len(data or b""), kind, data])
