@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,11 @@ from quirespark.llm.columns import whole_text
 from quirespark.llm.shared import bounded_batches, mapped, new_dir, write_whole, written
 from quirespark.llm.tokenization import text_bytes
 
-#: The filter is cut into segments by the first bits of an n-gram's hash. Its size is bounded: SEGMENTS * MAX_BITS / 8 bytes (128 MB).
-SEGMENT_BITS, MAX_BITS = 12, 1 << 18
+#: The filter is cut into segments by the first bits of an n-gram's hash. It grows with the entries.
+SEGMENT_BITS = 12
 SEGMENTS = 1 << SEGMENT_BITS
+#: A filter of up to so many bytes is mapped into workers' memory. A larger one stays a table, to whose segments the probes go.
+MAPPED_BYTES = 1 << 27
 BITS_PER_ENTRY, PROBES = 10, 4
 #: Counts are kept as 1 + floor(log(count) / log(BASE)).
 BASE, MAX_LEVEL = 1.5, 64
@@ -72,42 +75,58 @@ def _levels() -> np.ndarray:
 LEVELS = _levels()
 
 
-def _positions(identity: np.ndarray, level: int, mask: np.ndarray) -> Iterator[np.ndarray]:
+def _positions(identity: np.ndarray, level: int, bits: np.ndarray) -> Iterator[np.ndarray]:
+    """Places below `bits`, which is less than 2^32 and need not be a power of two."""
     with np.errstate(over="ignore"):
         x = _mix(identity.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(level))
         low, step = x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
         for i in range(PROBES):
-            yield ((low + np.uint64(i) * step) & mask).astype(np.int64)
+            yield ((((low + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)) * bits) >> np.uint64(32)).astype(np.int64)
 
 
-def segment_bits(identity: np.ndarray, counts: np.ndarray, max_bits: int = MAX_BITS) -> bytes:
-    """A segment's bits: an n-gram of level q is entered with each of 1 to q."""
+def segment_bits(identity: np.ndarray, counts: np.ndarray) -> bytes:
+    """A segment's bits: an n-gram of level q is entered with each of 1 to q. There are BITS_PER_ENTRY for each entry, so
+    the false-positive rate is the same at any size."""
     levels = quantised(counts)
-    bits = 64
-    while bits < min(max_bits, int(levels.sum()) * BITS_PER_ENTRY):
-        bits *= 2
+    bits = max(64, (int(levels.sum()) * BITS_PER_ENTRY + 7) // 8 * 8)
     found = np.zeros(bits, np.uint8)
     for q in range(1, int(levels.max(initial=0)) + 1):
-        for at in _positions(identity[levels >= q], q, np.uint64(bits - 1)):
+        for at in _positions(identity[levels >= q], q, np.uint64(bits)):
             found[at] = 1
     return np.packbits(found, bitorder="little").tobytes()
 
 
+def probed(data: np.ndarray, identity: np.ndarray, first: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Levels by repeated probes of the segments that begin at byte `first` of the data: the last level that is present
+    with all before it."""
+    level = np.zeros(len(identity), np.int64)
+    left = np.arange(len(identity))
+    for q in range(1, MAX_LEVEL + 1):
+        there = np.ones(len(left), bool)
+        for at in _positions(identity, q, bits):
+            there &= ((data[first + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+        identity, first, bits, left = identity[there], first[there], bits[there], left[there]
+        level[left] = q
+        if not len(left):
+            break
+    return level
+
+
 @dataclass
 class Filter:
     """All segments one after another, a file in shared storage that workers map into memory: its place, and the first
-    byte and the bit mask of each segment. The workers of a machine share the mapped pages."""
+    byte and the bits of each segment. The workers of a machine share the mapped pages."""
 
     uri: str
     first: np.ndarray
-    mask: np.ndarray
+    bits: np.ndarray
     _data: np.ndarray | None = None
 
     @staticmethod
     def of(segments: dict[int, bytes], uri: str) -> Filter:
         size = np.array([len(segments.get(k, b"\0")) for k in range(SEGMENTS)], np.int64)
         write_whole(uri, b"".join(segments.get(k, b"\0") for k in range(SEGMENTS)))
-        return Filter(uri, np.concatenate([[0], np.cumsum(size)[:-1]]), (size * 8 - 1).astype(np.uint64))
+        return Filter(uri, np.concatenate([[0], np.cumsum(size)[:-1]]), (size * 8).astype(np.uint64))
 
     def __getstate__(self):
         return self.__dict__ | {"_data": None}
@@ -119,29 +138,19 @@ class Filter:
         return self._data
 
     def counts(self, h: np.ndarray) -> np.ndarray:
-        """Approximate counts by repeated probes: the last level that is present with all before it. Sorted hashes probe
-        one segment after another."""
+        """Approximate counts. Sorted hashes probe one segment after another."""
         segment, identity = split_hash(h)
-        first, mask = self.first[segment], self.mask[segment]
-        level = np.zeros(len(h), np.int64)
-        left = np.arange(len(h))
-        for q in range(1, MAX_LEVEL + 1):
-            there = np.ones(len(left), bool)
-            for at in _positions(identity, q, mask):
-                there &= ((self.data[first + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-            identity, first, mask, left = identity[there], first[there], mask[there], left[there]
-            level[left] = q
-            if not len(left):
-                break
-        return LEVELS[level]
+        return LEVELS[probed(self.data, identity, self.first[segment], self.bits[segment])]
 
 
 @dataclass(frozen=True)
 class Model:
-    """words: all exact counts, as a table (word, n). head: the counts of the most frequent words, broadcast."""
+    """words: all exact counts, as a table (word, n). head: the counts of the most frequent words, broadcast.
+    filter: None where it is not mapped but stays a table; segments: that table (segment, bits)."""
 
     words: DataFrame
-    filter: Filter
+    filter: Filter | None
+    segments: DataFrame
     head: object
     train_tokens: int
     distinct: int
@@ -175,13 +184,14 @@ def _blobs(words: Counter, pairs: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def train(docs: DataFrame, text_col: str = "text", head_words: int = HEAD_WORDS, max_bits: int = MAX_BITS) -> Model:
+def train(docs: DataFrame, text_col: str = "text", head_words: int = HEAD_WORDS, mapped_bytes: int = MAPPED_BYTES) -> Model:
     """Counts the words and word pairs of all of `docs` and builds the filter.
 
     Each task counts its rows and sends one blob per segment; a segment's blobs meet in one task, which writes the exact
     word counts and the segment's bits. So one shuffle carries all counts, pre-aggregated, and a frequent word or pair is
-    one entry per task. Words are counted exactly; pairs by 44 bits of a hash. The filter (as a
-    mapped file) and the head are broadcast: both have fixed bounds. Past `max_bits` a segment takes on more false positives, not fewer n-grams.
+    one entry per task. Words are counted exactly; pairs by 44 bits of a hash. The head is
+    broadcast. The filter grows with the distinct n-grams at a fixed false-positive rate: up to `mapped_bytes` it is given to
+    workers as a mapped file, past that it stays a table and no process holds more of it than a segment at a time.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -217,7 +227,7 @@ def train(docs: DataFrame, text_col: str = "text", head_words: int = HEAD_WORDS,
             own = np.fromiter(map(word_hash, words), np.uint64, len(words))
             identity = np.concatenate([grams[0], split_hash(own)[1]])
             counts = np.concatenate([times[0], np.fromiter(words.values(), np.float64, len(words))])
-            bits = segment_bits(identity, counts, max_bits)
+            bits = segment_bits(identity, counts)
             yield pa.RecordBatch.from_pydict({"segment": pa.array([at], pa.int32()), "bits": pa.array([bits], pa.binary()), "word": pa.array([None], pa.binary()), "n": pa.array([None], pa.int64())})
             yield pa.RecordBatch.from_pydict({"segment": pa.array([None] * len(words), pa.int32()), "bits": pa.array([None] * len(words), pa.binary()), "word": pa.array(list(words), pa.binary()), "n": pa.array(list(words.values()), pa.int64())})
 
@@ -252,30 +262,52 @@ def train(docs: DataFrame, text_col: str = "text", head_words: int = HEAD_WORDS,
     head = words.filter(step >= least).toArrow().combine_chunks() if least is not None else None
     top = (b" ".join(head["word"].to_pylist()), np.asarray(head["n"], np.int64)) if head is not None and head.num_rows else (b"", np.empty(0, np.int64))
     ends = words.filter(F.col("word") == F.lit(END)).first()
-    bits = {r.segment: bytes(r.bits) for r in parts.filter("bits is not null").select("segment", "bits").toLocalIterator()}
+    segments = parts.filter("bits is not null").select("segment", "bits")
+    size = segments.agg(F.sum(F.octet_length("bits").cast("long"))).first()[0] or 0
+    found = Filter.of({r.segment: bytes(r.bits) for r in segments.toLocalIterator()}, new_dir(spark, "lm-filter") + "/bits") if size <= mapped_bytes else None
     sc = spark.sparkContext
-    return Model(words, Filter.of(bits, new_dir(spark, "lm-filter") + "/bits"), sc.broadcast(top), sum(x[1] for x in sizes.values()), sum(x[0] for x in sizes.values()), ends.n if ends else 0)
+    return Model(words, found, segments, sc.broadcast(top), sum(x[1] for x in sizes.values()), sum(x[0] for x in sizes.values()), ends.n if ends else 0)
+
+
+def log_probability(pair, context, word, weight: float, n: int, v: int, held: float = 0.0) -> np.ndarray:
+    """log10 of (count(v w) + weight * P(w)) / (count(v) + weight), P(w) = (count(w) + 1) / (N + V + 1). held: what to
+    take from the counts, to try a text that was counted as if it had not been."""
+    unigram = (np.maximum(word - held, 0) + 1) / (n + v + 1)
+    return np.log10((np.maximum(pair - held, 0) + weight * unigram) / (np.maximum(context - held, 0) + weight))
+
+
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)[:-1]])
+
+
+def _contexts(word: np.ndarray, lengths: np.ndarray, documents: int) -> np.ndarray:
+    """The count of what stands before each token."""
+    context = np.concatenate([[0.0], word[:-1]])
+    context[_starts(lengths)] = documents
+    return context
 
 
 class Scorer:
     """A worker's side of a model: what it has found out about the words it met."""
 
-    def __init__(self, model_filter: Filter, head: tuple[bytes, np.ndarray], n: int, v: int, documents: int):
-        self.filter, self.n, self.v, self.documents = model_filter, n, v, documents
+    def __init__(self, model_filter: Filter | None, head: tuple[bytes, np.ndarray], documents: int):
+        self.filter, self.documents = model_filter, documents
         self.head = dict(zip(head[0].split(b" "), head[1].tolist(), strict=True)) if head[0] else {}
         self.at: dict[bytes, int] = {}
         self.columns = (np.empty(0, np.uint64), np.empty(0), np.empty(0, np.int64))
 
     def indexed(self, new: set[bytes]) -> None:
-        """Hash, approximate count and exact count (-1: not in the head) of words not met before."""
+        """Hash, approximate count (0 if the filter is not mapped) and exact count (-1: not in the head) of words not met before."""
         names = list(new)
         h = np.fromiter(map(word_hash, names), np.uint64, len(names))
         exact = np.fromiter((self.head.get(w, -1) for w in names), np.int64, len(names))
         self.at.update(zip(names, range(len(self.at), len(self.at) + len(names)), strict=True))
-        self.columns = tuple(np.concatenate([a, b]) for a, b in zip(self.columns, (h, self.filter.counts(h), exact), strict=True))
+        approximate = self.filter.counts(h) if self.filter else np.zeros(len(h))
+        self.columns = tuple(np.concatenate([a, b]) for a, b in zip(self.columns, (h, approximate, exact), strict=True))
 
-    def block(self, texts: list[bytes]):
-        """Of all tokens of some texts, ends included: words, text, exact count or -1, approximate counts of pair, context and word."""
+    def tokens(self, texts: list[bytes]):
+        """Of all tokens of some texts, ends included: words, text, exact count or -1, hash, hash of the pair, approximate
+        count; and the number of each text's tokens."""
         split = [[*t.lower().split(), END] for t in texts]
         new = set().union(*split).difference(self.at)
         if len(self.at) + len(new) > MEMO_WORDS:
@@ -287,30 +319,24 @@ class Scorer:
         where = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
         lengths = np.array([len(s) for s in split], np.int64)
         h, approximate, exact = (c[where] for c in self.columns)
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         before = np.concatenate([[_START], h[:-1]])
-        before[starts] = _START
-        context = np.concatenate([[0.0], approximate[:-1]])
-        context[starts] = self.documents
-        pairs, back = np.unique(pair_hash(before, h), return_inverse=True)
-        pair = np.minimum(self.filter.counts(pairs)[back], context)
-        return flat, np.repeat(np.arange(len(texts)), lengths), lengths, exact, pair, context, approximate
+        before[_starts(lengths)] = _START
+        return flat, np.repeat(np.arange(len(texts)), lengths), exact, h, pair_hash(before, h), approximate, lengths
 
-    def log_probability(self, pair, context, word, weight: float, held: float = 0.0) -> np.ndarray:
-        """log10 of (count(v w) + weight * P(w)) / (count(v) + weight), P(w) = (count(w) + 1) / (N + V + 1). held: what to
-        take from the counts, to try a text that was counted as if it had not been."""
-        unigram = (np.maximum(word - held, 0) + 1) / (self.n + self.v + 1)
-        return np.log10((np.maximum(pair - held, 0) + weight * unigram) / (np.maximum(context - held, 0) + weight))
+    def approximate(self, pairs: np.ndarray, word: np.ndarray, lengths: np.ndarray):
+        """Approximate counts of pair, context and word of some tokens by the mapped filter."""
+        context = _contexts(word, lengths, self.documents)
+        pairs, back = np.unique(pairs, return_inverse=True)
+        return np.minimum(self.filter.counts(pairs)[back], context), context, word
 
 
 _SCORERS: dict[str, Scorer] = {}
 
 
-def _scorer(model_filter, head, n: int, v: int, documents: int) -> Scorer:
-    key = model_filter.uri
+def _scorer(key: str, model_filter, head, documents: int) -> Scorer:
     if key not in _SCORERS:
         _SCORERS.clear()
-        _SCORERS[key] = Scorer(model_filter, head.value, n, v, documents)
+        _SCORERS[key] = Scorer(model_filter, head.value, documents)
     return _SCORERS[key]
 
 
@@ -327,77 +353,161 @@ def _texts(batch: pa.RecordBatch, column: int, size: int = 2 << 20) -> Iterator[
         yield at, rows
 
 
-def weighed(model: Model, docs: DataFrame, text_col: str = "text", tried: int = TRIED) -> Model:
-    """The model with the unigram weight that makes a bounded sample of training texts likeliest, each as if not counted."""
-    arguments = (model.filter, model.head, model.train_tokens, model.distinct, model.documents)
+def _likelihoods(rows: np.ndarray, lengths: np.ndarray, training: np.ndarray, counts: tuple, weights: tuple, tried: bool, n: int, v: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The score of each of some texts for each weight, under their rows; and if `tried`, under row -1 - k what weight k
+    gives to those that were trained on, each token as if not counted."""
+    text = np.repeat(np.arange(len(rows)), lengths)
+    found = [np.bincount(text, log_probability(*counts, w, n, v), len(rows)).astype(np.float64) for w in weights]
+    if not tried:
+        return rows, found
+    seen = np.repeat(training, lengths)
+    own = tuple(c[seen] for c in counts)
+    sums = [float(log_probability(*own, w, n, v, 1.0).sum()) for w in weights]
+    return np.concatenate([rows, -1 - np.arange(len(weights))]), [np.concatenate([f, sums]) for f in found]
 
-    def attempt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scorer = _scorer(*arguments)
-            for _, texts in _texts(batch, 0):
-                _, _, _, _, pair, context, word = scorer.block(texts)
-                yield pa.RecordBatch.from_pydict({"w": list(WEIGHTS), "s": [float(scorer.log_probability(pair, context, word, w, 1.0).sum()) for w in WEIGHTS]})
 
-    share = min(1.0, tried / max(1, model.documents))
-    text = whole_text(text_col)
-    sample = docs.select(text.alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    sums = sample.mapInArrow(attempt, "w double, s double").groupBy("w").agg(F.sum("s").alias("s")).collect()
-    best = max(sums, key=lambda r: (round(r.s, 3), -r.w)).w if sums else model.weight
-    return Model(model.words, model.filter, model.head, model.train_tokens, model.distinct, model.documents, best)
+def _answered(model: Model, asked: DataFrame, weights: tuple, tried: bool) -> DataFrame:
+    """Likelihoods (row, s0, s1...) by a filter that stays a table. Each block of texts asks each segment for its distinct
+    n-grams there; the segment's levels go back to the block. asked: block, segment, data; the row of a block without a
+    segment tells where its tokens' n-grams stand among all it asks for, in order of their hashes."""
+    n, v, documents = model.train_tokens, model.distinct, model.documents
 
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, bits = -1, None
+        for batch in batches:
+            blocks, data = [], []
+            segments = batch.column(0).to_pylist()
+            for segment, block, own in zip(segments, batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if block is None:
+                    at, bits = segment, np.frombuffer(own.as_py(), "u1")
+                    continue
+                if segment != at:  # no n-gram of the training texts is there
+                    at, bits = segment, np.zeros(8, "u1")
+                identity = np.frombuffer(own.as_py(), "<u4")
+                blocks.append((block, segment))
+                data.append(probed(bits, identity, np.zeros(len(identity), np.int64), np.full(len(identity), 8 * len(bits), np.uint64)).astype("u1").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in blocks], pa.int64()), pa.array([x[1] for x in blocks], pa.int32()), pa.array(data, pa.binary())], names=["block", "segment", "data"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, plan, levels = None, None, []
+
+        def out() -> pa.RecordBatch:
+            k = int(plan[0])
+            lengths, training = plan[1 : 1 + k].astype(np.int64), plan[1 + k : 1 + 2 * k] > 0
+            tokens = plan[1 + 2 * k :].astype(np.int64)
+            m = len(tokens) // 2
+            counts = LEVELS[np.concatenate(levels).astype(np.int64)]
+            word = counts[tokens[m:]]
+            context = _contexts(word, lengths, documents)
+            rows, found = _likelihoods(np.arange(block, block + k), lengths, training, (np.minimum(counts[tokens[:m]], context), context, word), weights, tried, n, v)
+            return pa.RecordBatch.from_arrays([pa.array(rows), *map(pa.array, found)], names=["row", *(f"s{i}" for i in range(len(weights)))])
 
-def scored(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
-
-    Tokens: white-space-separated words with A-Z in lower case, then one end. base_score: the add-one unigram log10
-    probability from exact counts. Those of frequent words are broadcast; a text's other words go through a join with the
-    table of all counts, under a key of their own each, so that no hot key arises. score: log10 probability by the
-    filter's bigram model.
-
-    Null text is empty text: one token, the end. Null and repeated ids get a row each. A column that `held_out` does not
-    need is not read. An empty table gives an empty result; a model of no training texts gives every token the same
-    probability.
-    """
-    arguments = (model.filter, model.head, model.train_tokens, model.distinct, model.documents)
-    n, v, weight = model.train_tokens, model.distinct, model.weight
-    schema = "row long, key binary, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, times long"
+        for batch in batches:
+            for own, segment, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if segment is None:
+                    if plan is not None:
+                        yield out()
+                    block, plan, levels = own, np.frombuffer(data, "<u4"), []
+                else:
+                    levels.append(np.frombuffer(data, "u1"))
+        if plan is not None:
+            yield out()
+
+    asks = asked.filter("segment is not null").select("segment", "block", "data")
+    met = asks.unionByName(model.segments.select("segment", F.lit(None).cast("long").alias("block"), F.col("bits").alias("data")))
+    answers = met.repartition("segment").sortWithinPartitions("segment", F.col("block").asc_nulls_first()).mapInArrow(answer, "block long, segment int, data binary")
+    back = asked.filter("segment is null").select("block", "segment", "data").unionByName(answers)
+    schema = "row long, " + ", ".join(f"s{i} double" for i in range(len(weights)))
+    return back.repartition("block").sortWithinPartitions("block", F.col("segment").asc_nulls_first()).mapInArrow(finish, schema)
+
+
+def _found(docs: DataFrame, model: Model, held_out: Column, weights: tuple, tried: bool, id_col: str, text_col: str) -> DataFrame:
+    """Rows of three kinds: one per document, with s0, s1... for the weights; one per document and word whose exact count
+    is not in the head (key, times); and if `tried`, rows -1 - k with shares of the likelihood of weight k in s0, s1..."""
+    model_filter, head, n, v, documents = model.filter, model.head, model.train_tokens, model.distinct, model.documents
+    scores = [f"s{i}" for i in range(len(weights))]
+    schema = "row long, key binary, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, times long, " + ", ".join(f"{s} double" for s in scores)
+    if model_filter is None:
+        schema += ", block long, segment int, data binary"
     names = [c.split()[0] for c in schema.split(", ")]
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "int": pa.int32()}
+    types = {c.split()[0]: kinds[c.split()[1]] for c in schema.split(", ")}
+    scorer_key = model_filter.uri if model_filter else uuid.uuid4().hex
+
+    def table(rows: int, **columns) -> pa.RecordBatch:
+        own = {k: c if isinstance(c, pa.Array) else pa.array(c, types[k]) for k, c in columns.items()}
+        return pa.RecordBatch.from_arrays([own[k] if k in own else pa.nulls(rows, types[k]) for k in names], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            scorer = _scorer(*arguments)
+            scorer = _scorer(scorer_key, model_filter, head, documents)
             for at, texts in _texts(batch, 2):
-                words, text, lengths, exact, pair, context, word = scorer.block(texts)
+                words, text, exact, h, pairs, approximate, lengths = scorer.tokens(texts)
                 k, known = len(texts), exact >= 0
-                value = np.bincount(text, scorer.log_probability(pair, context, word, weight), k)
                 base = np.bincount(text[known], np.log10((exact[known] + 1) / (n + v + 1)), k).astype(np.float64)
                 rows = np.arange(row, row + k)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(rows),
-                        pa.array([b" %d" % r for r in rows.tolist()], pa.binary()),
-                        batch.column(0).slice(at, k),
-                        batch.column(1).slice(at, k),
-                        pa.array(lengths),
-                        pa.array(np.bincount(text[known], minlength=k).astype(np.int64)),
-                        pa.array(base),
-                        pa.array(value),
-                        pa.nulls(k, pa.int64()),
-                    ],
-                    names=names,
-                )
+                training = np.array([x is False for x in batch.column(1).slice(at, k).to_pylist()], bool)
+                own = {"row": rows, "key": [b" %d" % r for r in rows.tolist()], "doc_id": batch.column(0).slice(at, k), "held_out": batch.column(1).slice(at, k)}
+                own |= {"n_tokens": lengths, "n_known": np.bincount(text[known], minlength=k).astype(np.int64), "base_score": base}
+                if model_filter is not None:
+                    under, value = _likelihoods(rows, lengths, training, scorer.approximate(pairs, approximate, lengths), weights, tried, n, v)
+                    own |= {s: x[:k] for s, x in zip(scores, value, strict=True)}
+                    if tried:
+                        m = len(weights)
+                        yield table(m, row=under[k:], key=[b" %d %d" % (row, i) for i in range(m)], **{s: x[k:] for s, x in zip(scores, value, strict=True)})
+                else:
+                    asked, where = np.unique(np.concatenate([pairs, h]), return_inverse=True)
+                    plan = np.concatenate([[k], lengths, training, where]).astype("<u4").tobytes()
+                    segment, identity = split_hash(asked)
+                    cut = np.searchsorted(segment, np.arange(SEGMENTS + 1))
+                    there = [i for i in range(SEGMENTS) if cut[i + 1] > cut[i]]
+                    data = [plan, *(identity[cut[i] : cut[i + 1]].astype("<u4").tobytes() for i in there)]
+                    yield table(len(data), block=[row] * len(data), segment=[None, *there], data=data)
+                yield table(k, **own)
                 rest = Counter((t, words[i]) for t, i in zip(text[~known].tolist(), np.flatnonzero(~known).tolist(), strict=True))
                 if rest:
-                    m = len(rest)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row + t for t, _ in rest], pa.int64()), pa.array([w for _, w in rest], pa.binary()), *(pa.nulls(m, t) for t in types[2:8]), pa.array(list(rest.values()), pa.int64())],
-                        names=names,
-                    )
+                    yield table(len(rest), row=[row + t for t, _ in rest], key=[w for _, w in rest], times=list(rest.values()))
                 row += k
 
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), whole_text(text_col).alias("text")).mapInArrow(run, schema)
+    if model_filter is not None:
+        return found
+    found = written(found, "lm-asked")
+    answered = _answered(model, found.filter("block is not null").select("block", "segment", "data"), weights, tried)
+    key = F.concat(F.lit(" "), F.col("row").cast("string")).cast("binary").alias("key")
+    return found.filter("block is null").drop("block", "segment", "data").unionByName(answered.select("*", key), allowMissingColumns=True)
+
+
+def _likeliest(sums: list, weights: tuple) -> int | None:
+    """The place of the weight that has the largest sum (ties: the smallest weight)."""
+    found = {-1 - r.row: r.s0 for r in sums}
+    return max(found, key=lambda k: (round(found[k], 3), -weights[k])) if found else None
+
+
+def weighed(model: Model, docs: DataFrame, text_col: str = "text", tried: int = TRIED) -> Model:
+    """The model with the unigram weight that makes a bounded sample of training texts likeliest, each as if not counted."""
+    share = min(1.0, tried / max(1, model.documents))
+    sample = docs.select(whole_text(text_col).alias("text"), F.lit(None).cast("long").alias("doc_id")).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    sums = _found(sample, model, F.lit(False), WEIGHTS, True, "doc_id", "text").filter("row < 0").groupBy("row").agg(F.sum("s0").alias("s0")).collect()
+    best = _likeliest(sums, WEIGHTS)
+    return replace(model, weight=WEIGHTS[best]) if best is not None else model
+
+
+def scored(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    Tokens: white-space-separated words with A-Z in lower case, then one end. base_score: the add-one unigram log10
+    probability from exact counts. Those of frequent words are broadcast; a text's other words go through a join with the
+    table of all counts, under a key of their own each, so that no hot key arises. score: log10 probability by the
+    filter's bigram model.
+
+    Null text is empty text: one token, the end. Null and repeated ids get a row each. A column that `held_out` does not
+    need is not read. An empty table gives an empty result; a model of no training texts gives every token the same
+    probability.
+    """
+    n, v = model.train_tokens, model.distinct
+    found = _found(docs, model, held_out, (model.weight,), False, id_col, text_col)
     joined = found.join(model.words.select(F.col("word").alias("key"), "n"), "key", "left")
     seen = F.coalesce(F.col("n"), F.lit(0))
     return (
@@ -408,7 +518,7 @@ def scored(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_i
             F.max("n_tokens").alias("n_tokens"),
             (F.max("n_known") + F.coalesce(F.sum(F.when(seen > 0, F.col("times"))), F.lit(0))).alias("n_known"),
             (F.max("base_score") + F.coalesce(F.sum(F.col("times") * F.log10((seen + 1) / F.lit(float(n + v + 1)))), F.lit(0.0))).alias("base_score"),
-            F.max("score").alias("score"),
+            F.sum("s0").alias("score"),
         )
         .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
     )
