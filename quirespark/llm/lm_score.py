@@ -33,8 +33,8 @@ HEAD_WORDS = 1 << 18
 MEMO_WORDS = 500_000
 #: N-grams that a task counts at a time.
 CHUNK = 2 << 20
-#: Candidate weights of the unigram distribution, and the training documents they are tried on at most.
-WEIGHTS, TRIED = (1.0, 10.0, 100.0, 1000.0, 10000.0), 2000
+#: Candidate weights of the unigram distribution.
+WEIGHTS = (1.0, 10.0, 100.0, 1000.0, 10000.0)
 
 #: The end of a text as a word; no word holds white space.
 END = b"\n"
@@ -485,16 +485,15 @@ def _likeliest(sums: list, weights: tuple) -> int | None:
     return max(found, key=lambda k: (round(found[k], 3), -weights[k])) if found else None
 
 
-def weighed(model: Model, docs: DataFrame, text_col: str = "text", tried: int = TRIED) -> Model:
-    """The model with the unigram weight that makes a bounded sample of training texts likeliest, each as if not counted."""
-    share = min(1.0, tried / max(1, model.documents))
-    sample = docs.select(whole_text(text_col).alias("text"), F.lit(None).cast("long").alias("doc_id")).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    sums = _found(sample, model, F.lit(False), WEIGHTS, True, "doc_id", "text").filter("row < 0").groupBy("row").agg(F.sum("s0").alias("s0")).collect()
+def weighed(model: Model, docs: DataFrame, text_col: str = "text") -> Model:
+    """The model with the unigram weight that makes all of the training texts likeliest, each token as if not counted."""
+    texts = docs.select(F.col(text_col).alias("text"), F.lit(None).cast("long").alias("doc_id"))
+    sums = _found(texts, model, F.lit(False), WEIGHTS, True, "doc_id", "text").filter("row < 0").groupBy("row").agg(F.sum("s0").alias("s0")).collect()
     best = _likeliest(sums, WEIGHTS)
     return replace(model, weight=WEIGHTS[best]) if best is not None else model
 
 
-def scored(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id", text_col: str = "text", weights: tuple[float, ...] | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens: white-space-separated words with A-Z in lower case, then one end. base_score: the add-one unigram log10
@@ -502,15 +501,20 @@ def scored(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_i
     table of all counts, under a key of their own each, so that no hot key arises. score: log10 probability by the
     filter's bigram model.
 
+    The unigram weight is the model's. If `weights` are given, it is that of them which makes all rows that are not held
+    out likeliest, each token as if not counted: what `weighed` finds over the training texts, without a pass of its own.
+
     Null text is empty text: one token, the end. Null and repeated ids get a row each. A column that `held_out` does not
     need is not read. An empty table gives an empty result; a model of no training texts gives every token the same
     probability.
     """
     n, v = model.train_tokens, model.distinct
-    found = _found(docs, model, held_out, (model.weight,), False, id_col, text_col)
+    tried = weights is not None
+    weights = weights or (model.weight,)
+    found = _found(docs, model, held_out, weights, tried, id_col, text_col)
     joined = found.join(model.words.select(F.col("word").alias("key"), "n"), "key", "left")
     seen = F.coalesce(F.col("n"), F.lit(0))
-    return (
+    rows = (
         joined.groupBy("row")
         .agg(
             F.max("doc_id").alias("doc_id"),
@@ -518,7 +522,13 @@ def scored(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_i
             F.max("n_tokens").alias("n_tokens"),
             (F.max("n_known") + F.coalesce(F.sum(F.when(seen > 0, F.col("times"))), F.lit(0))).alias("n_known"),
             (F.max("base_score") + F.coalesce(F.sum(F.col("times") * F.log10((seen + 1) / F.lit(float(n + v + 1)))), F.lit(0.0))).alias("base_score"),
-            F.sum("s0").alias("score"),
+            *(F.sum(f"s{i}").alias(f"s{i}") for i in range(len(weights))),
         )
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
     )
+    best = 0
+    if tried:
+        rows = written(rows, "lm-scores")
+        best = _likeliest(rows.filter("row < 0").select("row", "s0").collect(), weights)
+        best = weights.index(model.weight) if best is None and model.weight in weights else best or 0
+        rows = rows.filter("row >= 0")
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", F.col(f"s{best}").alias("score"))

@@ -29,9 +29,7 @@ def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 7) == 2
-    training = docs.filter(~held_out)
-    model = lm_score.weighed(lm_score.train(training), training)
-    return lm_score.scored(docs, model, held_out)
+    return lm_score.scored(docs, lm_score.train(docs.filter(~held_out)), held_out, weights=lm_score.WEIGHTS)
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
