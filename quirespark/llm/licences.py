@@ -1,9 +1,11 @@
-"""Licence scan: lines and whole texts against licence templates by Dice coefficient, in DataFrame operations only."""
+"""Licence scan: lines, whole texts and windows of words against licence templates by Dice coefficient, in DataFrame operations only."""
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +30,12 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
+#: Whole licence texts, by identifier. Only windows are compared with them.
+TEXTS: list[tuple[str, str]] = [(f.stem, f.read_text("utf-8")) for f in sorted(Path(__file__).with_name("licence_texts").glob("*.txt"))]
 #: Least Dice coefficient, in hundredths.
 LEAST = 80
+#: Bigrams of a template up to which its necessary words are searched for; those of whole licence texts are too many.
+SHORT = 60
 
 
 def normal_words(text: Column) -> Column:
@@ -37,10 +43,14 @@ def normal_words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
 
 
+def neighbours(words: Column) -> Column:
+    """Pairs of neighbouring words."""
+    return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
 def bigrams(words: Column) -> Column:
     """Distinct pairs of neighbouring words."""
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(pairs)
+    return F.array_distinct(neighbours(words))
 
 
 def notice_bigrams(notice: str) -> list[str]:
@@ -73,9 +83,45 @@ def may_hold(text: Column, parts: list[str]) -> Column:
     return reduce(lambda x, y: x | y, tests, F.lit(False))
 
 
+def _listed(templates: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
+    return [(licence, grams) for licence, notice in dict.fromkeys(templates) if (grams := notice_bigrams(notice))]
+
+
+def window_matches(docs: DataFrame, templates: list[tuple[str, str]], least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Windows of a text's words, across line ends, that match a template, as (doc_id, best) with best as of units. No two
+    of a text share a word: those of more overlap come first (ties: the larger coefficient, then the later name).
+
+    The bigrams of a text that are also a template's form runs. Windows begin where a run begins and end where one ends,
+    as others gain by being stretched or cut to that; they have at most b * (200 - least) / least bigrams, as longer ones
+    cannot match. |A| counts the template's bigrams once and others as often as they occur."""
+    listed = _listed(templates)
+    index = [{"template": k, "licence": licence, "b": len(grams), "gram": g} for k, (licence, grams) in enumerate(listed) for g in grams]
+    index = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(index)), "array<struct<template:int,licence:string,b:int,gram:string>>")))
+    may = may_hold(F.lower("text"), [x for _, grams in listed if len(grams) <= SHORT for x in necessary(grams, least)])
+    long = min((len(grams) for _, grams in listed if len(grams) > SHORT), default=None)
+    if long is not None:  # a match shares so many bigrams, a word and a space more for each
+        may = may | (F.char_length("text") * (200 - least) >= F.lit(2 * long * least))
+    kept = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).filter(may).select("doc_id", F.monotonically_increasing_id().alias("row"), neighbours(normal_words(F.col("text"))).alias("grams"))
+    met = kept.select("doc_id", "row", F.posexplode("grams").alias("pos", "gram")).join(F.broadcast(index), "gram")
+    hits = met.groupBy("doc_id", "row", "template", "licence", "b").agg(F.sort_array(F.collect_list(F.struct("pos", "gram"))).alias("hits"))
+    near = hits.filter(F.size(F.array_distinct(F.transform("hits", lambda x: x["gram"]))) * (200 - least) >= F.col("b") * least)
+    at = F.transform("hits", lambda x: x["pos"])
+    near = near.withColumn("at", at).withColumn("starts", F.array_except("at", F.transform("at", lambda x: x + 1))).withColumn("ends", F.array_except("at", F.transform("at", lambda x: x - 1)))
+    spans = F.flatten(F.transform("starts", lambda s: F.transform(F.filter("ends", lambda e: (e >= s) & ((e - s + 1) * least <= F.col("b") * (200 - least))), lambda e: F.struct(s.alias("s"), e.alias("e")))))
+    spans = near.withColumn("span", F.explode(spans)).select("doc_id", "row", "licence", "b", "span.s", "span.e", "hits")
+    own = F.filter("hits", lambda x: (x["pos"] >= F.col("s")) & (x["pos"] <= F.col("e")))
+    spans = spans.withColumn("own", own).withColumn("overlap", F.size(F.array_distinct(F.transform("own", lambda x: x["gram"])))).withColumn("total", (F.col("e") - F.col("s") + 1 - F.size("own") + F.col("overlap") + F.col("b")).cast("long"))
+    found = spans.filter(F.col("overlap") * 200 >= least * F.col("total")).withColumn("overlap", F.col("overlap").cast("long")).withColumn("dice", 2 * F.col("overlap") / F.col("total"))
+    ranked = found.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("overlap", "dice", "licence", "total", "s", "e")), asc=False).alias("ranked"))
+    apart = F.aggregate("ranked", F.slice("ranked", 1, 0), lambda taken, x: F.when(F.exists(taken, lambda y: (y["s"] <= x["e"] + 1) & (x["s"] <= y["e"] + 1)), taken).otherwise(F.concat(taken, F.array(x))))
+    return ranked.select("doc_id", F.explode(apart).alias("w")).select("doc_id", F.struct("w.dice", "w.overlap", "w.licence", "w.total").alias("best"))
+
+
 def licence_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and licence that a unit of it matches best: doc_id, licence, n_units, best_overlap,
-    best_total and dice (2 * best_overlap / best_total). Units are the lines of a text and, if it has several, the whole.
+    best_total and dice (2 * best_overlap / best_total). Units are the lines of a text and, if it has several, the whole;
+    besides, windows of words (see window_matches) find notices that are wrapped or within a line or longer text, and, if
+    no templates are given, whole licence texts. n_units is the number of matching units or of windows, whichever is more.
 
     A unit and a template match when 200 * |A and B| >= least * (|A| + |B|) over their sets of word bigrams; of several
     templates the one of the largest coefficient counts (ties: more bigrams, then the later name). Texts that lack the
@@ -88,7 +134,8 @@ def licence_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = N
     templates, gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
-    listed = [(licence, grams) for licence, notice in dict.fromkeys(TEMPLATES if templates is None else templates) if (grams := notice_bigrams(notice))]
+    windows = window_matches(docs, TEMPLATES + TEXTS if templates is None else templates, least, id_col, text_col)
+    listed = _listed(TEMPLATES if templates is None else templates)
     sizes = {len(grams) for _, grams in listed}
     low, high = min((n * least / (200 - least) for n in sizes), default=1), max((n * (200 - least) / least for n in sizes), default=0)
     entries = [F.struct(F.lit(k).alias("template"), F.lit(licence).alias("licence"), F.lit(len(grams)).alias("b"), F.lit(g).alias("gram")) for k, (licence, grams) in enumerate(listed) for g in grams]
@@ -105,7 +152,9 @@ def licence_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = N
     overlap = met.groupBy("doc_id", "unit_id", "a", "template", "licence", "b").agg(F.count(F.lit(1)).alias("overlap")).filter(F.col("overlap") * 200 >= least * (F.col("a") + F.col("b")))
     total = (F.col("a") + F.col("b")).cast("long")
     best = overlap.groupBy("doc_id", "unit_id").agg(F.max(F.struct((2 * F.col("overlap") / total).alias("dice"), F.col("overlap"), F.col("licence"), total.alias("total"))).alias("best"))
-    return best.groupBy("doc_id", F.col("best.licence").alias("licence")).agg(F.count(F.lit(1)).alias("n_units"), F.max("best").alias("best")).select("doc_id", "licence", "n_units", F.col("best.overlap").alias("best_overlap"), F.col("best.total").alias("best_total"), F.col("best.dice").alias("dice"))
+    both = best.select("doc_id", "best", F.lit(False).alias("window")).unionByName(windows.select("doc_id", "best", F.lit(True).alias("window")))
+    n = F.greatest(F.count_if(~F.col("window")), F.count_if(F.col("window")))
+    return both.groupBy("doc_id", F.col("best.licence").alias("licence")).agg(n.alias("n_units"), F.max("best").alias("best")).select("doc_id", "licence", "n_units", F.col("best.overlap").alias("best_overlap"), F.col("best.total").alias("best_total"), F.col("best.dice").alias("dice"))
 
 
 def _values() -> str:
