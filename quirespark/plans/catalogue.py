@@ -67,7 +67,8 @@ SELECT doc_id, source || '/' || title || CASE WHEN k > 0 THEN ' ' || k ELSE '' E
 """
 )
 def rendered_notes(t):
-    """Notes of documents: a source is a section, the first line a title; bodies escaped, names claimed in document order."""
+    """Notes of documents: a source is a section, the first 40 characters of the first line a title, as in the SQL (titled_notes
+    takes the whole line); bodies escaped, names numbered in document order."""
     docs = t("documents").select("doc_id", "source", text.escape_lines(F.col("text")).alias("body"), F.substring(F.regexp_extract("text", r"\A[^\n]*", 0), 1, 40).alias("head"))
     titled = docs.withColumn("title", text.sanitize_name(F.col("head")))
     nth = F.row_number().over(Window.partitionBy("source", F.lower("title")).orderBy("doc_id")) - 1
@@ -75,6 +76,15 @@ def rendered_notes(t):
     return titled.select("doc_id", F.concat("source", F.lit("/"), name, F.lit(".md")).alias("path"), F.sha2(F.col("body").cast("binary"), 256).alias("digest"), F.octet_length("body").cast("long").alias("n_bytes"))
 
 
+@query()
+def titled_notes(t):
+    """Notes as of rendered_notes, but the whole first line is the title and no two notes of a section get one path, also
+    where a title ends in a number. The name is cut by bytes in a Unicode form that SQL does not have: no oracle."""
+    docs = t("documents").select("doc_id", "source", text.escape_lines(F.col("text")).alias("body"), F.regexp_extract("text", r"\A[^\n]*", 0).alias("head"))
+    found = docs.select("doc_id", "source", F.concat(names.file_name_column(F.col("head")), F.lit(".md")).alias("name"), F.sha2(F.col("body").cast("binary"), 256).alias("digest"), F.octet_length("body").cast("long").alias("n_bytes"))
+    return layout.claimed(found, "source", "name", "doc_id").select("doc_id", F.concat("source", F.lit("/"), "claimed").alias("path"), "digest", "n_bytes")
+
+
 @query(r"""SELECT page_id, regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '(?i)\.one$', '') AS title,
   array_to_string(list_filter(list_slice(string_split(replace(url, '\', '/'), '/'), 1, -2), lambda p: p <> '' AND p <> '.'), '>') AS groups FROM pages""")
 def scan_sections(t):
