@@ -11,15 +11,26 @@ _OWN: dict[str, str] = {}
 
 
 def base_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; the warehouse, or in local mode a temporary folder, where the setting is missing."""
+    """The cluster's shared folder as a URI; the warehouse, or in local mode a temporary folder, where the setting is
+    missing. A path without a scheme lies in Hadoop's default file system, as it does for Spark."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        return _qualified(spark, named).rstrip("/")
     if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
         if "dir" not in _OWN:
             _OWN["dir"] = tempfile.mkdtemp(prefix="quirespark-")
         return _OWN["dir"]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quirespark"
+    return _qualified(spark, spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + "/_quirespark"
+
+
+def _located(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    at, store = _located(spark, path)
+    return store.makeQualified(at).toString()
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
@@ -31,4 +42,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._scratch_path = path
+    return found
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes the files of tables that `written` gave, once nothing reads them any more; others are left alone."""
+    for df in tables:
+        if "_scratch_path" in df.__dict__:
+            at, store = _located(df.sparkSession, df._scratch_path)
+            store.delete(at, True)
