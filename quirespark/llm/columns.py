@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: ASCII white space as the result contracts name it: \x20 and \x09 to \x0D.
@@ -22,3 +22,11 @@ def spaced(text: Column) -> Column:
 def fold(id_name: str, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_name).cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
+
+
+def unused(rows: DataFrame, stem: str) -> str:
+    """A column name that no column of the rows has, in any case."""
+    taken = {c.lower() for c in rows.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem

@@ -6,9 +6,9 @@ import os
 import uuid
 from urllib.parse import unquote, urlparse
 
-from quirespark.scratch import base_dir, new_dir, written
+from quirespark.scratch import base_dir, new_dir, removed, written
 
-__all__ = ["base_dir", "bounded_batches", "local_path", "mapped", "new_dir", "write_whole", "written"]
+__all__ = ["base_dir", "bounded_batches", "local_path", "mapped", "new_dir", "removed", "write_whole", "written"]
 
 
 #: Rows of an Arrow batch that goes to Python: ten thousand long texts, the default, can be gigabytes.

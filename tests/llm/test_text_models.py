@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -133,11 +134,79 @@ def test_segments_are_the_maximal_ones():
         return by_definition(s, lo, a) + [(round(best[0], 9), a, b)] + by_definition(s, b, hi)
 
     rng = random.Random(1)
-    for _ in range(200):
-        s = [rng.choice([-1.0, -1.0, -1.0, 1.37, 2.71, 0.61]) + rng.random() / 1000 * 0 for _ in range(rng.randrange(0, 18))]
-        at = np.array([k for k, x in enumerate(s) if x > 0], np.int64)
-        found = toxicity.segments(np.array([s[k] for k in at]), at, -1.0)
-        assert [(round(x, 9), a, b) for x, a, b in found] == by_definition(s, 0, len(s))
+    for _ in range(300):
+        s = [rng.choice([-1.0, -1.0, -1.0, -0.2, 0.0, 1.37, 2.71, 0.61]) for _ in range(rng.randrange(0, 18))]
+        found = toxicity.segments(np.array(s))
+        assert sorted(round(x, 9) for x, _, _ in found) == sorted(x for x, _, _ in by_definition(s, 0, len(s)))
+        assert all(round(sum(s[a:b]), 9) == round(x, 9) for x, a, b in found)
+
+
+def test_segments_take_linear_time():
+    falling = np.where(np.arange(400_000) % 2 == 0, 1.0, -1.01)  # no segment merges with another
+    start = time.process_time()
+    assert len(toxicity.segments(falling)) == 200_000
+    assert len(toxicity.segments(np.where(np.arange(400_000) % 2 == 0, 1.0, -0.01))) == 1
+    assert time.process_time() - start < 4
+
+
+def test_toxicity_score_by_definition(spark):
+    """Scores of a learnt lexicon against plain loops over words, passages and chances."""
+    docs, labels, truth = labelled(spark)
+    usable = fold("doc_id", 3) != 1
+    lexicon = toxicity.learn(docs, labels, "toxic", usable)
+    known = {r.doc_id for r in docs.filter(usable).collect()}
+    counts, totals = {}, [0, 0]
+    for r in docs.collect():
+        if r.doc_id in known and r.doc_id in truth:
+            y = truth[r.doc_id][1] if r.doc_id != 3 else 1 if truth[3][1] or 3 % 5 == 0 else 0
+            for word in set(re.findall(r"[a-z0-9\x80-\U0010ffff]+", (r.text or "").lower())):
+                totals[y] += 1
+                for key in [word] + [(k, word[:k]) for k in (6, 5, 4) if len(word) > k]:
+                    counts.setdefault(key, [0, 0])[y] += 1
+
+    def odds(key):
+        c, t = counts[key]
+        share = totals[1] / sum(totals)
+        a, b = t + 2 * share, c + 2 * (1 - share)
+        ratio = math.log(a / share) - math.log(b / (1 - share))
+        return math.copysign(max(0.0, abs(ratio) - 2 * math.sqrt(1 / a + 1 / b)), ratio)
+
+    def value(word):
+        return next((odds(k) for k in [word] + [(k, word[:k]) for k in (6, 5, 4) if len(word) > k] if k in counts), 0.0) - 0.05
+
+    def best(s, lo, hi):
+        """Maximal segments by definition, with the sums from the left."""
+        left = [0.0]
+        for x in s:
+            left.append(left[-1] + x)
+        a, b, top, least = lo, lo, 0.0, lo
+        for k in range(lo + 1, hi + 1):
+            if left[k] - left[least] > top + 1e-12:
+                a, b, top = least, k, left[k] - left[least]
+            if left[k] <= left[least]:
+                least = k
+        return [] if top <= 0 else best(s, lo, a) + [(top, a, b)] + best(s, b, hi)
+
+    rows = {r.doc_id: r for r in toxicity.scored(docs, lexicon).collect() if r.doc_id is not None and r.doc_id % 40 in (0, 1, 3)}
+    assert len(rows) > 30
+    for r in rows.values():
+        words = re.findall(r"[a-z0-9\x80-\U0010ffff]+", (r.text or "").lower())
+        found = best([value(w) for w in words], 0, len(words))
+        evidence = [lexicon.rate * s - math.log(lexicon.scale * max(1, len(words))) for s, _, _ in found]
+        total = sum(math.log1p(math.exp(e)) if e < 500 else e for e in evidence)
+        assert abs(r.score - 1 / (1 + math.exp(-lexicon.base - lexicon.slope * math.log1p(total)))) < 1e-4
+        assert [(p["first"], p["end"]) for p in r.passages] == [(a, b) for (_, a, b), e in zip(found, evidence, strict=True) if e >= -math.log(0.05)]
+
+
+def test_toxicity_of_very_long_texts_and_empty_tables(spark):
+    docs, labels, _ = labelled(spark)
+    lexicon = toxicity.learn(docs, labels, "toxic", F.lit(True))
+    long = "w10 " * 200_000
+    rows = spark.createDataFrame([(1, long, "own"), (2, long + "vileone viletwo nasty vileone viletwo nasty", "own")], "doc_id long, text string, found string")
+    plain, toxic = sorted(toxicity.scored(rows, lexicon).collect())
+    assert plain.score < 0.5 < toxic.score and plain.found == "own" and toxic.passages[-1]["end"] == 200_006
+    assert toxicity.scored(rows.limit(0), lexicon).count() == 0
+    assert toxicity.scored(rows, toxicity.learn(docs.limit(0), labels, "toxic", F.lit(True))).filter("predicted = 1").count() == 0
 
 
 def test_licences(spark, docs):
