@@ -83,6 +83,44 @@ def may_hold(text: Column, parts: list[str]) -> Column:
     return reduce(lambda x, y: x | y, tests, F.lit(False))
 
 
+def weighed_words(grams: list[str], known: set[str], hundredths: int) -> dict[str, int]:
+    """Words of five letters or more that cover so many hundredths of a template's bigrams, with the number of bigrams that
+    each is the first to cover: the known ones first, then those that cover most."""
+    holders: dict[str, set[str]] = {}
+    for g in grams:
+        for w in g.split():
+            if len(w) > 4:
+                holders.setdefault(w, set()).add(g)
+    left, found = set(grams), {}
+    while holders and (len(grams) - len(left)) * 100 < len(grams) * hundredths:
+        word = max(holders, key=lambda w: (w in known and bool(holders[w] & left), len(holders[w] & left), w))
+        new = holders.pop(word) & left
+        if not new:
+            break
+        found[word] = len(new)
+        left -= new
+    return found
+
+
+def may_hold_long(text: Column, templates: list[list[str]], least: int) -> Column:
+    """Whether a text in lower case may hold a long template. A match lacks (200 - 2 * least) / (200 - least) of the
+    template's bigrams at most, so words that cover more cannot all be missing: one of few frequent words is there, and
+    of many words those that are not there cover no more than that. Where words do not cover so much, any text may."""
+    lacking = lambda n: n * (200 - 2 * least) // (200 - least)
+    known: set[str] = set()
+    for grams in templates:
+        some = weighed_words(grams, known, 100 * (200 - 2 * least) // (200 - least) + 2)
+        if sum(some.values()) <= lacking(len(grams)):
+            return F.lit(True)
+        known |= some.keys()
+    tests = []
+    for grams in templates:
+        words = weighed_words(grams, known, 60)
+        missing = reduce(lambda x, y: x + y, [F.when(F.contains(text, F.lit(w)), 0).otherwise(n) for w, n in words.items()])
+        tests.append(missing <= lacking(len(grams)))
+    return may_hold(text, sorted(known)) & reduce(lambda x, y: x | y, tests, F.lit(False))
+
+
 def _listed(templates: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
     return [(licence, grams) for licence, notice in dict.fromkeys(templates) if (grams := notice_bigrams(notice))]
 
@@ -98,9 +136,9 @@ def window_matches(docs: DataFrame, templates: list[tuple[str, str]], least: int
     index = [{"template": k, "licence": licence, "b": len(grams), "gram": g} for k, (licence, grams) in enumerate(listed) for g in grams]
     index = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(index)), "array<struct<template:int,licence:string,b:int,gram:string>>")))
     may = may_hold(F.lower("text"), [x for _, grams in listed if len(grams) <= SHORT for x in necessary(grams, least)])
-    long = min((len(grams) for _, grams in listed if len(grams) > SHORT), default=None)
-    if long is not None:  # a match shares so many bigrams, a word and a space more for each
-        may = may | (F.char_length("text") * (200 - least) >= F.lit(2 * long * least))
+    long = [grams for _, grams in listed if len(grams) > SHORT]
+    if long:  # a match shares so many bigrams, a word and a space more for each
+        may = may | ((F.char_length("text") * (200 - least) >= F.lit(2 * min(map(len, long)) * least)) & may_hold_long(F.lower("text"), long, least))
     kept = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).filter(may).select("doc_id", F.monotonically_increasing_id().alias("row"), neighbours(normal_words(F.col("text"))).alias("grams"))
     met = kept.select("doc_id", "row", F.posexplode("grams").alias("pos", "gram")).join(F.broadcast(index), "gram")
     hits = met.groupBy("doc_id", "row", "template", "licence", "b").agg(F.sort_array(F.collect_list(F.struct("pos", "gram"))).alias("hits"))
