@@ -1,7 +1,8 @@
 """A corpus pipeline over `documents`: five stages, each written as Parquet and read again by the next.
 
 A stage takes (spark, docs, sf_dir), works on every row that its predecessor kept, and returns the columns of documents;
-the last returns the packed pieces. Nulls, empty texts, repeated ids and extra columns are handled as the operators say.
+the last returns the packed pieces. Nulls, empty and very long texts, ties and repeated ids are handled as the operators
+say. Extra columns of any name are kept as they are, but for the packed pieces; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -11,33 +12,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirespark.llm import decontam, quality
-from quirespark.llm.columns import fold, spaced, whole_text
+from quirespark.llm.columns import fold, spaced, unused, whole_text
 from quirespark.llm.exact_dedup import exact_groups
 from quirespark.llm.ngram_join import near_duplicates
 from quirespark.llm.packing import pack
 from quirespark.llm.queries import VOCABULARY
-from quirespark.llm.shared import written
+from quirespark.llm.shared import removed, written
 
 #: Words that a tokenizing worker remembers: fewer than by default, as the other stages' workers are there too.
 MEMO_WORDS = 200_000
-#: A document that holds passages of this many benchmark items or more goes.
-LEAKED_ITEMS = 2
-
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality ranking does not reject. It learns from the labelled rows of three of four folds."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     ranking = quality.learn(docs, labels, "quality", fold("doc_id", 4) != 2)
-    return quality.scored(docs, ranking, score="_score", predicted="_predicted").filter("_predicted = 1").select(*docs.columns)
+    score, predicted = unused(docs, "score"), unused(docs, "predicted")
+    return quality.scored(docs, ranking, score=score, predicted=predicted).filter(F.col(predicted) == 1).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of exact copies: that of the smallest id. Rows are told apart by id and text, so of
     rows that share an id those with other texts stay."""
-    key = F.sha2(spaced(whole_text("text")).cast("binary"), 256)
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept")).distinct()
-    rows = docs.withColumn("_text", key)
-    return rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_text"] == kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    own, name, digest = unused(docs, "digest"), "kept id", "kept digest"
+    rows = docs.withColumn(own, F.sha2(spaced(whole_text("text")).cast("binary"), 256))
+    kept = written(exact_groups(docs).filter("kept").groupBy(F.col("doc_id").alias(name), F.col("text_sha256").alias(digest)).agg(F.count(F.lit(1)).alias("times")), "kept-texts")
+    stay = rows.join(kept, rows["doc_id"].eqNullSafe(kept[name]) & (rows[own] == kept[digest]), "left_semi")
+    if not kept.filter("times > 1").isEmpty():  # rows of one id and one text: one of them stays
+        stay = stay.dropDuplicates(["doc_id", own])
+    return stay.select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +50,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold passages of fewer than two benchmark items."""
+    """Documents that hold no window of any benchmark item; nulls and texts without words hold none. Repeated items count
+    once, and without items every document stays."""
     index = decontam.build_index(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return decontam.marked(docs, index, hits="_hits").filter(F.size("_hits.items") < LEAKED_ITEMS).select(*docs.columns)
+    hits = unused(docs, "hits")
+    return decontam.marked(docs, index, hits=hits).filter(F.col(hits)["n_hit"] == 0).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,11 +74,13 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents in turn, with a written table between them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, f"stage-{k}")
+            removed(*before)
+            before = [docs]
     return docs
 
 
