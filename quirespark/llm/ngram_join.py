@@ -31,7 +31,7 @@ FRAGMENTS = 4
 #: Frequent n-grams whose place in the order is known (broadcast, 16 bytes each); least documents of one.
 FREQUENT, LEAST = 1 << 18, 8
 #: Nodes of one n-gram that are put to one hub at most; more are dealt to several.
-GROUP = 4096
+GROUP = 512
 #: Rounds with hubs before all remaining pairs are counted.
 ROUNDS = 2
 #: N-grams that a task counts together.
@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     try:
         edges, tested, labels = None, None, None
         for turn in range(ROUNDS + 1):
-            pairs = _hub_pairs(postings, labels, turn, similarity) if turn < ROUNDS else _remaining_pairs(postings, labels, similarity)
+            pairs = _hub_pairs(postings, labels, turn, similarity, group) if turn < ROUNDS else _remaining_pairs(postings, labels, similarity, group)
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = written(pairs, "candidate-pairs")
@@ -343,8 +343,9 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("node", "other").alias("a"), F.when(ahead, F.col("size")).otherwise(F.col("other_size")).alias("size_a"), F.greatest("node", "other").alias("b"), F.when(ahead, F.col("other_size")).otherwise(F.col("size")).alias("size_b")).distinct()
 
 
-def _hub_pairs(postings: DataFrame, labels: DataFrame | None, turn: int, similarity: int) -> DataFrame:
-    """Each node of an n-gram and salt with its hub, and hubs with the hub of the n-gram, unless known to hang together.
+def _hub_pairs(postings: DataFrame, labels: DataFrame | None, turn: int, similarity: int, group: int) -> DataFrame:
+    """Each node of an n-gram and salt with its hub, hubs with the hub of `group` salts, and those with the hub of the
+    n-gram, unless known to hang together: so few pairs share a hub, and what one task reads of them stays small.
 
     The first hub is the node with most shared n-grams in its prefix: in a group of edited copies that is one with few
     edits. Later hubs are drawn anew for each n-gram among the nodes of its largest component, so that a node which is
@@ -360,23 +361,28 @@ def _hub_pairs(postings: DataFrame, labels: DataFrame | None, turn: int, similar
     pick = F.min(F.struct("by", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("c").alias("other_c"), F.col("place").alias("other_place"))).alias("hub")
     hubs = rows.groupBy("gram", "salt").agg(pick).select("gram", "salt", "hub.*")
     inner = rows.drop("by").join(hubs, ["gram", "salt"])
-    dealt = hubs.filter("salt >= 0")
-    first = dealt.groupBy("gram").agg(F.min(F.struct("by", "other", "other_size", "other_c", "other_place")).alias("hub")).select("gram", "hub.other", "hub.other_size", "hub.other_c", "hub.other_place")
-    outer = dealt.select("gram", F.col("other").alias("node"), F.col("other_size").alias("size"), F.col("other_c").alias("c"), F.col("other_place").alias("place")).join(first, "gram")
     met = ["node", "size", "c", "place", "other", "other_size", "other_c", "other_place"]
-    return _pairs(inner.select(*met).unionByName(outer.select(*met)).filter((F.col("c") != F.col("other_c")) & _may_link(similarity)))
+    rows = inner.select(*met)
+    heads = hubs.filter("salt >= 0").withColumn("over", F.floor(F.col("salt") / group))
+    for keys in (["gram", "over"], ["gram"]):
+        first = heads.groupBy(*keys).agg(F.min(F.struct("by", "other", "other_size", "other_c", "other_place")).alias("hub")).select(*keys, "hub.*")
+        own = heads.select(*keys, F.col("other").alias("node"), F.col("other_size").alias("size"), F.col("other_c").alias("c"), F.col("other_place").alias("place"))
+        rows = rows.unionByName(own.join(first, keys).select(*met))
+        heads = first
+    return _pairs(rows.filter((F.col("c") != F.col("other_c")) & _may_link(similarity)))
 
 
-def _remaining_pairs(postings: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
+def _remaining_pairs(postings: DataFrame, labels: DataFrame, similarity: int, group: int) -> DataFrame:
     """All pairs of nodes that share an n-gram of their prefixes and aren't known to hang together. The nodes of an
-    n-gram's largest component stand on one side of the join only, so those do not meet each other."""
+    n-gram's largest component stand on one side of the join only, so those do not meet each other. The nodes of that side
+    are dealt to parts, each of which meets all of the other, so a common n-gram is not one task's."""
     rows = written(_labelled(postings, labels), "labelled-postings")
     sizes = rows.groupBy("gram", "c").agg(F.count(F.lit(1)).alias("n"))
-    live = sizes.groupBy("gram").agg(F.max(F.struct("n", "c")).alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("gram", F.col("largest.c").alias("largest"))
+    live = sizes.groupBy("gram").agg(F.max(F.struct("n", "c")).alias("largest"), F.count(F.lit(1)).alias("parts"), F.ceil(F.sum("n") / (2 * group)).cast("int").alias("spread")).filter("parts > 1").select("gram", "spread", F.col("largest.c").alias("largest"))
     kept = rows.join(live, "gram")
-    left = kept.filter("c <> largest").select("gram", "node", "size", "c", "place")
-    right = kept.select("gram", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("c").alias("other_c"), F.col("place").alias("other_place"), "largest")
-    met = left.join(right, "gram").filter((F.col("c") != F.col("other_c")) & ((F.col("other_c") == F.col("largest")) | (F.col("node") < F.col("other"))) & _may_link(similarity))
+    left = kept.filter("c <> largest").select("gram", F.pmod(F.xxhash64("node"), F.col("spread")).cast("int").alias("dealt"), "node", "size", "c", "place")
+    right = kept.withColumn("dealt", F.explode(F.sequence(F.lit(0), F.col("spread") - 1))).select("gram", "dealt", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("c").alias("other_c"), F.col("place").alias("other_place"), "largest")
+    met = left.join(right, ["gram", "dealt"]).filter((F.col("c") != F.col("other_c")) & ((F.col("other_c") == F.col("largest")) | (F.col("node") < F.col("other"))) & _may_link(similarity))
     return _pairs(met)
 
 
