@@ -32,6 +32,7 @@ def escape_inline(text: Column) -> Column:
 
 def escape_line_start(line: Column) -> Column:
     """A backslash before what Markdown would read as a heading, quote, table, list, fence or rule at a line's start."""
+    # fixed values: what Markdown reads as a mark at a line's start
     marks = [rf"#{{1,6}}(?=[{SPACE}]|\z)", ">", r"\|", rf"[-*+](?=[{SPACE}])", rf"[0-9]+[.)](?=[{SPACE}])", "`{3,}", "~{3,}", r"-{3,}\z", r"={3,}\z"]
     return F.regexp_replace(line, rf"\A([{SPACE}]*)({'|'.join(marks)})", r"$1\\$2")
 
@@ -104,7 +105,7 @@ def gfm_table(rows: Column) -> Column:
 
 
 def tidy_name(name: Column) -> Column:
-    """Names without what file systems or links reserve, in this order: dots alone, trailing dots and spaces, device names,
+    """The rules. Names without what file systems or links reserve, in this order: dots alone, trailing dots and spaces, device names,
     link characters, leading dots and space."""
     rules = [r"\A\.+\z", r"[. ]+\z", r"(?i)\A(con|prn|aux|nul|com[0-9]|lpt[0-9])(\..*)?\z", r"[\[\]#|^]", rf"\A[.{SPACE}]+"]
     return reduce(lambda c, rule: F.regexp_replace(c, rule, ""), rules, name)
@@ -132,13 +133,16 @@ def entry_groups(path: Column) -> Column:
 
 
 def json_text(text: Column) -> Column:
-    """A JSON string literal."""
-    return F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r"(?s)\A\{\"v\":(.*)\}\z", 1)
+    """A JSON string literal; control characters that have no short escape are told by small hexadecimal digits."""
+    found = F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r"(?s)\A\{\"v\":(.*)\}\z", 1)
+    # escapes of control characters all read 00 and two digits; a backslash of the text itself is doubled and stays
+    parts = F.regexp_extract_all(found, F.lit(r"(?s)(\\.(?:(?<=u)[0-9A-F]{4})?|[^\\]+)"), 1)
+    return F.array_join(F.transform(parts, lambda x: F.when(x.startswith("\\u"), F.lower(x)).otherwise(x)), "")
 
 
-def front_matter(title: Column, page_id: Column, section: Column, notebook: Column, groups: Column, updated: Column, conflict: Column, deleted: Column) -> Column:
+def front_matter(title: Column, page_id: Column, section: Column, notebook: Column, groups: Column, updated: Column, conflict: Column, deleted: Column, created: Column | None = None) -> Column:
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value)
-    stamp = F.date_format(updated, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    stamp = lambda at: F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     return F.concat_ws(
         "\n",
         F.lit("---"),
@@ -148,7 +152,8 @@ def front_matter(title: Column, page_id: Column, section: Column, notebook: Colu
         line("section", json_text(section)),
         F.when(notebook != "", line("notebook", json_text(notebook))),
         F.when(F.size(groups) > 0, line("section-group", json_text(F.array_join(groups, "/")))),
-        line("updated", stamp),
+        line("created", stamp(created)) if created is not None else F.lit(None).cast("string"),
+        line("updated", stamp(updated)),
         F.when(conflict, "conflict: true"),
         F.when(deleted, "deleted: true"),
         F.lit("---"),
