@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Kinds by leading bytes, as (first byte from 1, hexadecimal, kind), in order of precedence.
 LEADING = [(1, "89504E47", "png"), (1, "FFD8FF", "jpg"), (1, "47494638", "gif"), (1, "25504446", "pdf"), (1, "49492A00", "tiff"), (1, "4D4D002A", "tiff"), (1, "424D", "bmp"), (1, "1F8B", "gz"), (1, "494433", "mp3")]
@@ -34,12 +39,15 @@ def container_kind(data: Column) -> Column:
     return F.when(head.startswith("4D534346"), "cabinet").when(head == "D0CF11E0A1B11AE1", "compound").otherwise("section")
 
 
-def cabinet_checksum(data: Column) -> Column:
+@F.arrow_udf(T.LongType())
+def cabinet_checksum(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """XOR of the little-endian 32-bit words; the bytes after the last whole word are one big-endian number."""
-    text = F.hex(data)
-    byte = lambda first: F.conv(F.substring(text, 2 * first + 1, 2), 16, 10).cast("long")
-    whole = F.floor(F.octet_length(data) / 4).cast("int")
-    words = F.transform(F.sequence(F.lit(0), F.greatest(whole - 1, F.lit(0))), lambda i: byte(4 * i) + byte(4 * i + 1) * 256 + byte(4 * i + 2) * 65536 + byte(4 * i + 3) * 16777216)
-    total = F.when(whole > 0, F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(w))).otherwise(F.lit(0).cast("long"))
-    rest = F.coalesce(F.conv(F.nullif(F.substring(text, 8 * whole + 1, 6), F.lit("")), 16, 10).cast("long"), F.lit(0).cast("long"))
-    return total.bitwiseXOR(rest)
+
+    def of(data: bytes | None) -> int | None:
+        if data is None:
+            return None
+        whole = len(data) // 4
+        return int(np.bitwise_xor.reduce(np.frombuffer(data, "<u4", whole), initial=0)) ^ int.from_bytes(data[4 * whole :], "big")
+
+    for column in batches:
+        yield pa.array([of(x) for x in column.to_pylist()], pa.int64())

@@ -20,23 +20,16 @@ TAG = "struct<label:string,checkable:boolean,completed:boolean,shape:int>"
 MARKS = [("superscript", "<sup>", "</sup>"), ("subscript", "<sub>", "</sub>"), ("underline", "<u>", "</u>"), ("bold", "**", "**"), ("italic", "*", "*"), ("strikethrough", "~~", "~~")]
 
 
-def highlighted(core: Column, color: Column) -> Column:
-    """Text between double equals signs, after the marker of the nearest ink."""
-    return F.concat(F.lit("=="), T.highlight_marker(color), core, F.lit("=="))
-
-
 def rendered_run(run: Column) -> Column:
     """A run with its marks, which stand inside the white space around it. A mathematical run is only that."""
     whole = F.coalesce(run["text"], F.lit(""))
-    lead = F.regexp_extract(whole, rf"\A[{T.SPACE}]*", 0)
-    rest = F.substr(whole, F.char_length(lead) + 1)
-    tail = F.regexp_extract(rest, rf"[{T.SPACE}]*\z", 0)
-    bare = F.substr(rest, F.lit(1), F.char_length(rest) - F.char_length(tail))
-    core = T.escape_inline(bare)
-    core = F.when(run["highlight"].isNotNull(), highlighted(core, run["highlight"])).otherwise(core)
-    for flag, before, after in MARKS:
-        core = F.when(run[flag], F.concat(F.lit(before), core, F.lit(after))).otherwise(core)
-    core = F.when(run["url"].isNotNull(), F.concat(F.lit("["), core, F.lit("]("), run["url"], F.lit(")"))).otherwise(core)
+    bare = T.trim_space(whole)
+    lead, tail = F.regexp_extract(whole, rf"\A[{T.SPACE}]*", 0), F.regexp_extract(whole, rf"[{T.SPACE}]*\z", 0)
+    # each part of the expression occurs once: marks are put before and behind, not around again and again
+    before = [F.when(run["url"].isNotNull(), "[").otherwise("")] + [F.when(run[f], x).otherwise("") for f, x, _ in reversed(MARKS)]
+    behind = [F.when(run[f], x).otherwise("") for f, _, x in MARKS] + [F.when(run["url"].isNotNull(), F.concat(F.lit("]("), run["url"], F.lit(")"))).otherwise("")]
+    lit = run["highlight"].isNotNull()
+    core = F.concat(*before, F.when(lit, F.concat(F.lit("=="), T.highlight_marker(run["highlight"]))).otherwise(""), T.escape_inline(bare), F.when(lit, "==").otherwise(""), *behind)
     latex = F.when(F.coalesce(run["latex"], F.lit("")) == "", "").otherwise(F.concat(lead, F.lit("$"), run["latex"], F.lit("$"), tail))
     return F.when(bare == "", whole).when(run["math"], latex).otherwise(F.concat(lead, core, tail))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -65,6 +67,8 @@ def bounds(points: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> Da
 def number_text(v: float) -> str:
     """A number in its shortest form: whole numbers without a point, very small and large ones with an exponent."""
     v = float(v)
+    if not math.isfinite(v):
+        return "NaN" if v != v else "Infinity" if v > 0 else "-Infinity"
     if v == int(v) and abs(v) < 1e21:
         return str(int(v))
     text = repr(v)
@@ -77,6 +81,11 @@ def number_text(v: float) -> str:
     return text
 
 
+def fixed_text(v: float, digits: int = 2) -> str:
+    """A number with so many digits behind the point, halves of its exact value away from zero."""
+    return str(Decimal(v).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP)) if math.isfinite(v) else number_text(v)
+
+
 def drawing(strokes: list[dict]) -> str | None:
     """Strokes (points, color, width, opacity) as SVG: a dot for one point, a path for more; null without points."""
     drawn = [s for s in strokes if s["points"]]
@@ -86,7 +95,7 @@ def drawing(strokes: list[dict]) -> str | None:
     at = lambda p: (number_text(p["x"] - min(xs) + PADDING), number_text(p["y"] - min(ys) + PADDING))
     shapes = []
     for s in drawn:
-        faint = f' opacity="{s["opacity"]:.2f}"' if s["opacity"] < 1 else ""
+        faint = f' opacity="{fixed_text(s["opacity"])}"' if s["opacity"] < 1 else ""
         spots = [at(p) for p in s["points"]]
         if len(spots) == 1:
             shapes.append(f'<circle cx="{spots[0][0]}" cy="{spots[0][1]}" r="{number_text(s["width"] / 2)}" fill="{s["color"]}"{faint}/>')

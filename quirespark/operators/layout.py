@@ -6,24 +6,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirespark.operators.relational import unused
+
 
 def with_depth(pages: DataFrame, keys: list[str], order: list[str], level: str, depth: str = "depth") -> DataFrame:
     """depth = min(level, depth of the page before + 1), 0 for the first: i + running minimum of (level - i), level 0 first."""
     ordered = Window.partitionBy(*keys).orderBy(*order)
-    i = F.row_number().over(ordered)
-    rows = pages.withColumn("_i", i)
-    own = F.when(F.col("_i") == 1, 0).otherwise(F.greatest(F.col(level), F.lit(0)))
-    least = F.min(own - F.col("_i")).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn(depth, (F.col("_i") + least).cast("int")).drop("_i")
+    at = unused(pages, "_i")
+    rows = pages.withColumn(at, F.row_number().over(ordered))
+    own = F.when(F.col(at) == 1, 0).otherwise(F.greatest(F.col(level), F.lit(0)))
+    least = F.min(own - F.col(at)).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(depth, (F.col(at) + least).cast("int")).drop(at)
 
 
 def with_parent(pages: DataFrame, keys: list[str], order: str, page: str, depth: str = "depth", parent: str = "parent") -> DataFrame:
-    """The most recent page one level up, null at level 0: each page's row carries, by level, the last page seen."""
-    ordered = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
-    # a page at depth d follows its parent with no shallower page between, so the last page above it is the parent
-    seen = F.collect_list(F.struct(depth, page)).over(ordered)
-    above = F.element_at(F.filter(seen, lambda x: x[depth] == F.col(depth) - 1), -1)
-    return pages.withColumn(parent, F.when((F.col(depth) > 0) & F.exists(seen, lambda x: x[depth] == F.col(depth) - 1), above[page]))
+    """The most recent page one level up, null at level 0. Each page gives its name at its own level and asks at the level
+    above, where the last name given before it is its parent's; so a page's row is two, and no list is gathered."""
+    own, kind = unused(pages, "_at"), pages.schema[page].dataType
+    gives = F.struct(F.col(depth).cast("long").alias("level"), F.col(page).alias("name"), F.lit(False).alias("asks"))
+    asks = F.struct((F.col(depth) - 1).cast("long").alias("level"), F.lit(None).cast(kind).alias("name"), F.lit(True).alias("asks"))
+    both = pages.withColumn(own, F.explode(F.array(gives, asks)))
+    upto = Window.partitionBy(*keys, F.col(own)["level"]).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn(parent, F.last(F.col(own)["name"], ignorenulls=True).over(upto)).filter(F.col(own)["asks"]).drop(own)
 
 
 def claimed(rows: DataFrame, folder: str, name: str, order: str, to: str = "claimed") -> DataFrame:
@@ -68,11 +72,12 @@ def carried_links(runs: DataFrame, keys: list[str], order: list[str], field: str
     that has one uses the field up all the same."""
     ordered = Window.partitionBy(*keys).orderBy(*order)
     upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    rows = runs.withColumn("_group", F.count(field).over(upto)).withColumn("_pending", F.last(field, ignorenulls=True).over(upto))
+    group, pending, nth = (unused(runs, x) for x in ("_group", "_pending", "_nth"))
+    rows = runs.withColumn(group, F.count(field).over(upto)).withColumn(pending, F.last(field, ignorenulls=True).over(upto))
     full = (F.col(text) != "").cast("int")
-    rows = rows.withColumn("_nth", F.sum(full).over(Window.partitionBy(*keys, "_group").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    takes = (F.col(text) != "") & (F.col("_nth") == 1) & (F.col("_group") > 0)
-    return rows.withColumn(to, F.coalesce(F.col(url), F.when(takes, F.col("_pending")))).drop("_group", "_pending", "_nth")
+    rows = rows.withColumn(nth, F.sum(full).over(Window.partitionBy(*keys, group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    takes = (F.col(text) != "") & (F.col(nth) == 1) & (F.col(group) > 0)
+    return rows.withColumn(to, F.coalesce(F.col(url), F.when(takes, F.col(pending)))).drop(group, pending, nth)
 
 
 def first_copies(assets: DataFrame, folder: str, payload: Column, order: list[str]) -> DataFrame:

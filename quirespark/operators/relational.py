@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 from quirespark.scratch import written
 
 
+def unused(rows: DataFrame, stem: str) -> str:
+    """A column name that no column of the rows has, in any case."""
+    taken = {c.lower() for c in rows.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def last_of(rows: DataFrame, keys: list[str], order: list[str], descending: bool = True) -> DataFrame:
     """One row per key: the last (or first) in the order. The choice is an aggregate with map-side combine, so a hot key
     sends one row per task; the order's columns must not be null and tell rows apart, else any of the tied rows stays."""
@@ -57,7 +65,8 @@ def islands(rows: DataFrame, keys: list[str], order: list[str], value: str) -> D
     """Runs of equal neighbouring values: keys, island (from 1), the value, and how many rows."""
     ordered = Window.partitionBy(*keys).orderBy(*order)
     new = F.lag(value).over(ordered).eqNullSafe(F.col(value)) & (F.row_number().over(ordered) > 1)
-    marked = rows.withColumn("_new", (~new).cast("int")).withColumn("island", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    own = unused(rows, "_new")
+    marked = rows.withColumn(own, (~new).cast("int")).withColumn("island", F.sum(own).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(*keys, "island", value).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -67,3 +76,21 @@ def difference(left: DataFrame, right: DataFrame, keys: list[str], value: str) -
     b = right.select(*keys, F.col(value).alias("_b"), F.lit(True).alias("_in_b"))
     kind = F.when(F.col("_in_b").isNull(), "missing").when(F.col("_in_a").isNull(), "unexpected").when(~F.col("_a").eqNullSafe(F.col("_b")), "differs")
     return a.join(b, keys, "full").select(*keys, kind.alias("kind")).filter("kind is not null")
+
+
+def progress(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Adds done and total: the place of each row among those of its keys, and how many there are."""
+    own = Window.partitionBy(*keys)
+    return rows.withColumn("done", F.row_number().over(own.orderBy(*order))).withColumn("total", F.count(F.lit(1)).over(own))
+
+
+def changes(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """Rows whose value is not that of the row before among those that have one: repeats in a row count once."""
+    ordered = Window.partitionBy(*keys).orderBy(*order)
+    own = unused(rows, "before")
+    return rows.filter(F.col(value).isNotNull()).withColumn(own, F.lag(value).over(ordered)).filter(F.col(own).isNull() | (F.col(own) != F.col(value))).drop(own)
+
+
+def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that occur more than once, with how often: each is a fault where keys have to be single."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

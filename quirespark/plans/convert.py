@@ -131,11 +131,12 @@ def convert(inputs: DataFrame, options: Options = Options()) -> Converted:
     rows = elements.join(links, keys, "left").withColumn("links", F.coalesce("links", F.create_map().cast("map<int,string>")))
     link_of = lambda a: F.try_element_at(F.col("links"), F.coalesce(a["number"], F.lit(-1)))
     cell = lambda parts: render.cell_text(F.transform(parts, lambda p: F.when(p["asset"].isNotNull(), F.coalesce(link_of(p["asset"]), F.lit(""))).otherwise(render.rendered_runs(p["runs"]))))
-    table = text.gfm_table(F.transform("cells", lambda r: F.transform(r, cell)))
+    grid = F.transform("cells", lambda r: F.transform(r, cell))
     asset_block = render.plain_block(link_of(F.col("asset")))
     recognised = render.plain_block(F.when((F.col("kind") == "ink") & link_of(F.col("asset")).isNotNull(), F.nullif("words", F.lit(""))))
-    shown = F.when(F.col("kind") == "paragraph", render.block(F.col("body"), F.col("style"), F.col("level"), F.col("ordered"), F.col("tags"))).when(F.col("kind") == "table", render.plain_block(table)).when(F.col("asset").isNotNull(), asset_block)
-    blocks = rows.withColumn("body", render.rendered_runs(F.col("runs"))).select(*keys, "ord", F.filter(F.array(shown, F.when(F.col("kind") == "ink", recognised)), lambda x: x.isNotNull()).alias("blocks"))
+    shown = F.when(F.col("kind") == "paragraph", render.block(F.col("body"), F.col("style"), F.col("level"), F.col("ordered"), F.col("tags"))).when(F.col("kind") == "table", render.plain_block(F.col("table"))).when(F.col("asset").isNotNull(), asset_block)
+    rows = rows.withColumn("body", render.rendered_runs(F.col("runs"))).withColumn("grid", grid).withColumn("table", text.gfm_table(F.col("grid")))
+    blocks = rows.select(*keys, "ord", F.filter(F.array(shown, F.when(F.col("kind") == "ink", recognised)), lambda x: x.isNotNull()).alias("blocks"))
     gathered = blocks.groupBy(*keys).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ord", "blocks"))), lambda x: x["blocks"])).alias("blocks"))
     broken = elements.filter("kind = 'fault'").select(*keys, "code")
     bodies = pages.join(broken, keys, "left_anti").join(gathered, keys, "left").withColumn("body", F.coalesce(render.page_body(F.col("blocks")), F.lit("")))

@@ -13,7 +13,7 @@ from itertools import takewhile
 from operator import xor
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirespark.functions import binary, text
@@ -168,10 +168,26 @@ def compound_code(data: bytes) -> str:
     return "ONENOTE_ONEX_UNSUPPORTED"
 
 
+#: Names of inputs, in any case, as the file listing's pattern: other files are not opened.
+INPUT_NAMES = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in x) for x in ("one", "onepkg", "onex")) + "}"
+
+
 def discover(spark: SparkSession, path: str) -> DataFrame:
-    """Inputs below a folder (or one file), by name: input, content, length, mod."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return found.filter(F.col("path").rlike(r"(?i)\.(one|onepkg|onex)\z")).select(F.col("path").alias("input"), "content", "length", F.col("modificationTime").alias("mod"))
+    """Inputs below a folder (or one file): input, content, length, mod. Where contents are not asked for, none is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", INPUT_NAMES).load(path)
+    return found.select(F.col("path").alias("input"), "content", "length", F.col("modificationTime").alias("mod"))
+
+
+def in_name_order(rows: DataFrame, name: str, to: str = "input_ord") -> DataFrame:
+    """Adds each row's place in the order of names: as words are ordered, and by their code points where that tells
+    nothing. The sort is of names alone, so give it no contents."""
+    ordered = rows.orderBy(F.collate(name, "UNICODE"), name)
+    return ordered.withColumn(to, F.row_number().over(Window.orderBy(F.collate(F.col(name), "UNICODE"), name)) - 1)
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """The inputs' names in order, without their contents: input, length, mod, input_ord."""
+    return in_name_order(discover(spark, path).drop("content"), "input")
 
 
 def _rows(inputs: DataFrame, with_bytes: bool, wanted: set[str] | None, limits: Limits) -> DataFrame:

@@ -1,13 +1,14 @@
-"""Sinks: note trees written from the executors, reports, and incremental inputs."""
+"""Sinks: note trees written from the executors, and reports."""
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -74,7 +75,7 @@ def report_json(reports: DataFrame) -> DataFrame:
     return reports.select("input", F.to_json(F.struct(*reports.columns)).alias("json"))
 
 
-def incremental(spark: SparkSession, path: str, state: str, handle: Callable[[DataFrame, int], None]) -> None:
-    """Our own addition: hands over inputs that have come since the last call, once each; `state` keeps what was seen."""
-    rows = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{one,onepkg,onex}").schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    rows.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(handle).start().awaitTermination()
+def report_envelope(reports: list[dict], out: str, dry: bool) -> str:
+    """The reports of a run, of few inputs, as one JSON text."""
+    whole = {"ok": not any(r["errors"] for r in reports), "out": out, "dryRun": dry, "reports": reports}
+    return json.dumps(whole, indent=2, ensure_ascii=False)

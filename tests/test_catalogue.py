@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quirespark.plans import catalogue
+from quirespark.plans import catalogue, note_queries  # noqa: F401 (registers its queries)
 
 SF = "/root/testdata/sf0.001"
 

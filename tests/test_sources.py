@@ -3,6 +3,7 @@ import struct
 from pyspark.sql import functions as F
 
 from quirespark.sources import cabinet, notes
+from quirespark.streaming import inputs
 
 
 def archive(entries, block=40, sums=True, method=0, reserve=b""):
@@ -67,5 +68,5 @@ def test_incremental(spark, tmp_path):
     seen = []
     for name in ("a.one", "b.one"):
         (tmp_path / "in" / name).write_bytes(b"x")
-        notes.incremental(spark, str(tmp_path / "in"), str(tmp_path / "state"), lambda df, _: seen.extend(r.path.rsplit("/", 1)[-1] for r in df.select("path").collect()))
+        inputs.incremental(spark, str(tmp_path / "in"), str(tmp_path / "state"), lambda df, _: seen.extend(r.path.rsplit("/", 1)[-1] for r in df.select("path").collect()))
     assert seen == ["a.one", "b.one"]
