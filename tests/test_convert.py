@@ -26,7 +26,7 @@ def page(title="First page", level=1, deleted=False, key="picture", desktop=True
     dims = b"".join(W.uuid.UUID(g).bytes_le + bytes(16) for g in (C.mapping.values.DIMENSIONS["x"], C.mapping.values.DIMENSIONS["y"]))
     objects = {
         1: (S.MANIFEST, {S.CONTENT: [2]}),
-        2: (S.PAGE, {S.CHILDREN: [3, 30], S.STRUCTURE: [60], M.RECOGNISED: [70]}),
+        2: (S.PAGE, {S.MODIFIED_32: 1_400_000_000, S.CHILDREN: [3, 30], S.STRUCTURE: [60], M.RECOGNISED: [70]}),
         3: (S.OUTLINE, {S.CHILDREN: [4, 6, 8, 10, 13, 22, 24, 50]}),
         4: (S.OUTLINE_ELEMENT, {S.CONTENT: [5]}),
         5: (S.TEXT, {M.WIDE: w("A heading"), M.PARAGRAPH_STYLE: [40]}),
@@ -127,7 +127,8 @@ def test_notes_of_both_encodings(spark, desktop):
     note = notes["My section/First page.md"]
     head, body = note.split("---\n", 2)[1:]
     assert body == expected_body("First page") + "\n"
-    assert 'title: "First page"' in head and 'section: "My: section"' in head and "notebook" not in head and "created: 2024-01-17T" in head and "updated: 2024-01-17T" in head
+    assert 'title: "First page"' in head and 'section: "My: section"' in head and "\nnotebook" not in head and "\nupdated: 2024-05-12T16:53:20.000Z\n" in head
+    assert "created" not in head  # its number is past 2^53, and such are not told
     assert "Title%20from%20its%20node%20-%20Ink.svg" not in notes["My section/Title from its node.md"]  # a copy of a drawing is written once
     assert files["My section/attachments/First page image.png"] == picture and b"<path" in files["My section/attachments/First page - Ink.svg"]
     assert sorted(files) == ["My section/First page/attachments/First page - Ink.svg", "My section/First page/attachments/First page image.png", "My section/attachments/First page - Ink.svg", "My section/attachments/First page image.png"]
