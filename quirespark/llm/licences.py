@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirespark.llm.columns import whole_text
+from quirespark.llm.shared import written
 
 #: Licence notices by identifier, several wordings each.
 TEMPLATES: list[tuple[str, str]] = [
@@ -102,23 +103,33 @@ def weighed_words(grams: list[str], known: set[str], hundredths: int) -> dict[st
     return found
 
 
-def may_hold_long(text: Column, templates: list[list[str]], least: int) -> Column:
-    """Whether a text in lower case may hold a long template. A match lacks (200 - 2 * least) / (200 - least) of the
-    template's bigrams at most, so words that cover more cannot all be missing: one of few frequent words is there, and
-    of many words those that are not there cover no more than that. Where words do not cover so much, any text may."""
+def may_hold_long(words: Column, templates: list[list[str]], least: int) -> Column:
+    """Whether a text of these words may hold a long template. A match lacks (200 - 2 * least) / (200 - least) of the
+    template's bigrams at most, so of words that cover more those that the text lacks cover no more than that. Where words
+    do not cover so much, any text may."""
     lacking = lambda n: n * (200 - 2 * least) // (200 - least)
     known: set[str] = set()
+    table = []
     for grams in templates:
-        some = weighed_words(grams, known, 100 * (200 - 2 * least) // (200 - least) + 2)
-        if sum(some.values()) <= lacking(len(grams)):
+        covering = weighed_words(grams, known, 60)
+        if sum(covering.values()) <= lacking(len(grams)):
             return F.lit(True)
-        known |= some.keys()
-    tests = []
-    for grams in templates:
-        words = weighed_words(grams, known, 60)
-        missing = reduce(lambda x, y: x + y, [F.when(F.contains(text, F.lit(w)), 0).otherwise(n) for w, n in words.items()])
-        tests.append(missing <= lacking(len(grams)))
-    return may_hold(text, sorted(known)) & reduce(lambda x, y: x | y, tests, F.lit(False))
+        known |= covering.keys()
+        table.append({"room": lacking(len(grams)), "words": [{"word": w, "n": n} for w, n in covering.items()]})
+    table = F.from_json(F.lit(json.dumps(table)), "array<struct<room:int,words:array<struct<word:string,n:int>>>>")
+    shared = F.array_intersect(words, F.from_json(F.lit(json.dumps(sorted(known))), "array<string>"))
+    # most texts have none of the words, which one pass over theirs tells
+    missing = lambda own, t: F.aggregate(t["words"], F.lit(0), lambda n, x: n + F.when(F.array_contains(own, x["word"]), 0).otherwise(x["n"]))
+    return F.exists(F.array(shared), lambda own: (F.size(own) > 0) & F.exists(table, lambda t: missing(own, t) <= t["room"]))
+
+
+def long_enough(text: Column, listed: list[tuple[str, list[str]]], least: int) -> Column:
+    """Whether a text may hold one of the long templates, by its length and its words."""
+    long = [grams for _, grams in listed if len(grams) > SHORT]
+    if not long:
+        return F.lit(False)
+    # a match shares so many bigrams, a word and a space more for each
+    return (F.char_length(text) * (200 - least) >= F.lit(2 * min(map(len, long)) * least)) & may_hold_long(normal_words(text), long, least)
 
 
 def _listed(templates: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
@@ -136,10 +147,9 @@ def window_matches(docs: DataFrame, templates: list[tuple[str, str]], least: int
     index = [{"template": k, "licence": licence, "b": len(grams), "gram": g} for k, (licence, grams) in enumerate(listed) for g in grams]
     index = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(index)), "array<struct<template:int,licence:string,b:int,gram:string>>")))
     may = may_hold(F.lower("text"), [x for _, grams in listed if len(grams) <= SHORT for x in necessary(grams, least)])
-    long = [grams for _, grams in listed if len(grams) > SHORT]
-    if long:  # a match shares so many bigrams, a word and a space more for each
-        may = may | ((F.char_length("text") * (200 - least) >= F.lit(2 * min(map(len, long)) * least)) & may_hold_long(F.lower("text"), long, least))
-    kept = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).filter(may).select("doc_id", F.monotonically_increasing_id().alias("row"), neighbours(normal_words(F.col("text"))).alias("grams"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    may = may | long_enough(F.col("text"), listed, least)
+    kept = rows.filter(may).select("doc_id", F.monotonically_increasing_id().alias("row"), neighbours(normal_words(F.col("text"))).alias("grams"))
     met = kept.select("doc_id", "row", F.posexplode("grams").alias("pos", "gram")).join(F.broadcast(index), "gram")
     hits = met.groupBy("doc_id", "row", "template", "licence", "b").agg(F.sort_array(F.collect_list(F.struct("pos", "gram"))).alias("hits"))
     near = hits.filter(F.size(F.array_distinct(F.transform("hits", lambda x: x["gram"]))) * (200 - least) >= F.col("b") * least)
@@ -172,16 +182,20 @@ def licence_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = N
     templates, gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
-    windows = window_matches(docs, TEMPLATES + TEXTS if templates is None else templates, least, id_col, text_col)
+    wanted = TEMPLATES + TEXTS if templates is None else templates
     listed = _listed(TEMPLATES if templates is None else templates)
+    # all texts are read once; what may match anything is written, and both ways of matching read that
+    parts = [x for _, grams in listed for x in necessary(grams, least)]
+    docs = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    docs = written(docs.filter(may_hold(F.lower("text"), parts) | long_enough(F.col("text"), _listed(wanted), least)), "licence-texts")
+    windows = window_matches(docs, wanted, least, "doc_id", "text")
     sizes = {len(grams) for _, grams in listed}
     low, high = min((n * least / (200 - least) for n in sizes), default=1), max((n * (200 - least) / least for n in sizes), default=0)
     entries = [F.struct(F.lit(k).alias("template"), F.lit(licence).alias("licence"), F.lit(len(grams)).alias("b"), F.lit(g).alias("gram")) for k, (licence, grams) in enumerate(listed) for g in grams]
     kind = "array<struct<template:int,licence:string,b:int,gram:string>>"
     index = spark.range(1).select(F.inline(F.array(*entries).cast(kind)))
     text = whole_text("text")
-    may = may_hold(F.lower("text"), [x for _, grams in listed for x in necessary(grams, least)])
-    kept = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).filter(may)
+    kept = docs.filter(may_hold(F.lower("text"), parts))
     units = kept.select("doc_id", F.explode(F.when(F.contains(text, F.lit("\n")), F.concat(F.split(text, "\n"), F.array(text))).otherwise(F.array(text))).alias("unit"))
     sized = units.select("doc_id", normal_words(F.col("unit")).alias("words")).filter(F.size("words") > 1)
     counted = sized.select("doc_id", bigrams(F.col("words")).alias("grams")).withColumn("a", F.size("grams")).filter((F.col("a") >= low) & (F.col("a") <= high))
