@@ -23,21 +23,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that documents hold; see licences.licence_matches for nulls, ties and repeats."""
     return licences.licence_matches(table(spark, sf_dir, "documents"))
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those outside fold 2 of 7; see lm_score.scored."""
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 7) == 2
     return lm_score.scored(docs, lm_score.train(docs.filter(~held_out)), held_out, weights=lm_score.WEIGHTS)
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read back from the token files that were written of them; see token_files."""
     shards = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), new_dir(spark, "token-files"), end_id=1)
     return read_token_files(spark, shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learnt outside fold 2 of 4; see quality.learn and quality.scored."""
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 4) == 2
     ranking = quality.learn(docs, table(spark, sf_dir, "labels"), "quality", ~held_out)
@@ -45,11 +49,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 ids; see packing.pack."""
     pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), end_id=2, limit=4096)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "cost")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the benchmark each document holds; contaminated from two items on; see decontam.marked."""
     docs = table(spark, sf_dir, "documents")
     index = decontam.build_index(docs, table(spark, sf_dir, "benchmark"))
     hits = decontam.marked(docs.select("doc_id", "text"), index).select("doc_id", "hits.*")
@@ -57,10 +63,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays for each document; see exact_dedup.exact_groups."""
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt outside fold 1 of 3; see toxicity.learn and toxicity.scored."""
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 3) == 1
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out)
@@ -69,10 +77,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of each document; see ngram_join.near_duplicates."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents through a cache of this run; see token_counts.token_counts."""
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), new_dir(spark, "token-count-cache"), limit=2048)
 
 
