@@ -43,11 +43,12 @@ def page(title="First page", level=1, deleted=False, key="picture", desktop=True
         16: (S.CELL, {S.CHILDREN: [20]}),
         17: (S.CELL, {S.CHILDREN: [21, 22]}),
         18: (S.ROW, {S.CHILDREN: [19]}),
-        19: (S.CELL, {S.CHILDREN: [20, 14]}),
+        19: (S.CELL, {S.CHILDREN: [20, 14, 25]}),  # itself, which is left out, and another table
         20: para("one | two"),
         21: para("  \n "),
         22: (S.IMAGE, {M.IMAGE_NAME: w("scan.png"), M.IMAGE_FILE: [23]}),
         24: (S.EMBEDDED, {M.FILE_NAME: w("report"), M.FILE_AT: [99]}),
+        25: (S.TABLE, {}),
         30: para("On the page itself"),
         40: (0x120001, {M.STYLE_NAME: w("h2")}),
         41: (S.TAG_KIND, {M.TAG_SHAPE: 13, M.TAG_LABEL: w("Note")}),
