@@ -30,7 +30,7 @@ SIZE, SIMILARITY = 5, 80
 FRAGMENTS = 4
 #: Frequent n-grams whose place in the order is known (broadcast, 16 bytes each); least documents of one.
 FREQUENT, LEAST = 1 << 18, 8
-#: Nodes of one n-gram that are put to one hub at most; more are dealt to several.
+#: Nodes of one n-gram, and pairs of one hub, that one key holds at most, about; more are dealt to several.
 GROUP = 512
 #: Rounds with hubs before all remaining pairs are counted.
 ROUNDS = 2
@@ -186,12 +186,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     try:
         edges, tested, labels = None, None, None
         for turn in range(ROUNDS + 1):
-            pairs = _hub_pairs(postings, labels, turn, similarity, group) if turn < ROUNDS else _remaining_pairs(postings, labels, similarity, group)
+            pairs = _hub_pairs(postings, labels, turn, similarity) if turn < ROUNDS else _remaining_pairs(postings, labels, similarity, group)
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = written(pairs, "candidate-pairs")
             tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-            linked = written(_verified(pairs, table, similarity), "links")
+            linked = written(_verified(pairs, table, similarity, group), "links")
             edges = linked if edges is None else edges.unionByName(linked)
             labels = components(edges)
     finally:
@@ -343,9 +343,9 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("node", "other").alias("a"), F.when(ahead, F.col("size")).otherwise(F.col("other_size")).alias("size_a"), F.greatest("node", "other").alias("b"), F.when(ahead, F.col("other_size")).otherwise(F.col("size")).alias("size_b")).distinct()
 
 
-def _hub_pairs(postings: DataFrame, labels: DataFrame | None, turn: int, similarity: int, group: int) -> DataFrame:
-    """Each node of an n-gram and salt with its hub, hubs with the hub of `group` salts, and those with the hub of the
-    n-gram, unless known to hang together: so few pairs share a hub, and what one task reads of them stays small.
+def _hub_pairs(postings: DataFrame, labels: DataFrame | None, turn: int, similarity: int) -> DataFrame:
+    """Each node of an n-gram with the n-gram's hub, unless known to hang together. All salts of an n-gram have one hub, as
+    two hubs of one group of copies need not link; a hub is picked within each salt first, and then among those.
 
     The first hub is the node with most shared n-grams in its prefix: in a group of edited copies that is one with few
     edits. Later hubs are drawn anew for each n-gram among the nodes of its largest component, so that a node which is
@@ -359,16 +359,10 @@ def _hub_pairs(postings: DataFrame, labels: DataFrame | None, turn: int, similar
         rows = rows.join(largest, ["gram", "salt"])
         rows = rows.withColumn("by", F.struct((F.col("c") != F.col("largest")).cast("long").alias("by"), F.xxhash64("node", "gram", F.lit(turn)).alias("hash"))).drop("largest")
     pick = F.min(F.struct("by", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("c").alias("other_c"), F.col("place").alias("other_place"))).alias("hub")
-    hubs = rows.groupBy("gram", "salt").agg(pick).select("gram", "salt", "hub.*")
-    inner = rows.drop("by").join(hubs, ["gram", "salt"])
-    met = ["node", "size", "c", "place", "other", "other_size", "other_c", "other_place"]
-    rows = inner.select(*met)
-    heads = hubs.filter("salt >= 0").withColumn("over", F.floor(F.col("salt") / group))
-    for keys in (["gram", "over"], ["gram"]):
-        first = heads.groupBy(*keys).agg(F.min(F.struct("by", "other", "other_size", "other_c", "other_place")).alias("hub")).select(*keys, "hub.*")
-        own = heads.select(*keys, F.col("other").alias("node"), F.col("other_size").alias("size"), F.col("other_c").alias("c"), F.col("other_place").alias("place"))
-        rows = rows.unionByName(own.join(first, keys).select(*met))
-        heads = first
+    picked = rows.groupBy("gram", "salt").agg(pick)
+    best = picked.groupBy("gram").agg(F.min("hub").alias("hub"))
+    hubs = picked.select("gram", "salt").join(best, "gram").select("gram", "salt", *(f"hub.{c}" for c in ("other", "other_size", "other_c", "other_place")))
+    rows = rows.drop("by").join(hubs, ["gram", "salt"])
     return _pairs(rows.filter((F.col("c") != F.col("other_c")) & _may_link(similarity)))
 
 
@@ -386,15 +380,34 @@ def _remaining_pairs(postings: DataFrame, labels: DataFrame, similarity: int, gr
     return _pairs(met)
 
 
-def _verified(pairs: DataFrame, table: str, similarity: int) -> DataFrame:
-    """The pairs that link: partial overlaps fragment by fragment, summed per pair."""
+def _spread(pairs: DataFrame, group: int) -> DataFrame:
+    """The pairs as (near, far, size_near, size_far, salt). A node of more than `group` pairs, as a hub is, is their far
+    end (b, where both ends have so many), dealt to salts of about `group` pairs; others have salt 0."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    hubs = written(ends.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("spread")).filter("spread > 1"), "hubs")
+    of = pairs.join(hubs.toDF("a", "spread_a"), "a", "left").join(hubs.toDF("b", "spread_b"), "b", "left")
+    turned = F.col("spread_a").isNotNull() & F.col("spread_b").isNull()
+    near, size_near = F.when(turned, F.col("b")).otherwise(F.col("a")), F.when(turned, F.col("size_b")).otherwise(F.col("size_a"))
+    far, size_far = F.when(turned, F.col("a")).otherwise(F.col("b")), F.when(turned, F.col("size_a")).otherwise(F.col("size_b"))
+    spread = F.coalesce("spread_b", "spread_a", F.lit(1))
+    return of.select(near.alias("near"), far.alias("far"), size_near.alias("size_near"), size_far.alias("size_far"), spread.alias("spread"), F.pmod(F.xxhash64(near), spread).cast("int").alias("salt"))
+
+
+def _verified(pairs: DataFrame, table: str, similarity: int, group: int) -> DataFrame:
+    """The pairs that link: partial overlaps fragment by fragment, summed per pair. Segments of a hub are repeated for
+    each of its salts, so its pairs are not one task's."""
     segments = pairs.sparkSession.table(table)
+    pairs = written(_spread(pairs, group), "spread-pairs")
+    hubs = pairs.filter("spread > 1").select("far", "salt").distinct()
+    keys = ["near", "far", "size_near", "size_far"]
     partial = None
     for k in range(FRAGMENTS):
         own = segments.filter(F.col("fragment") == k).select("node", "grams")
-        left = pairs.select("a", "b", "size_a", "size_b").join(own.toDF("a", "left"), "a")
-        met = left.join(own.toDF("b", "right"), "b")
-        part = met.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("left", "right")).alias("overlap"))
-        partial = part if partial is None else partial.unionByName(part)
-    total = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("overlap").alias("overlap"))
-    return total.filter(F.col("overlap") * 100 >= similarity * (F.col("size_a") + F.col("size_b") - F.col("overlap"))).select("a", "b")
+        left = pairs.join(own.toDF("near", "left"), "near")
+        right = own.toDF("far", "right")
+        for met in (left.filter("spread = 1").join(right, "far"), left.filter("spread > 1").join(hubs.join(right, "far"), ["far", "salt"])):
+            part = met.select(*keys, F.size(F.array_intersect("left", "right")).alias("overlap"))
+            partial = part if partial is None else partial.unionByName(part)
+    total = partial.groupBy(*keys).agg(F.sum("overlap").alias("overlap"))
+    linked = total.filter(F.col("overlap") * 100 >= similarity * (F.col("size_near") + F.col("size_far") - F.col("overlap")))
+    return linked.select(F.least("near", "far").alias("a"), F.greatest("near", "far").alias("b"))

@@ -72,6 +72,34 @@ def test_near_large_group(spark, monkeypatch):
     assert sorted(str(tuple(r)) for r in near_duplicates(docs, group=16).collect()) == brute(rows)
 
 
+def test_pairs_of_a_large_group(spark, monkeypatch):
+    """In a group of edited copies dealt to many salts, few pairs are counted for a text, and its hub's are dealt too."""
+    import random
+
+    monkeypatch.setattr(ngram_join, "LEAST", 2)
+    counted, spread, written = [], [], ngram_join.written
+
+    def seen(rows, name):
+        out = written(rows, name)
+        if name == "candidate-pairs":
+            counted.append(out.count())
+        if name == "spread-pairs":
+            spread.append(out.groupBy("far", "salt").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", seen)
+    rng = random.Random(3)
+    rows = []
+    for k in range(300):
+        words = [f"b{i}" for i in range(120)]
+        for j in range(k % 4):
+            words[rng.randrange(120)] = f"e{k}x{j}"
+        rows.append((k, " ".join(words)))
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), group=8)
+    assert sorted(str(tuple(r)) for r in found.collect()) == brute(rows)
+    assert sum(counted) < 4 * len(rows) and max(s for s in spread if s is not None) < 40
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(200, 260)] + [(1, 1), (5, 900), (900, 7), (None, 3), (260, 200)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
