@@ -60,20 +60,16 @@ FIRST_LINE = r"regexp_extract(text, '^[^\n]*')"
 WITH l AS (SELECT doc_id, source, list_transform(string_split(text, chr(10)), lambda x: CASE
     WHEN regexp_matches(x, '^([{WS}]*)(#{{1,6}}|[-*+]|[0-9]+[.)])([{WS}])') THEN regexp_replace(x, '^([{WS}]*)(#{{1,6}}|[-*+]|[0-9]+[.)])([{WS}])', '\1\\\2\3')
     ELSE regexp_replace(x, '^([{WS}]*)(#{{1,6}}$|>|\||`{{3,}}|~{{3,}}|-{{3,}}$|={{3,}}$)', '\1\\\2') END) AS lines,
-  left({FIRST_LINE}, 40) AS head FROM documents),
-t AS (SELECT doc_id, source, array_to_string(lines, chr(10)) AS body, {sanitized_sql('head')} AS title FROM l),
-n AS (SELECT *, row_number() OVER (PARTITION BY source, lower(title) ORDER BY doc_id) - 1 AS k FROM t)
-SELECT doc_id, source || '/' || title || CASE WHEN k > 0 THEN ' ' || k ELSE '' END || '.md' AS path, sha256(body) AS digest, strlen(body) AS n_bytes FROM n
+  {FIRST_LINE} AS head FROM documents),
+t AS (SELECT doc_id, array_to_string(lines, chr(10)) AS body, {sanitized_sql('head')} AS title FROM l)
+SELECT doc_id, title, sha256(body) AS digest, strlen(body) AS n_bytes FROM t
 """
 )
 def rendered_notes(t):
-    """Notes of documents: a source is a section, the first 40 characters of the first line a title, as in the SQL (titled_notes
-    takes the whole line); bodies escaped, names numbered in document order."""
-    docs = t("documents").select("doc_id", "source", text.escape_lines(F.col("text")).alias("body"), F.substring(F.regexp_extract("text", r"\A[^\n]*", 0), 1, 40).alias("head"))
-    titled = docs.withColumn("title", text.sanitize_name(F.col("head")))
-    nth = F.row_number().over(Window.partitionBy("source", F.lower("title")).orderBy("doc_id")) - 1
-    name = F.concat("title", F.when(nth > 0, F.concat(F.lit(" "), nth.cast("string"))).otherwise(""))
-    return titled.select("doc_id", F.concat("source", F.lit("/"), name, F.lit(".md")).alias("path"), F.sha2(F.col("body").cast("binary"), 256).alias("digest"), F.octet_length("body").cast("long").alias("n_bytes"))
+    """Bodies of documents as escaped notes, and their whole first lines as titles without what names reserve. Titles become
+    paths, cut to the bytes a name may have, in titled_notes."""
+    docs = t("documents").select("doc_id", text.escape_lines(F.col("text")).alias("body"), F.regexp_extract("text", r"\A[^\n]*", 0).alias("head"))
+    return docs.select("doc_id", text.sanitize_name(F.col("head")).alias("title"), F.sha2(F.col("body").cast("binary"), 256).alias("digest"), F.octet_length("body").cast("long").alias("n_bytes"))
 
 
 @query()
@@ -370,13 +366,13 @@ def name_functions(t):
 
 
 @query(r"""
-SELECT d.doc_id, array_to_string(list_filter(['---', 'title: ' || to_json(left(text, 20) || '"q\')::VARCHAR, 'source: onenote', 'onenote-id: ' || to_json(d.doc_id::VARCHAR)::VARCHAR, 'section: ' || to_json(source)::VARCHAR,
+SELECT d.doc_id, array_to_string(list_filter(['---', 'title: ' || to_json(regexp_extract(text, '^[^\n]*') || '"q\')::VARCHAR, 'source: onenote', 'onenote-id: ' || to_json(d.doc_id::VARCHAR)::VARCHAR, 'section: ' || to_json(source)::VARCHAR,
   CASE WHEN d.doc_id % 2 = 0 THEN 'notebook: "nb"' END, CASE WHEN d.doc_id % 3 = 0 THEN 'section-group: "a/b"' END, 'updated: 2024-01-02T03:04:05.678Z', CASE WHEN quality = 1 THEN 'conflict: true' END, CASE WHEN toxic = 1 THEN 'deleted: true' END, '---', ''], lambda x: x IS NOT NULL), chr(10)) AS header
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 def front_matter(t):
     rows = t("documents").join(t("labels"), "doc_id", "left")
     groups = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
-    header = text.front_matter(F.concat(F.substring("text", 1, 20), F.lit('"q\\')), F.col("doc_id").cast("string"), F.col("source"), F.when(F.col("doc_id") % 2 == 0, "nb").otherwise(""), groups, F.lit("2024-01-02 03:04:05.678").cast("timestamp_ntz"), F.col("quality") == 1, F.col("toxic") == 1)
+    header = text.front_matter(F.concat(F.regexp_extract("text", r"\A[^\n]*", 0), F.lit('"q\\')), F.col("doc_id").cast("string"), F.col("source"), F.when(F.col("doc_id") % 2 == 0, "nb").otherwise(""), groups, F.lit("2024-01-02 03:04:05.678").cast("timestamp_ntz"), F.col("quality") == 1, F.col("toxic") == 1)
     return rows.select("doc_id", header.alias("header"))
 
 
@@ -397,10 +393,12 @@ def report_by_input(t):
 
 
 @query("""
-WITH a AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 5 <> 0), b AS (SELECT doc_id, sha256(CASE WHEN doc_id % 4 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 3 <> 0)
+WITH a AS (SELECT doc_id, sha256(text) AS h FROM documents), b AS (SELECT CASE WHEN doc_id % 3 = 0 THEN -doc_id - 1 ELSE doc_id END AS doc_id, sha256(CASE WHEN doc_id % 4 = 0 THEN text || '!' ELSE text END) AS h FROM documents)
 SELECT doc_id, CASE WHEN b.h IS NULL THEN 'missing' WHEN a.h IS NULL THEN 'unexpected' ELSE 'differs' END AS kind FROM a FULL JOIN b USING (doc_id) WHERE a.h IS DISTINCT FROM b.h""")
 def tree_diff(t):
+    """All documents against the same tree with some ids renamed (a third) and some texts edited (a quarter)."""
     docs = t("documents")
     digest = lambda c: F.sha2(c.cast("binary"), 256).alias("h")
-    right = docs.filter("doc_id % 3 <> 0").select("doc_id", digest(F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
-    return relational.difference(docs.filter("doc_id % 5 <> 0").select("doc_id", digest(F.col("text"))), right, ["doc_id"], "h")
+    renamed = F.when(F.col("doc_id") % 3 == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id"))
+    edited = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return relational.difference(docs.select("doc_id", digest(F.col("text"))), docs.select(renamed.alias("doc_id"), digest(edited)), ["doc_id"], "h")
