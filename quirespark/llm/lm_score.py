@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,10 @@ HEAD_WORDS = 1 << 18
 MEMO_WORDS = 500_000
 #: N-grams that a task counts at a time.
 CHUNK = 2 << 20
+#: Tokens of a block of texts that asks a filter which is not mapped.
+BLOCK = 1 << 20
+#: N-grams that are probed at a time, so that what is computed for them stays in the CPU's cache.
+RUN = 1 << 14
 #: Candidate weights of the unigram distribution.
 WEIGHTS = (1.0, 10.0, 100.0, 1000.0, 10000.0)
 
@@ -99,16 +103,20 @@ def segment_bits(identity: np.ndarray, counts: np.ndarray) -> bytes:
 def probed(data: np.ndarray, identity: np.ndarray, first: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Levels by repeated probes of the segments that begin at byte `first` of the data: the last level that is present
     with all before it."""
-    level = np.zeros(len(identity), np.int64)
-    left = np.arange(len(identity))
-    for q in range(1, MAX_LEVEL + 1):
-        there = np.ones(len(left), bool)
-        for at in _positions(identity, q, bits):
-            there &= ((data[first + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-        identity, first, bits, left = identity[there], first[there], bits[there], left[there]
-        level[left] = q
-        if not len(left):
-            break
+    level = np.zeros(len(identity), np.uint8)
+    for k in range(0, len(identity), RUN):
+        run = slice(k, k + RUN)
+        own, left = (identity[run], first[run], bits[run]), np.arange(k, min(k + RUN, len(identity)))
+        for q in range(1, MAX_LEVEL + 1):
+            there = np.ones(len(left), bool)
+            for i, at in enumerate(_positions(own[0], q, own[2])):
+                there &= ((data[own[1] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+                if i < PROBES - 1 and not there.any():
+                    break
+            own, left = tuple(c[there] for c in own), left[there]
+            level[left] = q
+            if not len(left):
+                break
     return level
 
 
@@ -137,10 +145,14 @@ class Filter:
             self._data = mapped(self.uri, "u1")
         return self._data
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """Approximate counts. Sorted hashes probe one segment after another."""
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """Levels of the counts. Sorted hashes probe one segment after another."""
         segment, identity = split_hash(h)
-        return LEVELS[probed(self.data, identity, self.first[segment], self.bits[segment])]
+        return probed(self.data, identity, self.first[segment], self.bits[segment])
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        """Approximate counts."""
+        return LEVELS[self.levels(h)]
 
 
 @dataclass(frozen=True)
@@ -280,34 +292,50 @@ def _starts(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths)[:-1]])
 
 
-def _contexts(word: np.ndarray, lengths: np.ndarray, documents: int) -> np.ndarray:
-    """The count of what stands before each token."""
-    context = np.concatenate([[0.0], word[:-1]])
-    context[_starts(lengths)] = documents
-    return context
+def _pairs(h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The hash of each token with what stands before it."""
+    before = np.concatenate([[_START], h[:-1]])
+    before[_starts(lengths)] = _START
+    return pair_hash(before, h)
+
+
+@lru_cache(maxsize=2)
+def _tables(weights: tuple, n: int, v: int, documents: int, held: float) -> list[np.ndarray]:
+    """For each weight the log10 probabilities by the levels of context, pair and word, as _codes numbers them. A pair is
+    not more frequent than its context; the last context is the start of a text."""
+    context = np.append(LEVELS, documents)[:, None, None]
+    pair = np.minimum(LEVELS[None, :, None], context)
+    return [log_probability(pair, context, LEVELS[None, None, :], w, n, v, held).ravel() for w in weights]
+
+
+def _codes(pair: np.ndarray, word: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Where the tables have each token, by the levels of its pair, of what stands before it, and of itself."""
+    context = np.concatenate([[0], word[:-1]]).astype(np.int32)
+    context[_starts(lengths)] = len(LEVELS)
+    return (context * len(LEVELS) + pair) * len(LEVELS) + word
 
 
 class Scorer:
     """A worker's side of a model: what it has found out about the words it met."""
 
-    def __init__(self, model_filter: Filter | None, head: tuple[bytes, np.ndarray], documents: int):
-        self.filter, self.documents = model_filter, documents
+    def __init__(self, model_filter: Filter | None, head: tuple[bytes, np.ndarray]):
+        self.filter = model_filter
         self.head = dict(zip(head[0].split(b" "), head[1].tolist(), strict=True)) if head[0] else {}
         self.at: dict[bytes, int] = {}
-        self.columns = (np.empty(0, np.uint64), np.empty(0), np.empty(0, np.int64))
+        self.columns = (np.empty(0, np.uint64), np.empty(0, np.uint8), np.empty(0, np.int64))
 
     def indexed(self, new: set[bytes]) -> None:
-        """Hash, approximate count (0 if the filter is not mapped) and exact count (-1: not in the head) of words not met before."""
+        """Hash, level (0 if the filter is not mapped) and exact count (-1: not in the head) of words not met before."""
         names = list(new)
         h = np.fromiter(map(word_hash, names), np.uint64, len(names))
         exact = np.fromiter((self.head.get(w, -1) for w in names), np.int64, len(names))
         self.at.update(zip(names, range(len(self.at), len(self.at) + len(names)), strict=True))
-        approximate = self.filter.counts(h) if self.filter else np.zeros(len(h))
-        self.columns = tuple(np.concatenate([a, b]) for a, b in zip(self.columns, (h, approximate, exact), strict=True))
+        level = self.filter.levels(h) if self.filter else np.zeros(len(h), np.uint8)
+        self.columns = tuple(np.concatenate([a, b]) for a, b in zip(self.columns, (h, level, exact), strict=True))
 
     def tokens(self, texts: list[bytes]):
-        """Of all tokens of some texts, ends included: words, text, exact count or -1, hash, hash of the pair, approximate
-        count; and the number of each text's tokens."""
+        """Of all tokens of some texts, ends included: words, text, exact count or -1, hash, level; and the number of each
+        text's tokens."""
         split = [[*t.lower().split(), END] for t in texts]
         new = set().union(*split).difference(self.at)
         if len(self.at) + len(new) > MEMO_WORDS:
@@ -318,25 +346,22 @@ class Scorer:
         flat = [w for s in split for w in s]
         where = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
         lengths = np.array([len(s) for s in split], np.int64)
-        h, approximate, exact = (c[where] for c in self.columns)
-        before = np.concatenate([[_START], h[:-1]])
-        before[_starts(lengths)] = _START
-        return flat, np.repeat(np.arange(len(texts)), lengths), exact, h, pair_hash(before, h), approximate, lengths
+        h, level, exact = (c[where] for c in self.columns)
+        return flat, np.repeat(np.arange(len(texts)), lengths), exact, h, level, lengths
 
-    def approximate(self, pairs: np.ndarray, word: np.ndarray, lengths: np.ndarray):
-        """Approximate counts of pair, context and word of some tokens by the mapped filter."""
-        context = _contexts(word, lengths, self.documents)
-        pairs, back = np.unique(pairs, return_inverse=True)
-        return np.minimum(self.filter.counts(pairs)[back], context), context, word
+    def codes(self, h: np.ndarray, word: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Where the tables have some tokens, by the mapped filter."""
+        pairs, back = np.unique(_pairs(h, lengths), return_inverse=True)
+        return _codes(self.filter.levels(pairs)[back], word, lengths)
 
 
 _SCORERS: dict[str, Scorer] = {}
 
 
-def _scorer(key: str, model_filter, head, documents: int) -> Scorer:
+def _scorer(key: str, model_filter, head) -> Scorer:
     if key not in _SCORERS:
         _SCORERS.clear()
-        _SCORERS[key] = Scorer(model_filter, head.value, documents)
+        _SCORERS[key] = Scorer(model_filter, head.value)
     return _SCORERS[key]
 
 
@@ -353,130 +378,190 @@ def _texts(batch: pa.RecordBatch, column: int, size: int = 2 << 20) -> Iterator[
         yield at, rows
 
 
-def _likelihoods(rows: np.ndarray, lengths: np.ndarray, training: np.ndarray, counts: tuple, weights: tuple, tried: bool, n: int, v: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The score of each of some texts for each weight, under their rows; and if `tried`, under row -1 - k what weight k
-    gives to those that were trained on, each token as if not counted."""
-    text = np.repeat(np.arange(len(rows)), lengths)
-    found = [np.bincount(text, log_probability(*counts, w, n, v), len(rows)).astype(np.float64) for w in weights]
+def _likelihoods(codes: np.ndarray, lengths: np.ndarray, training: np.ndarray, weights: tuple, tried: bool, n: int, v: int, documents: int) -> tuple[list[np.ndarray], list[float]]:
+    """The scores of some texts for each weight; and if `tried`, what each weight gives to those of them that were trained
+    on, each token as if not counted."""
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    found = [np.bincount(text, t[codes], len(lengths)).astype(np.float64) for t in _tables(weights, n, v, documents, 0.0)]
     if not tried:
-        return rows, found
-    seen = np.repeat(training, lengths)
-    own = tuple(c[seen] for c in counts)
-    sums = [float(log_probability(*own, w, n, v, 1.0).sum()) for w in weights]
-    return np.concatenate([rows, -1 - np.arange(len(weights))]), [np.concatenate([f, sums]) for f in found]
-
-
-def _answered(model: Model, asked: DataFrame, weights: tuple, tried: bool) -> DataFrame:
-    """Likelihoods (row, s0, s1...) by a filter that stays a table. Each block of texts asks each segment for its distinct
-    n-grams there; the segment's levels go back to the block. asked: block, segment, data; the row of a block without a
-    segment tells where its tokens' n-grams stand among all it asks for, in order of their hashes."""
+        return found, []
+    times = np.bincount(codes[np.repeat(training, lengths)])
+    there = np.flatnonzero(times)
+    return found, [float((times[there] * t[there]).sum()) for t in _tables(weights, n, v, documents, 1.0)]
+
+
+def _asked(h: np.ndarray, lengths: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a block asks for: the hashes of its distinct pairs, then of its words, in ascending order; their order; and
+    where each token's pair stands before ordering. words: ascending."""
+    pairs, back = np.unique(_pairs(h, lengths), return_inverse=True)
+    both = np.concatenate([pairs, words])
+    order = np.argsort(both, kind="stable")
+    return both[order], order, back
+
+
+def _planned(h: np.ndarray) -> bytes:
+    """A block's token hashes: the distinct ones, frequent ones first, and the place of each token's there, the lowest
+    bytes of all, then the next, so that they compress well."""
+    words, where, times = np.unique(h, return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")
+    place = np.empty(len(words), "<u4")
+    place[order] = np.arange(len(words))
+    return b"".join([len(words).to_bytes(8, "little"), words[order].astype("<u8").tobytes(), place[where].view("u1").reshape(-1, 4).T.tobytes()])
+
+
+def _unplanned(plan: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of a block, and the place of each token's there."""
+    k = int.from_bytes(plan[:8], "little")
+    planes = np.frombuffer(plan, "u1", offset=8 + 8 * k).reshape(4, -1)
+    return np.frombuffer(plan, "<u8", k, 8), np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _answered(model: Model, asked: DataFrame, plans: str, schema: str, shares, weights: tuple, tried: bool) -> DataFrame:
+    """The rows of _found by a filter that stays a table. Each block of texts asks each segment for its distinct n-grams
+    there (block, segment, data); the segment's levels go back to the block, whose tokens and rows lie in a file of the
+    folder `plans`. A block's name tells its contents, so that a task that runs again writes and asks the same."""
     n, v, documents = model.train_tokens, model.distinct, model.documents
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, bits = -1, None
+        at, bits = -1, np.zeros(8, "u1")
         for batch in batches:
-            blocks, data = [], []
-            segments = batch.column(0).to_pylist()
-            for segment, block, own in zip(segments, batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if block is None:
-                    at, bits = segment, np.frombuffer(own.as_py(), "u1")
-                    continue
-                if segment != at:  # no n-gram of the training texts is there
-                    at, bits = segment, np.zeros(8, "u1")
-                identity = np.frombuffer(own.as_py(), "<u4")
-                blocks.append((block, segment))
-                data.append(probed(bits, identity, np.zeros(len(identity), np.int64), np.full(len(identity), 8 * len(bits), np.uint64)).astype("u1").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in blocks], pa.int64()), pa.array([x[1] for x in blocks], pa.int32()), pa.array(data, pa.binary())], names=["block", "segment", "data"])
+            data, size, rows = [bits], len(bits), []
+            for k, (segment, block) in enumerate(zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True)):
+                if block is None or segment != at:  # another segment; if it has no row, no n-gram of the training texts is there
+                    at, bits = segment, np.frombuffer(batch.column(2)[k].as_py(), "u1") if block is None else np.zeros(8, "u1")
+                    data.append(bits)
+                    size += len(bits)
+                if block is not None:
+                    rows.append((k, size - len(bits), 8 * len(bits)))
+            if not rows:
+                continue
+            k, first, own = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+            asks = batch.column(2).take(pa.array(k))
+            ids = [np.frombuffer(x, "<u4") for x in asks.to_pylist()]
+            length = np.array([len(x) for x in ids], np.int64)
+            levels = probed(np.concatenate(data), np.concatenate(ids), np.repeat(first, length), np.repeat(own.astype(np.uint64), length))
+            ends = np.concatenate([[0], np.cumsum(length)]).astype("<i4")
+            back = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(ends), pa.py_buffer(levels)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k)), batch.column(1).take(pa.array(k)), back], names=["block", "segment", "data"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, plan, levels = None, None, []
-
-        def out() -> pa.RecordBatch:
-            k = int(plan[0])
-            lengths, training = plan[1 : 1 + k].astype(np.int64), plan[1 + k : 1 + 2 * k] > 0
-            tokens = plan[1 + 2 * k :].astype(np.int64)
-            m = len(tokens) // 2
-            counts = LEVELS[np.concatenate(levels).astype(np.int64)]
-            word = counts[tokens[m:]]
-            context = _contexts(word, lengths, documents)
-            rows, found = _likelihoods(np.arange(block, block + k), lengths, training, (np.minimum(counts[tokens[:m]], context), context, word), weights, tried, n, v)
-            return pa.RecordBatch.from_arrays([pa.array(rows), *map(pa.array, found)], names=["row", *(f"s{i}" for i in range(len(weights)))])
+        at, levels = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            plan, *tables = pa.ipc.open_stream(pa.py_buffer(mapped(f"{plans}/{at:x}", "u1")))
+            words, where = _unplanned(plan.column("data")[0].as_py())
+            own = [t for t in tables if t.column("n_tokens").null_count == 0]
+            lengths = np.concatenate([t.column("n_tokens").to_numpy() for t in own])
+            training = np.concatenate([np.array([x is False for x in t.column("held_out").to_pylist()], bool) for t in own])
+            ascending = np.argsort(words)
+            asks, order, back = _asked(words[where], lengths, words[ascending])
+            given = np.concatenate(levels)
+            if len(given) != len(asks):
+                raise ValueError(f"block {at:x} asked for {len(asks)} n-grams and got {len(given)}")
+            level = np.empty(len(asks), np.uint8)
+            level[order] = given
+            word = np.empty(len(words), np.uint8)
+            word[ascending] = level[len(level) - len(words) :]
+            scores, sums = _likelihoods(_codes(level[back], word[where], lengths), lengths, training, weights, tried, n, v, documents)
+            done = 0
+            for t in tables:
+                columns = {c: t.column(c) for c in names}
+                if t.column("n_tokens").null_count == 0:
+                    columns |= {f"s{i}": pa.array(s[done : done + t.num_rows]) for i, s in enumerate(scores)}
+                    done += t.num_rows
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+            if tried:
+                yield shares(own[0].column("row")[0].as_py(), sums)
 
         for batch in batches:
-            for own, segment, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if segment is None:
-                    if plan is not None:
-                        yield out()
-                    block, plan, levels = own, np.frombuffer(data, "<u4"), []
-                else:
-                    levels.append(np.frombuffer(data, "u1"))
-        if plan is not None:
-            yield out()
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if block != at:
+                    if at is not None:
+                        yield from out()
+                    at, levels = block, []
+                levels.append(np.frombuffer(data, "u1"))
+        if at is not None:
+            yield from out()
 
-    asks = asked.filter("segment is not null").select("segment", "block", "data")
-    met = asks.unionByName(model.segments.select("segment", F.lit(None).cast("long").alias("block"), F.col("bits").alias("data")))
+    met = asked.unionByName(model.segments.select(F.lit(None).cast("long").alias("block"), "segment", F.col("bits").alias("data")))
     answers = met.repartition("segment").sortWithinPartitions("segment", F.col("block").asc_nulls_first()).mapInArrow(answer, "block long, segment int, data binary")
-    back = asked.filter("segment is null").select("block", "segment", "data").unionByName(answers)
-    schema = "row long, " + ", ".join(f"s{i} double" for i in range(len(weights)))
-    return back.repartition("block").sortWithinPartitions("block", F.col("segment").asc_nulls_first()).mapInArrow(finish, schema)
+    return answers.repartition("block").sortWithinPartitions("block", "segment").select("block", "data").mapInArrow(finish, schema)
 
 
 def _found(docs: DataFrame, model: Model, held_out: Column, weights: tuple, tried: bool, id_col: str, text_col: str) -> DataFrame:
     """Rows of three kinds: one per document, with s0, s1... for the weights; one per document and word whose exact count
-    is not in the head (key, times); and if `tried`, rows -1 - k with shares of the likelihood of weight k in s0, s1..."""
+    is not in the head (key, times); and if `tried`, rows -1 - k with shares of the likelihood of weight k in s0."""
     model_filter, head, n, v, documents = model.filter, model.head, model.train_tokens, model.distinct, model.documents
     scores = [f"s{i}" for i in range(len(weights))]
     schema = "row long, key binary, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, times long, " + ", ".join(f"{s} double" for s in scores)
-    if model_filter is None:
-        schema += ", block long, segment int, data binary"
     names = [c.split()[0] for c in schema.split(", ")]
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "int": pa.int32()}
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
     types = {c.split()[0]: kinds[c.split()[1]] for c in schema.split(", ")}
-    scorer_key = model_filter.uri if model_filter else uuid.uuid4().hex
+    plans = new_dir(docs.sparkSession, "lm-plans") if model_filter is None else ""
+    scorer_key = model_filter.uri if model_filter else plans
 
     def table(rows: int, **columns) -> pa.RecordBatch:
         own = {k: c if isinstance(c, pa.Array) else pa.array(c, types[k]) for k, c in columns.items()}
         return pa.RecordBatch.from_arrays([own[k] if k in own else pa.nulls(rows, types[k]) for k in names], names=names)
 
+    def shares(row: int, sums: list[float]) -> pa.RecordBatch:
+        return table(len(sums), row=[-1 - i for i in range(len(sums))], key=[b" %d %d" % (row, i) for i in range(len(sums))], s0=sums)
+
+    def asks(row: int, hashes: list[np.ndarray], lengths: list[np.ndarray], tables: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """Writes a block that begins at a row to its file, and gives what it asks for."""
+        h = np.concatenate(hashes)
+        plan = _planned(h)
+        asked = _asked(h, np.concatenate(lengths), np.unique(h))[0]
+        block = xxhash.xxh64_intdigest(plan, seed=row) >> 1
+        whole = pa.schema([*((c, types[c]) for c in names), ("data", pa.binary())])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, whole, options=pa.ipc.IpcWriteOptions(compression="zstd")) as file:
+            for t, data in ((table(1), plan), *((t, None) for t in tables)):
+                file.write_batch(pa.RecordBatch.from_arrays([*t.columns, pa.array([data] * t.num_rows, pa.binary())], schema=whole))
+        write_whole(f"{plans}/{block:x}", sink.getvalue())
+        segment, identity = split_hash(asked)
+        there, cut = np.unique(segment, return_index=True)
+        ends = np.append(cut, len(asked)).astype("<i4") * 4
+        data = pa.Array.from_buffers(pa.binary(), len(there), [None, pa.py_buffer(ends), pa.py_buffer(identity.astype("<u4"))])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(there), block, np.int64)), pa.array(there.astype(np.int32)), data], names=["block", "segment", "data"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 36
+        row = first = TaskContext.get().partitionId() << 36
+        hashes, counted, tables = [], [], []
         for batch in batches:
-            scorer = _scorer(scorer_key, model_filter, head, documents)
+            scorer = _scorer(scorer_key, model_filter, head)
             for at, texts in _texts(batch, 2):
-                words, text, exact, h, pairs, approximate, lengths = scorer.tokens(texts)
+                words, text, exact, h, level, lengths = scorer.tokens(texts)
                 k, known = len(texts), exact >= 0
                 base = np.bincount(text[known], np.log10((exact[known] + 1) / (n + v + 1)), k).astype(np.float64)
                 rows = np.arange(row, row + k)
-                training = np.array([x is False for x in batch.column(1).slice(at, k).to_pylist()], bool)
                 own = {"row": rows, "key": [b" %d" % r for r in rows.tolist()], "doc_id": batch.column(0).slice(at, k), "held_out": batch.column(1).slice(at, k)}
                 own |= {"n_tokens": lengths, "n_known": np.bincount(text[known], minlength=k).astype(np.int64), "base_score": base}
+                rest = Counter((t, words[i]) for t, i in zip(text[~known].tolist(), np.flatnonzero(~known).tolist(), strict=True))
+                others = [table(len(rest), row=[row + t for t, _ in rest], key=[w for _, w in rest], times=list(rest.values()))] if rest else []
                 if model_filter is not None:
-                    under, value = _likelihoods(rows, lengths, training, scorer.approximate(pairs, approximate, lengths), weights, tried, n, v)
-                    own |= {s: x[:k] for s, x in zip(scores, value, strict=True)}
+                    training = np.array([x is False for x in own["held_out"].to_pylist()], bool)
+                    value, sums = _likelihoods(scorer.codes(h, level, lengths), lengths, training, weights, tried, n, v, documents)
+                    yield table(k, **own, **dict(zip(scores, value, strict=True)))
+                    yield from others
                     if tried:
-                        m = len(weights)
-                        yield table(m, row=under[k:], key=[b" %d %d" % (row, i) for i in range(m)], **{s: x[k:] for s, x in zip(scores, value, strict=True)})
+                        yield shares(row, sums)
                 else:
-                    asked, where = np.unique(np.concatenate([pairs, h]), return_inverse=True)
-                    plan = np.concatenate([[k], lengths, training, where]).astype("<u4").tobytes()
-                    segment, identity = split_hash(asked)
-                    cut = np.searchsorted(segment, np.arange(SEGMENTS + 1))
-                    there = [i for i in range(SEGMENTS) if cut[i + 1] > cut[i]]
-                    data = [plan, *(identity[cut[i] : cut[i + 1]].astype("<u4").tobytes() for i in there)]
-                    yield table(len(data), block=[row] * len(data), segment=[None, *there], data=data)
-                yield table(k, **own)
-                rest = Counter((t, words[i]) for t, i in zip(text[~known].tolist(), np.flatnonzero(~known).tolist(), strict=True))
-                if rest:
-                    yield table(len(rest), row=[row + t for t, _ in rest], key=[w for _, w in rest], times=list(rest.values()))
+                    hashes.append(h)
+                    counted.append(lengths)
+                    tables += [table(k, **own), *others]
                 row += k
+                if sum(map(len, hashes)) >= BLOCK:
+                    yield asks(first, hashes, counted, tables)
+                    first, hashes, counted, tables = row, [], [], []
+        if hashes:
+            yield asks(first, hashes, counted, tables)
 
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), whole_text(text_col).alias("text")).mapInArrow(run, schema)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), whole_text(text_col).alias("text"))
     if model_filter is not None:
-        return found
-    found = written(found, "lm-asked")
-    answered = _answered(model, found.filter("block is not null").select("block", "segment", "data"), weights, tried)
-    key = F.concat(F.lit(" "), F.col("row").cast("string")).cast("binary").alias("key")
-    return found.filter("block is null").drop("block", "segment", "data").unionByName(answered.select("*", key), allowMissingColumns=True)
+        return texts.mapInArrow(run, schema)
+    return _answered(model, texts.mapInArrow(run, "block long, segment int, data binary"), plans, schema, shares, weights, tried)
 
 
 def _likeliest(sums: list, weights: tuple) -> int | None:
