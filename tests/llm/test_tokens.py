@@ -30,6 +30,37 @@ def test_memo_equals_library(texts):
         assert [packed(library(t)) for t in own] == memo.encode([t.encode() for t in own])
 
 
+def test_latin_words_equal_library():
+    letters = [chr(c) for c in range(0xC0, 0x180)]
+    own = [f"{a}{b}{c} a{a}{b} {b}b{a}... \t{a}! É{b}{a}'s,." for a, b, c in zip(letters, letters[1:] + letters, letters[2:] + letters, strict=False)]
+    own += ["", " ", "\n", "é" * 70 + "! " + "ab" * 40 + "," + " x.y-z, a.é. 12. 1é a中. !!! é", "straße STRASSE Straẞe ÿŸ", "\x00a b\x00 \x1fc"]
+    expected = [packed(e.ids) for e in Tokenizer.from_file(PATH).encode_batch(own, add_special_tokens=False)]
+    for most in (1_000_000, 3):  # a memo of three words starts anew all the time
+        memo = WordMemo(PATH, most)
+        for _ in range(2):
+            assert memo.encode([t.encode() for t in own]) == expected
+            assert [memo.encode([t.encode()])[0] for t in own] == expected
+    broken = b"ab \xff\xc3 c\xe9d. ab"
+    assert memo.encode([broken, b"ab"]) == [packed(library(broken.decode("utf-8", "replace"))), packed(library("ab"))]
+    assert memo.encode([]) == []
+
+
+def test_few_words_reach_the_whole_library():
+    class Recorder:
+        def __init__(self, library):
+            self.library, self.seen = library, []
+
+        def encode_batch_fast(self, words, **how):
+            self.seen += words
+            return self.library.encode_batch_fast(words, **how)
+
+    memo = WordMemo(PATH)
+    memo._library = Recorder(memo._library)
+    text = "new words über Ärger, and été... their stems; don't! " * 3
+    assert memo.encode([text.encode()]) == [packed(library(text))]
+    assert sorted(memo._library.seen) == ["!", ",", "...", ";", "don't"]  # plain words go to the model alone
+
+
 def test_counts(spark, docs, texts):
     cache = new_dir(spark, "test-cache")
     expected = sorted((str(i), len((t or "").encode()), len(library(t)), len(library(t)) > 100) for i, t in texts)
