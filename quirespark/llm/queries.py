@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirespark.llm import decontam, exact_dedup, licences, lm_score, quality, toxicity
+from quirespark.llm import alignment, best_fit, decontam, exact_dedup, licences, lm_score, quality, toxicity
 from quirespark.llm.columns import fold
 from quirespark.llm.exact_dedup import exact_groups
 from quirespark.llm.ngram_join import near_duplicates
@@ -86,5 +86,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), new_dir(spark, "token-count-cache"), limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_licences, op2_lm_score, op3_token_files, op4_quality, op5_packing, op6_decontamination, op7_exact_dedup, op8_toxicity, op9_ngram_join, op10_token_counts)}
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in as few sequences of at most 2048 ids as rounds of best fit take; see best_fit.best_fit."""
+    pieces = best_fit.cut_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), end_id=0, limit=2048)
+    places = best_fit.best_fit(pieces, 2048)
+    own = pieces.select("piece_id", "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"))
+    return best_fit.packed(own, places.withColumn("offset", F.col("offset").cast("long")))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two tokenizers' tokens of each document align; see alignment.cross_aligned."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return alignment.cross_aligned(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_licences, op2_lm_score, op3_token_files, op4_quality, op5_packing, op6_decontamination, op7_exact_dedup, op8_toxicity, op9_ngram_join, op10_token_counts, op11_best_fit, op12_alignment)}
 ORACLES = {"op1_licences": licences.SQL, "op7_exact_dedup": exact_dedup.SQL}
