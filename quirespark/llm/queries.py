@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirespark.llm import alignment, best_fit, decontam, exact_dedup, licences, lm_score, quality, toxicity
+from quirespark.llm import alignment, best_fit, decontam, divergence, exact_dedup, licences, lm_score, quality, toxicity
 from quirespark.llm.columns import fold
 from quirespark.llm.exact_dedup import exact_groups
 from quirespark.llm.ngram_join import near_duplicates
@@ -100,5 +100,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.cross_aligned(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licences, op2_lm_score, op3_token_files, op4_quality, op5_packing, op6_decontamination, op7_exact_dedup, op8_toxicity, op9_ngram_join, op10_token_counts, op11_best_fit, op12_alignment)}
-ORACLES = {"op1_licences": licences.SQL, "op7_exact_dedup": exact_dedup.SQL}
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How sources of each language differ from it and from one another; see divergence.audit."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_licences, op2_lm_score, op3_token_files, op4_quality, op5_packing, op6_decontamination, op7_exact_dedup, op8_toxicity, op9_ngram_join, op10_token_counts, op11_best_fit, op12_alignment, op13_divergence)}
+ORACLES = {"op1_licences": licences.SQL, "op7_exact_dedup": exact_dedup.SQL, "op13_divergence": divergence.SQL}
