@@ -79,7 +79,7 @@ def claimed(rows: DataFrame, folder: str, name: str, order: str | list[str], to:
     index = F.col(rank)
     result = ranked
     if not children.isEmpty():
-        held = ranked.select(F.struct(F.col(folder)).alias("folder"), F.col(low).alias("low"), F.col(rank).alias("row"), *[F.col(o).alias(p) for o, p in zip(order, places, strict=True)])
+        held = ranked.select(F.struct(F.col(folder).alias("folder")).alias("folder"), F.col(low).alias("low"), F.col(rank).alias("row"), *[F.col(o).alias(p) for o, p in zip(order, places, strict=True)])
         held = written(held.join(children.select(*key).distinct(), key, "left_semi"), "parent-names")
         both = held.select(*key, *places, F.lit(None).cast("string").alias("own"), F.lit(None).cast("long").alias("k")).unionByName(children)
         marked = group_rank(group_rank(both, key, places, "place", most).filter("own is not null"), key, places, "turn", most)
@@ -94,7 +94,7 @@ def claimed(rows: DataFrame, folder: str, name: str, order: str | list[str], to:
         asked = held.join(winners.select(*key).distinct(), key, "left_semi").select(*key, "row", F.lit(1).alias("kind"))
         passed = group_rank(winners.unionByName(asked), key, ["row", "kind"], "place", most).filter("kind = 1").select("folder", "low", "row", (F.col("place") - F.col("row")).alias(skipped))
         lost = told.filter("not wins").select("folder", F.col("own").alias("low"), F.lit(1).cast("long").alias(shift))
-        result = _looked_up(_looked_up(ranked, passed, [F.struct(F.col(folder)), F.col(low), F.col(rank)], ["folder", "low", "row"]), lost, [F.struct(F.col(folder)), F.col(low)], key)
+        result = _looked_up(_looked_up(ranked, passed, [F.struct(F.col(folder).alias("folder")), F.col(low), F.col(rank)], ["folder", "low", "row"]), lost, [F.struct(F.col(folder).alias("folder")), F.col(low)], key)
         index = index + F.coalesce(skipped, F.lit(0)) + F.coalesce(shift, F.lit(0))
     chosen = F.when(index == 0, F.col(name)).otherwise(F.concat(base, F.lit(" "), index.cast("string"), extension))
     return result.select(*[F.col(c) for c in rows.columns if c != to], chosen.alias(to))

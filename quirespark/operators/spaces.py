@@ -53,9 +53,10 @@ def revision_chains(revisions: DataFrame, heads: DataFrame) -> DataFrame:
         above = dict(zip(rows["rev_id"], rows["dep_id"], strict=True))
         found = []
         for space, head in rows.loc[rows["head_of"].notna(), ["head_of", "rev_id"]].drop_duplicates("head_of").itertuples(index=False):
-            chain = []
-            while head in above and head not in chain:
+            chain, seen = [], set()
+            while head in above and head not in seen:
                 chain.append(head)
+                seen.add(head)
                 head = above[head]
             found += [(rows["section"].iloc[0], space, r, k) for k, r in enumerate(reversed(chain))]
         return pd.DataFrame(found, columns=["section", "space_id", "rev_id", "chain_pos"])

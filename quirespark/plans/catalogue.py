@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quirespark.functions import binary, names, text
 from quirespark.operators import ink, layout, relational
+from quirespark.plans import convert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -231,6 +232,46 @@ def subpage_parent(t):
     return layout.with_parent(_nested(t), ["o_custkey"], "o_orderkey", "o_orderkey").select("o_custkey", "o_orderkey", "depth", "parent")
 
 
+#: Names that end in numbers, so that some meet the numbered names of others.
+_NUMBERED_SQL = "SELECT p_partkey, p_brand, CASE WHEN p_size % 3 = 0 THEN split_part(p_type, ' ', 1) WHEN p_size % 3 = 1 THEN lower(split_part(p_type, ' ', 1)) || ' ' || p_size % 7 ELSE split_part(p_type, ' ', 1) || ' 1 ' || p_size % 4 END || '.md' AS name FROM part"
+
+
+@query(f"""
+WITH RECURSIVE x AS ({_NUMBERED_SQL}),
+y AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i, left(name, len(name) - 3) AS base FROM x),
+c AS (SELECT p_partkey, p_brand, i, name AS claimed, [lower(name)] AS taken FROM y WHERE i = 1
+  UNION ALL
+  SELECT p_partkey, p_brand, i, free, list_append(taken, lower(free)) FROM (
+    SELECT y.p_partkey, y.p_brand, y.i, c.taken, list_filter([name] || list_transform(range(1, y.i), lambda k: base || ' ' || k || '.md'), lambda n: NOT list_contains(c.taken, lower(n)))[1] AS free
+    FROM c JOIN y ON y.p_brand = c.p_brand AND y.i = c.i + 1))
+SELECT p_partkey, p_brand, claimed FROM c""")
+def claim_numbered(t):
+    """Names claimed in turn, where names that end in numbers compete for the numbers of others."""
+    word, n = F.split_part("p_type", F.lit(" "), F.lit(1)), F.col("p_size")
+    number = lambda k: (n % k).cast("string")
+    name = F.when(n % 3 == 0, word).when(n % 3 == 1, F.concat(F.lower(word), F.lit(" "), number(7))).otherwise(F.concat(word, F.lit(" 1 "), number(4)))
+    return layout.claimed(t("part").select("p_partkey", "p_brand", F.concat(name, F.lit(".md")).alias("name")), "p_brand", "name", "p_partkey").select("p_partkey", "p_brand", "claimed")
+
+
+_PLACED_SQL = "SELECT *, folder || '/' || name AS own FROM (SELECT o_custkey, o_orderkey, folder, o_orderpriority || CASE WHEN k = 1 THEN '' ELSE ' ' || (k - 1) END AS name FROM (SELECT *, row_number() OVER (PARTITION BY folder, o_orderpriority ORDER BY o_custkey, o_orderkey) AS k FROM ({})))"
+
+
+@query(f"""
+WITH {_DEPTH_SQL},
+p AS (SELECT d.*, o_orderpriority, (SELECT max(b.o_orderkey) FROM d b WHERE b.o_custkey = d.o_custkey AND b.i < d.i AND b.depth = d.depth - 1) AS parent FROM d JOIN orders USING (o_custkey, o_orderkey)),
+l0 AS ({_PLACED_SQL.format("SELECT p.*, 'Customers ' || o_custkey % 10 AS folder FROM p WHERE depth = 0")}),
+l1 AS ({_PLACED_SQL.format("SELECT p.*, own AS folder FROM p JOIN l0 ON p.parent = l0.o_orderkey WHERE depth = 1")}),
+l2 AS ({_PLACED_SQL.format("SELECT p.*, own AS folder FROM p JOIN l1 ON p.parent = l1.o_orderkey WHERE depth = 2")}),
+l3 AS ({_PLACED_SQL.format("SELECT p.*, own AS folder FROM p JOIN l2 ON p.parent = l2.o_orderkey WHERE depth = 3")})
+SELECT o_orderkey, folder, name AS stem FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)""")
+def nested_paths(t):
+    """Folders and names of notes nested up to three levels, claimed level by level; sections share folders."""
+    pages = t("orders").select(F.col("o_custkey").alias("section"), F.col("o_orderkey").alias("page_id"), F.col("o_orderkey").alias("page_ord"), (F.col("o_orderkey") % 4).alias("level"))
+    names_of = t("orders").select(F.col("o_custkey").alias("section"), F.col("o_orderkey").alias("page_id"), F.col("o_orderpriority").alias("file_name"))
+    pages = pages.join(names_of, ["section", "page_id"]).withColumn("section_folder", F.concat(F.lit("Customers "), (F.col("section") % 10).cast("string"))).withColumn("turn", F.struct("section", "page_ord"))
+    return convert.placed_pages(pages, nest=True).select(F.col("page_id").alias("o_orderkey"), "folder", "stem")
+
+
 @query("""
 WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey % 60 AS boundary, 40 AS n FROM lineitem),
 y AS (SELECT *, max(least(boundary, n)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS "end" FROM x)

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirespark.functions import binary, names, render, text
@@ -45,27 +45,22 @@ class Converted:
 
 
 def placed_pages(pages: DataFrame, nest: bool) -> DataFrame:
-    """Adds depth, folder and stem to pages (section, page_ord, level, folder of the section, file_name): a page lies in the
-    folder of the last page one level up, and its name is the first free one there. Only keys come to a task, those of one
-    section, as each name depends on those before it."""
-
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("page_ord")
-        above, taken, found = [rows["section_folder"].iloc[0]], set(), []
-        for section, page, level, name in zip(rows["section"], rows["page_id"], rows["level"], rows["file_name"], strict=True):
-            depth = min(level, len(above) - 1) if nest else 0
-            folder, k, stem = above[depth], 0, name
-            while (folder, f"{stem}.md".lower()) in taken:
-                k += 1
-                stem = f"{name} {k}"
-            taken.add((folder, f"{stem}.md".lower()))
-            found.append((section, page, depth, folder, stem))
-            above[depth + 1 :] = ["/".join(x for x in (folder, stem) if x)]
-        return pd.DataFrame(found, columns=["section", "page_id", "depth", "folder", "stem"])
-
-    keys = pages.select("section", "page_id", "page_ord", "level", "section_folder", "file_name")
-    placed = keys.groupBy("section").applyInPandas(place, "section string, page_id string, depth int, folder string, stem string")
-    return pages.join(placed, ["section", "page_id"])
+    """Adds depth, folder and stem to pages (section, page_id, page_ord, level, section_folder, file_name, turn): a page lies
+    in the folder of the last page one level up, and its name is the first free one there, in the order of `turn`, which
+    tells pages of all sections apart. All pages of one depth claim their names at once, after those above them: a round
+    for each depth, over all sections."""
+    keys = pages.select("section", "page_id", "page_ord", "level", "section_folder", "turn", F.concat("file_name", F.lit(".md")).alias("note"))
+    keys = layout.with_depth(keys, ["section"], ["page_ord"], "level") if nest else keys.withColumn("depth", F.lit(0))
+    keys = written(layout.with_parent(keys, ["section"], "page_ord", "page_id"), "nested-pages")
+    placed: list[DataFrame] = []
+    for depth in range((keys.agg(F.max("depth")).first()[0] or 0) + 1):
+        own = keys.filter(F.col("depth") == depth).withColumnRenamed("section_folder", "folder")
+        if placed:
+            above = placed[-1].select("section", F.col("page_id").alias("parent"), render.joined_path(F.col("folder"), F.col("stem")).alias("folder"))
+            own = own.drop("folder").join(above, ["section", "parent"])
+        named = layout.claimed(own.select("section", "page_id", "depth", "folder", "turn", "note"), "folder", "note", "turn", to="note")
+        placed.append(written(named.select("section", "page_id", "depth", "folder", F.regexp_replace("note", r"\.md\z", "").alias("stem")), "placed-pages"))
+    return pages.join(reduce(DataFrame.unionByName, placed), ["section", "page_id"])
 
 
 def claimed_attachments(assets: DataFrame, folder: str) -> DataFrame:
@@ -74,16 +69,19 @@ def claimed_attachments(assets: DataFrame, folder: str) -> DataFrame:
     rows = assets.withColumn("asset_folder", render.joined_path(F.col("folder"), F.lit(folder)))
     kind = binary.magic_kind(F.col("payload"))
     rows = rows.withColumn("wished", names.file_name_column(render.with_extension(F.col("suggested"), kind)))
-    order = ["input", "section_ord", "page_ord", "number"]
+    order = ["input_ord", "section_ord", "page_ord", "number"]
     rows = written(layout.first_copies(rows, "asset_folder", F.col("payload"), order), "assets")
-    firsts = rows.filter("written").select("asset_folder", "digest", "wished", F.concat_ws("\0", *(F.lpad(F.col(c).cast("string"), 12, "0") if c != "input" else F.col(c) for c in order)).alias("turn"))
-    named = layout.claimed(firsts, "asset_folder", "wished", "turn", to="asset_name").select("asset_folder", "digest", "asset_name")
+    firsts = rows.filter("written").select("asset_folder", "digest", "wished", *order)
+    named = layout.claimed(firsts, "asset_folder", "wished", order, to="asset_name").select("asset_folder", "digest", "asset_name")
     return rows.join(named, ["asset_folder", "digest"])
 
 
-def convert(inputs: DataFrame, options: Options = Options()) -> Converted:
+def convert(inputs: DataFrame, options: Options = Options(), order: DataFrame | None = None) -> Converted:
     """Inputs (input, content) as notes with their attachments. An input, section or page with a fault is a row of errors,
-    and the others are converted; notes lie under their notebook, groups and section, which claims its name in order."""
+    and the others are converted; notes lie under their notebook, groups and section, which claims its name in order.
+    order (input, input_ord): places of the inputs; in name order where it is not given."""
+    if order is None:
+        order = cabinet.in_name_order(inputs.select("input"), "input")
     found = cabinet.read_sections(inputs, set(options.sections) if options.sections else None, options.archive)
     found = written(found.withColumn("section", F.concat_ws("\0", "input", F.coalesce("entry_ord", F.lit(0)).cast("string"))), "sections")
     own = found.filter("code is null").withColumn("title", text.entry_title(F.col("entry_name"))).withColumn("groups", text.entry_groups(F.col("entry_name")))
@@ -93,28 +91,29 @@ def convert(inputs: DataFrame, options: Options = Options()) -> Converted:
     listed = spaces.pages(graph, objects, roots, options.graph.page_nodes)
     tops = spaces.section_spaces(graph, objects, roots)
     notebook = render.notebook_name(F.lit(options.notebook).cast("string"), F.col("input"), F.col("n_sections"), F.col("any_groups"))
-    about = own.select("section", "input", F.col("entry_ord").alias("section_ord"), "title", "groups").join(counts, "input").join(tops.select("section", "section_name"), "section", "left")
+    about = own.select("section", "input", F.col("entry_ord").alias("section_ord"), "title", "groups").join(counts, "input").join(order, "input").join(tops.select("section", "section_name"), "section", "left")
     about = about.withColumn("notebook", notebook).withColumn("label", F.when(F.col("section_name") != "", F.col("section_name")).otherwise(F.col("title")))
     # names of groups and notebooks are few: one call for each section
     parent = render.joined_path(F.when(F.col("notebook") != "", F.col("notebook_file")), F.col("group_files"))
     groups = about.select("section", F.posexplode("groups").alias("k", "g")).select("section", "k", names.file_name_column("g").alias("g")).groupBy("section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "g"))), lambda x: x["g"]), "/").alias("group_files"))
     about = about.join(groups, "section", "left").withColumn("notebook_file", names.file_name_column("notebook")).withColumn("parent", parent).withColumn("section_file", names.file_name_column("label"))
-    decoded = about.join(tops.select("section"), "section", "left_semi").withColumn("turn", F.concat_ws("\0", "input", F.lpad(F.col("section_ord").cast("string"), 12, "0")))
-    folders = layout.claimed(decoded.select("section", "parent", "section_file", "turn"), "parent", "section_file", "turn", to="claimed_file")
+    decoded = written(about.join(tops.select("section"), "section", "left_semi"), "decoded-sections")
+    folders = layout.claimed(decoded.select("section", "parent", "section_file", "input_ord", "section_ord"), "parent", "section_file", ["input_ord", "section_ord"], to="claimed_file")
     about = written(decoded.join(folders.select("section", render.joined_path(F.col("parent"), F.col("claimed_file")).alias("section_folder")), "section"), "section-folders")
 
     pages = listed.filter(~F.col("is_deleted") | F.lit(options.include_deleted)).drop("section_name")
     elements = written(mapping.elements(pages, objects, options.graph), "elements")
     titles = elements.filter("kind = 'title'").groupBy("section", "page_id").agg(F.max_by("words", "ord").alias("found_title"))
     pages = pages.join(titles, ["section", "page_id"], "left").withColumn("title", F.when(text.trim_space(F.col("title")) == "", F.coalesce("found_title", "title")).otherwise(F.col("title"))).drop("found_title")
-    pages = pages.join(about.select("section", "input", "section_ord", "label", "notebook", "groups", "section_folder"), "section").withColumn("file_name", names.file_name_column("title"))
-    pages = written(placed_pages(pages, options.nest), "pages")
+    pages = pages.join(about.select("section", "input", "input_ord", "section_ord", "label", "notebook", "groups", "section_folder"), "section").withColumn("file_name", names.file_name_column("title"))
+    pages = pages.withColumn("turn", F.struct("input_ord", "section_ord", "page_ord"))
+    pages = written(placed_pages(written(pages, "titled-pages"), options.nest).drop("turn"), "pages")
 
     # assets: those of paragraphs, cells and ink; a payload is joined late, and only to those that name it
     keys = ["section", "page_id"]
     plain = elements.filter("asset is not null").select(*keys, "asset", F.when(F.col("kind") == "ink", ink.drawing_column("strokes")).alias("svg"))
     celled = elements.filter("kind = 'table'").select(*keys, F.explode(F.flatten(F.flatten("cells"))).alias("part")).filter("part.asset is not null").select(*keys, "part.asset", F.lit(None).cast("string").alias("svg"))
-    assets = plain.unionByName(celled).select(*keys, "asset.*", "svg").join(pages.select(*keys, "input", "section_ord", "page_ord", "folder", "stem"), keys)
+    assets = plain.unionByName(celled).select(*keys, "asset.*", "svg").join(pages.select(*keys, "input", "input_ord", "section_ord", "page_ord", "folder", "stem"), keys)
     image_type = F.when(F.coalesce("extension", F.lit("")) != "", F.col("extension")).when(F.col("extension").isNull(), text.extension_of(F.col("name")))
     suggested = F.when(F.col("svg").isNotNull(), F.concat("stem", F.lit(" - Ink.svg"))).when(F.col("image"), render.with_extension(F.concat("stem", F.lit(" image")), image_type)).otherwise(render.with_extension(F.coalesce("name", F.lit("attachment")), F.col("extension")))
     stored = graph.payloads.groupBy("section", "key").agg(F.max_by("ord", "ord").alias("ord"))

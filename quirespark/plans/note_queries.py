@@ -238,10 +238,13 @@ def repeated_ids(t):
     return relational.repeated(t("lineitem").select("l_orderkey", (F.col("l_suppkey") % 3).alias("id")), ["l_orderkey", "id"])
 
 
-@query("SELECT p_name AS name, (row_number() OVER (ORDER BY p_name) - 1)::INT AS input_ord FROM (SELECT DISTINCT p_name FROM part)")
+@query(r"""
+WITH x AS (SELECT DISTINCT lang || '/' || source AS folder, regexp_extract(replace(text, '/', '-'), '^[^\n]{1,40}') || ' ' || doc_id AS name FROM documents)
+SELECT folder || '/' || name AS path, row_number() OVER (ORDER BY regexp_extract(folder, '^[^/]*') COLLATE en_us, regexp_extract(folder, '^[^/]*'), regexp_extract(folder, '[^/]*$') COLLATE en_us, regexp_extract(folder, '[^/]*$'), name COLLATE en_us, name) - 1 AS input_ord FROM x""")
 def input_order(t):
-    """Inputs in the order of their names."""
-    return cabinet.in_name_order(t("part").select(F.col("p_name").alias("name")).distinct(), "name")
+    """Inputs in the order of their names: of folders, and of the first lines of texts, in any case and with accents."""
+    name = F.concat(F.regexp_extract(F.replace("text", F.lit("/"), F.lit("-")), r"\A[^\n]{1,40}", 0), F.lit(" "), F.col("doc_id").cast("string"))
+    return cabinet.in_name_order(t("documents").select(F.concat_ws("/", "lang", "source", name).alias("path")).distinct(), "path")
 
 
 @query("SELECT page_id, concat_ws(' ', CASE WHEN page_id % 2 = 0 THEN 'a' END, nullif(substr(url, 1, (page_id % 3)::INT), '')) AS cell FROM pages")

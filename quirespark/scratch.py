@@ -23,13 +23,13 @@ def base_dir(spark: SparkSession) -> str:
     return _qualified(spark, spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + "/_quirespark"
 
 
-def _located(spark: SparkSession, path: str):
+def located(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
 def _qualified(spark: SparkSession, path: str) -> str:
-    at, store = _located(spark, path)
+    at, store = located(spark, path)
     return store.makeQualified(at).toString()
 
 
@@ -51,5 +51,5 @@ def removed(*tables: DataFrame) -> None:
     """Deletes the files of tables that `written` gave, once nothing reads them any more; others are left alone."""
     for df in tables:
         if "_scratch_path" in df.__dict__:
-            at, store = _located(df.sparkSession, df._scratch_path)
+            at, store = located(df.sparkSession, df._scratch_path)
             store.delete(at, True)

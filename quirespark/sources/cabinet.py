@@ -13,10 +13,12 @@ from itertools import takewhile
 from operator import xor
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirespark.functions import binary, text
+from quirespark.operators.ranks import name_key, overall_rank
+from quirespark.scratch import located, written
 from quirespark.sources import lzx
 
 
@@ -171,6 +173,9 @@ def compound_code(data: bytes) -> str:
 #: Names of inputs, in any case, as the file listing's pattern: other files are not opened.
 INPUT_NAMES = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in x) for x in ("one", "onepkg", "onex")) + "}"
 
+#: The same for a whole path.
+INPUT_PATTERN = r"(?i)\.(one|onepkg|onex)$"
+
 
 def discover(spark: SparkSession, path: str) -> DataFrame:
     """Inputs below a folder (or one file): input, content, length, mod. Where contents are not asked for, none is read."""
@@ -179,10 +184,9 @@ def discover(spark: SparkSession, path: str) -> DataFrame:
 
 
 def in_name_order(rows: DataFrame, name: str, to: str = "input_ord") -> DataFrame:
-    """Adds each row's place in the order of names: as words are ordered, and by their code points where that tells
-    nothing. The sort is of names alone, so give it no contents."""
-    ordered = rows.orderBy(F.collate(name, "UNICODE"), name)
-    return ordered.withColumn(to, F.row_number().over(Window.orderBy(F.collate(F.col(name), "UNICODE"), name)) - 1)
+    """Adds each row's place in the order in which a walk of folders, in name order, meets paths; see ranks.name_key. The
+    sort is of names alone, in many tasks, so give it no contents."""
+    return overall_rank(rows, [name_key(F.col(name)), F.col(name)], to)
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
@@ -190,6 +194,26 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return in_name_order(discover(spark, path).drop("content"), "input")
 
 
+def given_inputs(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Inputs (input, content) of files and folders, and their order (input, input_ord): files as given, whatever their
+    names are, and those below a folder in name order. An input that is met twice counts where it is met first. A path
+    that does not exist raises FileNotFoundError before anything is read."""
+    found, met = [], F.lit(False)
+    for k, path in enumerate(paths):
+        at, store = located(spark, path)
+        if not store.exists(at):
+            raise FileNotFoundError(f"No such file or folder: {path}")
+        folder, root = store.getFileStatus(at).isDirectory(), store.makeQualified(at).toString().rstrip("/")
+        rows = discover(spark, path) if folder else spark.read.format("binaryFile").load(path).select(F.col("path").alias("input"), "content")
+        below = F.substring("input", len(root) + 2, 1 << 30) if folder else F.lit("")
+        found.append(rows.filter(~met).select("input", "content", F.lit(k).alias("given"), below.alias("below")))
+        own = F.col("input").startswith(root + "/") & F.col("input").rlike(INPUT_PATTERN) if folder else F.col("input") == root
+        met = met | own
+    inputs = reduce(DataFrame.unionByName, found)
+    order = overall_rank(inputs.drop("content"), ["given", name_key(F.col("below")), "below"], "input_ord").select("input", "input_ord")
+    return inputs.select("input", "content"), written(order, "input-order")
+
+
 def _rows(inputs: DataFrame, with_bytes: bool, wanted: set[str] | None, limits: Limits) -> DataFrame:
     schema = "input string, entry_name string, entry_ord int, folder_index int, expanded_length long, code string" + (", content binary" if with_bytes else "")
     names = [c.split()[0] for c in schema.split(", ")]

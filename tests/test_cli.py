@@ -33,7 +33,7 @@ def test_runs(spark, tmp_path, capsys):
     (at / "notes.txt").write_bytes(b"not an input")
     assert [r.input.rsplit("/", 1)[-1] for r in cabinet.listing(spark, str(at)).orderBy("input_ord").collect()] == ["b.One", "a.one"]
     assert cli.main([str(at), "--list"], spark) == 0
-    assert "b  0.0 MiB" in capsys.readouterr().out.replace("b.One  ", "")
+    assert "  b\tb.One\n" in capsys.readouterr().out
     out = tmp_path / "out"
     assert cli.main([str(at), "--out", str(out), "--json"], spark) == 1
     told = json.loads(capsys.readouterr().out)
