@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import array
 import hashlib
+import json
 import os
 import re
 import sys
@@ -34,6 +35,19 @@ _WORDS = re.compile(rb"^(?:((?:%s)++)([%s]*+)|(.+))$" % (_LATIN.encode(), re.esc
 _END = "</w>"
 _LOADED: dict[tuple[str, int], "WordMemo"] = {}
 
+#: How a vocabulary file says that it treats white space as a border, and small and capital letters alike.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def by_words(file: dict) -> bool:
+    """Whether texts may be encoded word by word by a vocabulary file: that of the module's text, by its own settings."""
+    model, before = file["model"], file.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and model.get("end_of_word_suffix") == _END and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges"))
+    added = all(t["content"].startswith("<|") and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in file["added_tokens"])
+    return plain and added and file.get("normalizer") == _NORMALIZER and before.get("pretokenizers") == [_SPLIT, _BYTES] and not file.get("truncation") and not file.get("post_processor")
+
 
 def file_digest(path: str) -> str:
     """The tokenizer's version: a digest of its vocabulary file."""
@@ -42,13 +56,19 @@ def file_digest(path: str) -> str:
 
 
 class WordMemo:
-    """Encodes texts (UTF-8 bytes) to little-endian 32-bit ids."""
+    """Encodes texts (UTF-8 bytes) to little-endian 32-bit ids. Words are remembered only where `by_words` holds of the
+    vocabulary file; by any other, the library encodes whole texts."""
 
     def __init__(self, path: str, words: int = MEMO_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self._library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self._words = by_words(json.load(f))
+        if not self._words:
+            self._library.no_truncation()
+            self._library.no_padding()
         self._model = Tokenizer(self._library.model)
         self._model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._ends = np.zeros(self._library.get_vocab_size(), bool)
@@ -107,7 +127,11 @@ class WordMemo:
             while end < len(texts) and (end == at or size + len(texts[end]) <= BLOCK_BYTES):
                 size += len(texts[end])
                 end += 1
-            out += self._block(texts[at:end])
+            if self._words:
+                out += self._block(texts[at:end])
+            else:
+                encoded = self._library.encode_batch_fast([t.decode("utf-8", "replace") for t in texts[at:end]], add_special_tokens=False)
+                out += [_packed(e.ids) for e in encoded]
             at = end
         return out
 

@@ -10,7 +10,7 @@ from quirespark.llm.queries import VOCABULARY
 from quirespark.llm.shared import new_dir
 from quirespark.llm.token_counts import token_counts
 from quirespark.llm.token_files import read_token_files, write_token_files
-from quirespark.llm.tokenization import WordMemo
+from quirespark.llm.tokenization import WordMemo, by_words
 
 PATH = public_tokenizers.path(VOCABULARY)
 
@@ -130,3 +130,18 @@ def test_pack(spark, docs, texts):
             at += length
         assert at & (at - 1) == 0
     assert pack(docs.limit(0), PATH, end_id=2).count() == 0
+
+
+def test_other_vocabularies_are_encoded_whole(tmp_path):
+    import json
+
+    own = ["", " ", "Plain words, twice: plain words", "don't <|endoftext|> Été  x", "ab\ncd"]
+    byte_level = public_tokenizers.path("byte_bpe_50k.json")
+    with open(PATH, encoding="utf-8") as f:
+        changed = json.load(f)
+    changed["normalizer"]["normalizers"].pop()  # capitals stay
+    (tmp_path / "cased.json").write_text(json.dumps(changed))
+    for path in (byte_level, str(tmp_path / "cased.json")):
+        expected = [packed(e.ids) for e in Tokenizer.from_file(path).encode_batch(own, add_special_tokens=False)]
+        assert WordMemo(path).encode([t.encode() for t in own]) == expected
+    assert by_words(json.loads(open(PATH, encoding="utf-8").read()))
