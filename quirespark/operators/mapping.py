@@ -1,17 +1,21 @@
-"""What a page holds: its objects as a walk of typed nodes, flattened to elements in the order in which they are written."""
+"""What a page holds, by joins over its objects: references, styles, tags, lists, files and strokes are looked up once per
+object, then the tree of elements is walked a level at a time over all pages, with a sort key, a cycle guard and a depth
+limit for every occurrence of an object."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quirespark.functions import names, values
-from quirespark.functions.text import CHECKABLE
+from quirespark.functions import names, render, text, values
+from quirespark.operators import layout
 from quirespark.operators import spaces as S
+from quirespark.operators.relational import changes, last_of
+from quirespark.scratch import written
 from quirespark.sources.cabinet import FormatError
 from quirespark.sources.property_sets import GraphLimits
 
@@ -27,311 +31,327 @@ SCALE_X, SCALE_Y, RECOGNISED, WORD_PARTS, WORD_TEXT, WORD_STROKES = 0x14001C46,
 #: Tags of a paragraph at most, the status of a tag that is off, pixels of half an inch, depth of words.
 TAGS, OFF, DONE, PIXELS, WORD_DEPTH = 9, 0x10, 0x01, 48, 8
 _WHITE = names._SPACE
-_FIELD = re.compile(rf'﷟[{_WHITE}]*HYPERLINK[{_WHITE}]+"([^"]*)"[{_WHITE}]*')
-
-RUN = pa.struct([("text", pa.string()), ("latex", pa.string()), ("highlight", pa.string()), ("url", pa.string()), *((f, pa.bool_()) for f in ("math", *MARKS))])
-ASSET = pa.struct([("number", pa.int32()), ("name", pa.string()), ("extension", pa.string()), ("reference", pa.string()), ("image", pa.bool_())])
-STROKE = pa.struct([("points", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))), ("color", pa.string()), ("width", pa.float64()), ("opacity", pa.float64())])
-TAG = pa.struct([("label", pa.string()), ("checkable", pa.bool_()), ("completed", pa.bool_()), ("shape", pa.int32())])
-PART = pa.struct([("runs", pa.list_(RUN)), ("asset", ASSET)])
-ELEMENTS = pa.schema([("section", pa.string()), ("page_id", pa.string()), ("ord", pa.int32()), ("kind", pa.string()), ("style", pa.string()), ("level", pa.int32()), ("ordered", pa.bool_()), ("format", pa.string()), ("tags", pa.list_(TAG)), ("runs", pa.list_(RUN)), ("cells", pa.list_(pa.list_(pa.list_(PART)))), ("asset", ASSET), ("strokes", pa.list_(STROKE)), ("words", pa.string()), ("code", pa.string())])
+_FIELD = rf'(?s)\A(.*?)﷟[{_WHITE}]*HYPERLINK[{_WHITE}]+"([^"]*)"[{_WHITE}]*(.*)\z'
+
+#: Types of objects that are elements, and of those that hold others.
+OUTLINES = (S.OUTLINE, S.OUTLINE_GROUP)
+KINDS = (*OUTLINES, S.OUTLINE_ELEMENT, S.TEXT, S.IMAGE, S.EMBEDDED, S.TABLE, S.INK)
+
 _RUN = "struct<text:string,latex:string,highlight:string,url:string,math:boolean," + ",".join(f"{m}:boolean" for m in MARKS) + ">"
 _ASSET = "struct<number:int,name:string,extension:string,reference:string,image:boolean>"
-SCHEMA = f"section string, page_id string, ord int, kind string, style string, level int, ordered boolean, format string, tags array<struct<label:string,checkable:boolean,completed:boolean,shape:int>>, runs array<{_RUN}>, cells array<array<array<struct<runs:array<{_RUN}>,asset:{_ASSET}>>>>, asset {_ASSET}, strokes array<struct<points:array<struct<x:double,y:double>>,color:string,width:double,opacity:double>>, words string, code string"
-
-
-@dataclass
-class Node:
-    """kind: paragraph, outline, table, image, file, ink."""
-
-    kind: str
-    children: list[Node] = field(default_factory=list)
-    own: dict = field(default_factory=dict)
-
-
-class Page:
-    """The objects of one page space by id. Properties are found by id; of several the last counts."""
-
-    def __init__(self, objects: list[dict], limits: GraphLimits = GraphLimits()):
-        self.objects, self.limits = {}, limits
-        for o in objects:
-            own: dict[str, dict[int, dict]] = {}
-            for p in o["properties"] or []:
-                own.setdefault(p["path"], {})[p["id"]] = p
-            self.objects[o["object_id"]] = (o["jcid"], own, o)
-        self.build: dict[int, Callable] = {S.OUTLINE: self.outline, S.OUTLINE_GROUP: self.outline, S.OUTLINE_ELEMENT: self.outline_element, S.TEXT: self.paragraph, S.IMAGE: self.image, S.EMBEDDED: self.embedded, S.TABLE: self.table, S.INK: self.ink}
-        self.words: dict[str, str] = {}
-
-    def kind(self, own: str | None) -> int | None:
-        return self.objects[own][0] if own in self.objects else None
-
-    def get(self, own: str | None, prop: int, what: str, path: str = ""):
-        found = self.objects[own][1].get(path, {}).get(prop & 0x7FFFFFFF) if own in self.objects else None
-        return None if found is None else found[what]
-
-    def refs(self, own: str | None, prop: int, path: str = "") -> list[str]:
-        return self.get(own, prop, "refs", path) or []
-
-    def text(self, own: str | None, prop: int) -> str | None:
-        return values.wide_text(self.get(own, prop, "data"))
-
-    def first_known(self, own: str, prop: int) -> str | None:
-        return next((r for r in self.refs(own, prop) if r in self.objects), None)
-
-    def element(self, own: str, depth: int = 0, path: frozenset = frozenset()) -> Node | None:
-        """An object's element; none for types that are not written, past the depth limit, and for an object within itself."""
-        make = self.build.get(self.kind(own))
-        if make is None or depth >= self.limits.depth or own in path:
-            return None
-        return make(own, depth, path | {own})
-
-    def elements(self, owner: str, prop: int, depth: int, path: frozenset) -> list[Node]:
-        return [x for r in self.refs(owner, prop) if (x := self.element(r, depth + 1, path))]
-
-    def outline(self, own, depth, path) -> Node:
-        return Node("outline", self.elements(own, S.CHILDREN, depth, path))
-
-    def outline_element(self, own, depth, path) -> Node:
-        """Its first content with its list, tags and children; a paragraph takes them up, others are put before them."""
-        main = next((x for r in self.refs(own, S.CONTENT) if (x := self.element(r, depth + 1, path))), None)
-        children, marks = self.elements(own, S.CHILDREN, depth, path), self.list_marks(own)
-        if main is None:
-            return Node("paragraph", children, {"runs": [], **marks})
-        if main.kind != "paragraph":
-            return Node("outline", [main, *children])
-        main.own |= marks
-        main.own["tags"] = main.own.get("tags") or self.tags(own)
-        main.children += children
-        return main
-
-    def list_marks(self, own: str) -> dict:
-        of = [r for r in self.refs(own, LIST_NODES) if self.kind(r) == S.NUMBER_LIST]
-        if not of:
-            return {"level": None, "ordered": None, "format": None}
-        data, level = self.get(of[-1], LIST_FORMAT, "data"), self.get(own, CHILD_LEVEL, "scalar")
-        return {"level": max(0, (1 if level is None else level) - 1), "ordered": values.is_ordered(data), "format": values.list_format(data) or None}
-
-    def tags(self, own: str) -> list[dict] | None:
-        """The tags of a paragraph: of the first nine states those that are on. The shape is the state's or its kind's."""
-        states = self.get(own, TAG_STATES, "ord")
-        if states is None:
-            return None
-        found = []
-        for k in range(TAGS):
-            path = f"/{states}.{k}"
-            if path not in self.objects[own][1] and k >= self.set_count(own, states):
-                break
-            status, shape = self.get(own, TAG_STATUS, "scalar", path) or 0, self.get(own, TAG_SHAPE, "scalar", path)
-            if status & OFF:
-                continue
-            kind = next(iter(self.refs(own, TAG_OF, path)), None)
-            if shape is None and self.kind(kind) == S.TAG_KIND:
-                shape = self.get(kind, TAG_SHAPE, "scalar")
-            box = shape in CHECKABLE
-            found.append({"label": None if box else self.text(kind, TAG_LABEL), "checkable": box, "completed": bool(status & DONE), "shape": shape})
-        return found or None
-
-    def set_count(self, own: str, states: int) -> int:
-        return 1 + max((int(p[len(f"/{states}.") :].split("/")[0]) for p in self.objects[own][1] if p.startswith(f"/{states}.")), default=-1)
-
-    def paragraph(self, own, depth, path) -> Node:
-        text = self.text(own, WIDE)
-        text = values.byte_text(self.get(own, NARROW, "data")) or "" if text is None else text
-        raw, start, runs = text.encode("utf-16le", "surrogatepass"), 0, []
-        ends, styles = values.number_array(self.get(own, RUN_ENDS, "data")), self.refs(own, RUN_STYLES)
-        for k, end in enumerate([*ends, len(raw) // 2]):  # places count UTF-16 units
-            end = max(start, min(len(raw) // 2, end))
-            runs.append({"text": raw[2 * start : 2 * end].decode("utf-16le", "replace")} | (self.style(styles[k]) if k < len(styles) else {}))
-            start = end
-        style = self.first_known(own, PARAGRAPH_STYLE)
-        return Node("paragraph", [], {"runs": linked(runs), "tags": self.tags(own), "style": self.text(style, STYLE_NAME)})
-
-    def style(self, own: str) -> dict:
-        found = {m: bool(self.get(own, p, "flag")) for m, p in {"math": MATH, **MARKS}.items()}
-        color = self.get(own, HIGHLIGHT, "scalar")
-        if color is not None and color < 0xFFFFFF:
-            found["highlight"] = values.ink_color(color)
-        if self.get(own, LINKED, "flag"):
-            found["url"] = self.text(own, ADDRESS) or None
-        return found
-
-    def table(self, own, depth, path) -> Node:
-        of = lambda x, kind: [r for r in self.refs(x, S.CHILDREN) if self.kind(r) == kind]
-        return Node("table", [], {"rows": [[self.elements(c, S.CHILDREN, depth, path) for c in of(r, S.CELL)] for r in of(own, S.ROW)]})
-
-    def _file(self, own: str, prop: int, kind: str, name: int) -> Node:
-        held = self.first_known(own, prop)
-        extension = self.text(held, FILE_EXTENSION)
-        about = self.objects[held][2] if held else {"file_ext": None, "file_ref": None}
-        return Node(kind, [], {"name": self.text(own, name), "extension": about["file_ext"] if extension is None else extension, "reference": about["file_ref"]})
-
-    def image(self, own, depth, path) -> Node:
-        return self._file(own, IMAGE_FILE, "image", IMAGE_NAME)
-
-    def embedded(self, own, depth, path) -> Node:
-        return self._file(own, FILE_AT, "file", FILE_NAME)
-
-    def ink(self, own, depth, path) -> Node | None:
-        data = next(iter(self.refs(own, INK_DATA)), None)
-        if self.kind(data) != S.INK_DATA:
-            return None
-        scale = [1.0 if x is None else x for x in (values.float_value(self.get(own, p, "data")) for p in (SCALE_X, SCALE_Y))]
-        strokes, words = [], []
-        for r in self.refs(data, STROKES):
-            found = self.stroke(r, *scale) if self.kind(r) == S.STROKE else None
-            if found:
-                strokes.append(found)
-                words += [self.words[r]] if self.words.get(r) else []
-        return Node("ink", [], {"strokes": strokes, "words": " ".join(words) or None}) if strokes else None
-
-    def stroke(self, own: str, scale_x: float, scale_y: float) -> dict | None:
-        style, data = next(iter(self.refs(own, STROKE_STYLE)), None), self.get(own, INK_PATH, "data")
-        if self.kind(style) != S.STROKE_STYLE or data is None:
-            return None
-        found = values.points(values.ink_path(data, min(self.limits.ink_values, 8 * len(data))), values.dimensions(self.get(style, INK_DIMENSIONS, "data")), scale_x, scale_y)
-        if found is None:
-            return None
-        width, clear = values.float_value(self.get(style, INK_WIDTH, "data")), self.get(style, INK_CLEAR, "scalar") or 0
-        wide = max(0.000001, (1.0 if width is None else width) * abs(scale_x) / values.UNITS)
-        return {"points": [{"x": p["x"] * PIXELS, "y": p["y"] * PIXELS} for p in found], "color": values.ink_color(self.get(style, INK_COLOR, "scalar")), "width": max(1.0, wide * PIXELS), "opacity": 1 - min(255, clear) / 255}
-
-    def recognise(self, node: str) -> None:
-        """Words by stroke, from the page's tree of recognised text; a word names strokes by numbers under its own GUID."""
-        root = next(iter(self.refs(node, RECOGNISED)), None)
-        stack, seen = [(root, 0)] if root else [], set()
-        while stack:
-            own, depth = stack.pop()
-            if depth > WORD_DEPTH or own in seen:
-                continue
-            seen.add(own)
-            if self.kind(own) == S.WORD:
-                word, data = values.alternatives(self.get(own, WORD_TEXT, "data"))[:1], self.get(own, WORD_STROKES, "data")
-                for k in range(16, len(data or b"") - 3, 20) if word else ():
-                    self.words[f"{own.rsplit(':', 1)[0]}:{int.from_bytes(data[k : k + 4], 'little')}"] = word[0]
-            else:
-                stack += [(r, depth + 1) for r in reversed(self.refs(own, WORD_PARTS))]
-
-
-def linked(runs: list[dict]) -> list[dict]:
-    """Takes link fields out of runs; a field's address goes to the next run with text that has none of its own."""
-    waiting = None
-    for run in runs:
-        found = _FIELD.search(run["text"])
-        if found:
-            run["text"], waiting = run["text"][: found.start()] + run["text"][found.end() :], found[1]
-        if waiting is not None and run["text"]:
-            run["url"] = waiting if run.get("url") is None else run["url"]
-            waiting = None
-    return runs
-
-
-def page_title_of(url: str) -> str | None:
-    """The page that a link within the notebook names."""
-    found = re.match(r"(?is)onenote:[^#]*#([^&]*)", url)
-    if not found or not found[1]:
-        return None
-    try:
-        raw = re.sub(rb"%([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), found[1].encode("utf-8", "surrogatepass"))
-        return found[1] if re.search(r"%(?![0-9A-Fa-f]{2})", found[1]) else raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return found[1]
-
-
-def finished_run(run: dict) -> dict:
-    """A run as rendering needs it: its formula, and its link's target as a file name or an address, escaped."""
-    out = {"text": run["text"], "highlight": run.get("highlight"), "latex": names.latex(run["text"].strip(names._STRIP)) if run.get("math") else None}
-    url = run.get("url")
-    if url:
-        title = page_title_of(url)
-        out["url"] = names.uri(names.file_name(title) if title else url)
-    return out | {m: bool(run.get(m)) for m in ("math", *MARKS)}
-
-
-def plain_text(node: Node) -> Iterator[str]:
-    """The texts of an element and of those within it, in order."""
-    if node.kind == "ink":
-        yield node.own["words"] or ""
-    for run in node.own.get("runs", ()):
-        yield run["text"]
-    for row in node.own.get("rows", ()):
-        for cell in row:
-            for child in cell:
-                yield from plain_text(child)
-    for child in node.children:
-        yield from plain_text(child)
-
-
-def page_elements(objects: list[dict], node: str, limits: GraphLimits = GraphLimits()) -> list[dict]:
-    """Rows of a page: paragraphs, tables and assets as they are written (outlines before what lies on the page itself),
-    a row of ink with all strokes and the words, one for each nested table that cannot be written, and the title as its
-    title nodes give it."""
-    page = Page(objects, limits)
-    page.recognise(node)
-    top = [x for r in page.refs(node, S.CHILDREN) if (x := page.element(r))]
-    rows: list[dict] = []
-    strokes: list[dict] = []
-    words: list[str] = []
-    assets = 0
-
-    def asset(of: Node) -> dict:
-        nonlocal assets
-        assets += 1
-        return {"number": assets - 1, "name": of.own["name"], "extension": of.own["extension"], "reference": of.own["reference"], "image": of.kind == "image"}
-
-    def inked(of: Node) -> None:
-        strokes.extend(of.own["strokes"])
-        if of.own["words"] and of.own["words"] != (words[-1] if words else None):
-            words.append(of.own["words"])
-
-    def in_cell(of: Node) -> Iterator[dict]:
-        if of.kind == "paragraph":
-            yield {"runs": [finished_run(r) for r in of.own["runs"]], "asset": None}
-        elif of.kind in ("image", "file"):
-            yield {"runs": None, "asset": asset(of)}
-        elif of.kind == "ink":
-            inked(of)
-        elif of.kind == "table":
-            rows.append({"kind": "nested"})
-        for child in of.children:
-            yield from in_cell(child)
-
-    def write(of: Node) -> None:
-        if of.kind == "paragraph":
-            rows.append({"kind": "paragraph", "runs": [finished_run(r) for r in of.own["runs"]], **{k: of.own.get(k) for k in ("style", "level", "ordered", "format", "tags")}})
-        elif of.kind == "table" and of.own["rows"]:
-            rows.append({"kind": "table", "cells": [[[p for x in cell for p in in_cell(x)] for cell in row] for row in of.own["rows"]]})
-        elif of.kind in ("image", "file"):
-            rows.append({"kind": "asset", "asset": asset(of)})
-        elif of.kind == "ink":
-            inked(of)
-        for child in of.children:
-            write(child)
-
-    for outlines in (True, False):
-        for x in top:
-            if (x.kind == "outline") == outlines:
-                write(x)
-    if strokes:
-        rows.append({"kind": "ink", "strokes": strokes, "words": " ".join(words) or None, "asset": {"number": assets, "name": None, "extension": "svg", "reference": None, "image": True}})
-    for r in page.refs(node, S.STRUCTURE):
-        if page.kind(r) == S.TITLE:
-            parts = [t for c in page.refs(r, S.CHILDREN) if (x := page.element(c)) for t in plain_text(x)]
-            rows.append({"kind": "title", "words": " ".join(t for t in parts if t.strip(names._STRIP)).strip(names._STRIP)})
-    return rows
+_TAGS = "array<struct<label:string,checkable:boolean,completed:boolean,shape:int>>"
+_STROKE = "struct<points:array<struct<x:double,y:double>>,color:string,width:double,opacity:double>"
+_PART = f"struct<runs:array<{_RUN}>,asset:{_ASSET}>"
+_LIST = "struct<level:int,ordered:boolean,format:string>"
+COLUMNS = {"kind": "string", "style": "string", "level": "int", "ordered": "boolean", "format": "string", "tags": _TAGS, "runs": f"array<{_RUN}>", "cells": f"array<array<array<{_PART}>>>", "asset": _ASSET, "strokes": f"array<{_STROKE}>", "words": "string", "code": "string"}
+_POINT = T.StructType([T.StructField(c, T.DoubleType()) for c in "xy"])
+K = ["section", "page_id"]
+OWN = [*K, "object_id"]
 
 
-def elements(pages: DataFrame, objects: DataFrame, limits: GraphLimits = GraphLimits()) -> DataFrame:
-    """The rows of all pages (section, page_id, node_id) from their spaces' objects. A task walks one page at a time. A
-    page with a fault is one row with its code."""
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def numbers_column(data: pa.Array) -> pa.Array:
+    return pa.array([values.number_array(x) for x in data.to_pylist()], pa.list_(pa.int64()))
+
+
+@F.arrow_udf(T.StringType())
+def units_column(data: pa.Array) -> pa.Array:
+    """UTF-16 units as text; halves of pairs become replacement characters."""
+    return pa.array([None if x is None else x.decode("utf-16le", "replace") for x in data.to_pylist()], pa.string())
 
-    def walk(table: pa.Table) -> pa.Table:
-        found = table.to_pylist()
-        section, page = found[0]["section"], found[0]["page_id"]
+
+@F.arrow_udf(T.StringType())
+def first_word_column(data: pa.Array) -> pa.Array:
+    return pa.array([next(iter(values.alternatives(x)), None) for x in data.to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.StructType([T.StructField("stroke", T.StructType([T.StructField("points", T.ArrayType(_POINT)), T.StructField("color", T.StringType()), T.StructField("width", T.DoubleType()), T.StructField("opacity", T.DoubleType())])), T.StructField("code", T.StringType())]))
+def stroke_column(path: pa.Array, dims: pa.Array, scale_x: pa.Array, scale_y: pa.Array, width: pa.Array, color: pa.Array, clear: pa.Array, most: pa.Array) -> pa.Array:
+    """Strokes of ink paths in pixels; null where a path has no points, and a code where it is broken."""
+    found = []
+    for data, own_dims, x, y, wide, ink, through, limit in zip(*(c.to_pylist() for c in (path, dims, scale_x, scale_y, width, color, clear, most)), strict=True):
+        scales = [1.0 if v is None else v for v in (values.float_value(x), values.float_value(y))]
         try:
-            rows = page_elements(found, found[0]["node_id"], limits)
+            points = None if data is None else values.points(values.ink_path(data, min(limit, 8 * len(data))), values.dimensions(own_dims), *scales)
         except FormatError as e:
-            rows = [{"kind": "fault", "code": e.code}]
-        return pa.Table.from_pylist([{"section": section, "page_id": page, "ord": k, **r} for k, r in enumerate(rows)], schema=ELEMENTS)
+            found.append({"stroke": None, "code": e.code})
+            continue
+        own = values.float_value(wide)
+        line = max(0.000001, (1.0 if own is None else own) * abs(scales[0]) / values.UNITS)
+        stroke = points and {"points": [{"x": p["x"] * PIXELS, "y": p["y"] * PIXELS} for p in points], "color": values.ink_color(ink), "width": max(1.0, line * PIXELS), "opacity": 1 - min(255, through or 0) / 255}
+        found.append({"stroke": stroke or None, "code": None})
+    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+    kind = pa.struct([("points", pa.list_(point)), ("color", pa.string()), ("width", pa.float64()), ("opacity", pa.float64())])
+    return pa.array(found, pa.struct([("stroke", kind), ("code", pa.string())]))
+
+
+def of_type(objects: DataFrame, *types: int) -> DataFrame:
+    return objects.filter(F.col("jcid").isin(*types))
+
+
+def prop(number: int, field: str, properties: str = "properties") -> Column:
+    return S.value(F.col(properties), number)[field]
+
+
+def referred(objects: DataFrame, number: int, known: DataFrame) -> DataFrame:
+    """(keys, object_id, pos, ref, ref_type) of the references of a property to objects that the space has, in order."""
+    return S.references(objects, number, OWN, "pos", "ref").join(known, [*K, "ref"])
+
+
+def first_known(objects: DataFrame, number: int, known: DataFrame) -> DataFrame:
+    """(keys, object_id, ref): the first reference to an object that the space has."""
+    return referred(objects, number, known).groupBy(*OWN).agg(F.min_by("ref", "pos").alias("ref"))
+
+
+def color_text(value: Column) -> Column:
+    """0x00BBGGRR as #rrggbb."""
+    part = lambda shift: F.lpad(F.lower(F.hex(F.shiftright(value, shift).bitwiseAND(255))), 2, "0")
+    return F.concat(F.lit("#"), part(0), part(8), part(16))
+
+
+def text_runs(objects: DataFrame) -> DataFrame:
+    """(keys, object_id, runs, texts) of text objects. Places between runs count UTF-16 units; a run's style is that of its
+    place in the list of styles; link fields leave the text, and give their address to the next run with text that has none
+    of its own."""
+    own = of_type(objects, S.TEXT)
+    whole = F.coalesce(values.wide_text_column(prop(WIDE, "data")), values.byte_text_column(prop(NARROW, "data")), F.lit(""))
+    rows = own.select(*OWN, F.encode(whole, "UTF-16LE").alias("units"), numbers_column(prop(RUN_ENDS, "data")).alias("ends"), prop(RUN_STYLES, "refs").alias("styles"))
+    size = F.octet_length("units").cast("long") / 2
+    rows = rows.withColumn("length", size.cast("long")).select(*OWN, "units", "styles", "length", F.posexplode(F.concat("ends", F.array("length"))).alias("k", "boundary"))
+    rows = layout.run_slices(rows, OWN, "k", "boundary", "length")
+    rows = rows.select(*OWN, "k", F.get("styles", F.col("k")).alias("style_id"), units_column(F.substring("units", (2 * F.col("first") + 1).cast("int"), (2 * (F.col("end") - F.col("first"))).cast("int"))).alias("text"))
+    style = objects.select(*K, F.col("object_id").alias("style_id"), F.col("properties").alias("s"))
+    flag = lambda p: F.coalesce(prop(p, "flag", "s"), F.lit(False))
+    highlight = prop(HIGHLIGHT, "scalar", "s")
+    address = F.when(flag(LINKED), prop(ADDRESS, "data", "s"))
+    rows = rows.join(style, [*K, "style_id"], "left").select(*OWN, "k", "text", address.alias("address"), F.when(highlight < 0xFFFFFF, color_text(highlight)).alias("highlight"), *(flag(p).alias(m) for m, p in {"math": MATH, **MARKS}.items()))
+    rows = rows.withColumn("url", F.nullif(values.wide_text_column("address"), F.lit("")))
+    has = F.col("text").rlike(_FIELD)
+    rows = rows.withColumn("field", F.when(has, F.regexp_extract("text", _FIELD, 2))).withColumn("text", F.when(has, F.concat(F.regexp_extract("text", _FIELD, 1), F.regexp_extract("text", _FIELD, 3))).otherwise(F.col("text")))
+    rows = layout.carried_links(rows, OWN, ["k"], "field", "text", "url")
+    link = F.nullif("link", F.lit(""))
+    rows = rows.withColumn("title", names.file_name_column(render.page_link(link))).withColumn("latex", names.latex_column(F.when(F.col("math"), text.trim_space(F.col("text")))))
+    run = F.struct("text", "latex", "highlight", names.uri_column(F.when(link.isNotNull(), F.coalesce("title", link))).alias("url"), "math", *MARKS)
+    gathered = rows.groupBy(*OWN).agg(F.sort_array(F.collect_list(F.struct("k", run.alias("run")))).alias("all"))
+    return gathered.select(*OWN, F.transform("all", lambda x: x["run"]).cast(f"array<{_RUN}>").alias("runs"), F.transform("all", lambda x: x["run"]["text"]).alias("texts"))
+
+
+def style_names(objects: DataFrame, known: DataFrame) -> DataFrame:
+    """(keys, object_id, style): the name of the first paragraph style that the space has."""
+    named = objects.select(*K, F.col("object_id").alias("ref"), prop(STYLE_NAME, "data").alias("name"))
+    return first_known(of_type(objects, S.TEXT), PARAGRAPH_STYLE, known).join(named, [*K, "ref"]).select(*OWN, values.wide_text_column("name").alias("style"))
+
+
+def tags_of(objects: DataFrame) -> DataFrame:
+    """(keys, object_id, tags) of objects with tags: of the first nine states those that are on. A tag's shape is the
+    state's or its kind's, and check boxes have no label."""
+    states = prop(TAG_STATES, "ord")
+    rows = of_type(objects, S.TEXT, S.OUTLINE_ELEMENT).filter(states.isNotNull()).select(*OWN, "properties", F.concat(F.lit("/"), states.cast("string"), F.lit(".")).alias("root"))
+    below = F.filter("properties", lambda p: p["path"].startswith(F.col("root")))
+    count = F.coalesce(F.array_max(F.transform(below, lambda p: F.split_part(F.substring(p["path"], F.length("root") + 1, F.length(p["path"])), F.lit("/"), F.lit(1)).cast("int"))) + 1, F.lit(0))
+    rows = rows.select(*OWN, below.alias("below"), "root", F.least(count, F.lit(TAGS)).alias("count")).filter("count > 0").select(*OWN, "below", "root", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("k"))
+    path = F.concat("root", F.col("k").cast("string"))
+
+    def at(number: int, field: str) -> Column:
+        found = F.filter("below", lambda p: (p["path"] == path) & (p["id"] == F.lit(number & 0x7FFFFFFF)))
+        return F.get(found, F.size(found) - 1)[field]
+
+    rows = rows.select(*OWN, "k", F.coalesce(at(TAG_STATUS, "scalar"), F.lit(0)).alias("status"), at(TAG_SHAPE, "scalar").alias("own_shape"), F.get(at(TAG_OF, "refs"), F.lit(0)).alias("kind_id")).filter(F.col("status").bitwiseAND(OFF) == 0)
+    kinds = objects.select(*K, F.col("object_id").alias("kind_id"), F.when(F.col("jcid") == S.TAG_KIND, prop(TAG_SHAPE, "scalar")).alias("kind_shape"), prop(TAG_LABEL, "data").alias("label_data"))
+    rows = rows.join(kinds, [*K, "kind_id"], "left").withColumn("label", values.wide_text_column("label_data"))
+    shape = F.coalesce("own_shape", "kind_shape").cast("int")
+    box = F.coalesce(shape.isin(*text.CHECKABLE), F.lit(False))
+    tag = F.struct(F.when(~box, F.col("label")).alias("label"), box.alias("checkable"), (F.col("status").bitwiseAND(DONE) != 0).alias("completed"), shape.alias("shape"))
+    return rows.groupBy(*OWN).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", tag.alias("tag")))), lambda x: x["tag"]).cast(_TAGS).alias("tags"))
+
+
+def list_marks(objects: DataFrame, known: DataFrame) -> DataFrame:
+    """(keys, object_id, list) of outline elements: the last number list that one refers to; all null where there is none."""
+    own = of_type(objects, S.OUTLINE_ELEMENT)
+    lists = last_of(referred(own, LIST_NODES, known).filter(F.col("ref_type") == S.NUMBER_LIST).select(*OWN, "pos", "ref"), OWN, ["pos"])
+    data = objects.select(*K, F.col("object_id").alias("ref"), prop(LIST_FORMAT, "data").alias("data"))
+    formats = lists.join(data, [*K, "ref"]).select(*OWN, F.coalesce(values.list_format_column("data"), F.lit("")).alias("format"))
+    level = F.greatest(F.lit(0), F.coalesce(F.col("child_level"), F.lit(1)) - 1).cast("int")
+    rows = own.select(*OWN, prop(CHILD_LEVEL, "scalar").alias("child_level")).join(formats, OWN, "left")
+    is_list = F.col("format").isNotNull()
+    return rows.select(*OWN, F.struct(F.when(is_list, level).alias("level"), F.contains("format", F.lit("�")).alias("ordered"), F.nullif("format", F.lit("")).alias("format")).cast(_LIST).alias("list"))
+
+
+def files_of(objects: DataFrame, known: DataFrame) -> DataFrame:
+    """(keys, object_id, name, extension, reference, image) of images and embedded files: of the first file that the space
+    has."""
+    held = objects.select(*K, F.col("object_id").alias("ref"), prop(FILE_EXTENSION, "data").alias("data"), "file_ext", "file_ref")
+    one = lambda kind, at, name, image: of_type(objects, kind).select(*OWN, prop(name, "data").alias("name"), F.lit(image).alias("image")).join(first_known(of_type(objects, kind), at, known), OWN, "left")
+    rows = one(S.IMAGE, IMAGE_FILE, IMAGE_NAME, True).unionByName(one(S.EMBEDDED, FILE_AT, FILE_NAME, False)).join(held, [*K, "ref"], "left")
+    return rows.select(*OWN, values.wide_text_column("name").alias("name"), F.coalesce(values.wide_text_column("data"), "file_ext").alias("extension"), F.col("file_ref").alias("reference"), "image")
+
+
+def recognised(pages: DataFrame, objects: DataFrame, known: DataFrame) -> DataFrame:
+    """(keys, stroke_id, word) from the trees of recognised text below page nodes, to WORD_DEPTH levels; an object counts
+    where it is met first, level by level. A word names strokes by numbers under its own GUID; of words that name one
+    stroke the last counts."""
+    nodes = objects.join(pages.select(*K, F.col("node_id").alias("object_id")), OWN)
+    level = nodes.select(*K, F.get(prop(RECOGNISED, "refs"), F.lit(0)).alias("object_id")).join(known.select(*K, F.col("ref").alias("object_id"), F.col("ref_type").alias("jcid")), OWN).withColumn("path", F.array().cast("array<int>"))
+    parts = written(referred(objects.filter(F.col("jcid") != S.WORD), WORD_PARTS, known), "word-parts")
+    met = written(level, "recognised")
+    found = [met]
+    for _ in range(WORD_DEPTH):
+        below = met.join(parts, OWN).select(*K, F.col("ref").alias("object_id"), F.col("ref_type").alias("jcid"), F.concat("path", F.array("pos")).alias("path"))
+        first = below.groupBy(*OWN, "jcid").agg(F.min("path").alias("path"))
+        met = written(first.join(reduce(DataFrame.unionByName, found).select(*OWN), OWN, "left_anti"), "recognised")
+        if met.isEmpty():
+            break
+        found.append(met)
+    words = reduce(DataFrame.unionByName, found).filter(F.col("jcid") == S.WORD).select(*OWN, "path").join(objects, OWN)
+    words = words.select(*OWN, "path", first_word_column(prop(WORD_TEXT, "data")).alias("word"), prop(WORD_STROKES, "data").alias("data")).filter("word is not null and octet_length(data) >= 20")
+    byte = lambda at: F.conv(F.hex(F.substring("data", at, F.lit(1))), 16, 10).cast("long")
+    number = lambda at: byte(at) + byte(at + 1) * 256 + byte(at + 2) * 65536 + byte(at + 3) * (1 << 24)
+    rows = words.select(*OWN, "path", "word", "data", F.explode(F.sequence(F.lit(17), F.octet_length("data") - 3, F.lit(20))).alias("at"))
+    guid = F.regexp_extract("object_id", r"(?s)\A(.*):", 1)
+    rows = rows.select(*K, F.concat(guid, F.lit(":"), number(F.col("at")).cast("string")).alias("stroke_id"), "path", "at", "word")
+    return rows.groupBy(*K, "stroke_id").agg(F.max_by("word", F.struct("path", "at")).alias("word"))
+
+
+def inks_of(pages: DataFrame, objects: DataFrame, known: DataFrame, limits: GraphLimits) -> DataFrame:
+    """(keys, object_id, strokes, words, code) of ink with any stroke: the strokes that have points, in order, and what
+    their words say. code: of the first broken path."""
+    own = of_type(objects, S.INK).select(*OWN, F.get(prop(INK_DATA, "refs"), F.lit(0)).alias("data_id"), prop(SCALE_X, "data").alias("scale_x"), prop(SCALE_Y, "data").alias("scale_y"))
+    strokes = referred(of_type(objects, S.INK_DATA), STROKES, known).filter(F.col("ref_type") == S.STROKE).select(*K, F.col("object_id").alias("data_id"), "pos", F.col("ref").alias("stroke_id"))
+    paths = of_type(objects, S.STROKE).select(*K, F.col("object_id").alias("stroke_id"), F.get(prop(STROKE_STYLE, "refs"), F.lit(0)).alias("style_id"), prop(INK_PATH, "data").alias("path")).filter("path is not null")
+    styles = of_type(objects, S.STROKE_STYLE).select(*K, F.col("object_id").alias("style_id"), prop(INK_DIMENSIONS, "data").alias("dims"), prop(INK_WIDTH, "data").alias("width"), prop(INK_COLOR, "scalar").alias("color"), prop(INK_CLEAR, "scalar").alias("clear"))
+    rows = own.join(strokes, [*K, "data_id"]).join(paths, [*K, "stroke_id"]).join(styles, [*K, "style_id"])
+    rows = rows.withColumn("made", stroke_column("path", "dims", "scale_x", "scale_y", "width", "color", "clear", F.lit(limits.ink_values))).filter("made.stroke is not null or made.code is not null")
+    rows = rows.select(*OWN, "pos", "stroke_id", "made.*").join(recognised(pages, objects, known), [*K, "stroke_id"], "left")
+    told = rows.groupBy(*OWN).agg(F.sort_array(F.collect_list(F.struct("pos", "stroke", F.nullif("word", F.lit("")).alias("word"))), asc=True).alias("all"), F.min_by("code", F.when(F.col("code").isNotNull(), F.col("pos"))).alias("code"))
+    words = F.array_join(F.filter(F.transform("all", lambda x: x["word"]), lambda w: w.isNotNull()), " ")
+    return told.select(*OWN, F.filter(F.transform("all", lambda x: x["stroke"]), lambda s: s.isNotNull()).alias("strokes"), F.nullif(words, F.lit("")).alias("words"), "code")
+
+
+def steps_of(objects: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where the walk goes from an object: (keys, object_id, steps), in order, to elements only; and (keys, object_id,
+    shape), the cells of each row of a table. suffix: what a step adds to the sort key; role: what the step is; r, c: the
+    cell of a table that it leads into."""
+    children = written(referred(of_type(objects, *OUTLINES, S.OUTLINE_ELEMENT, S.TABLE, S.ROW, S.CELL), S.CHILDREN, known).join(objects.select(*OWN, "jcid"), OWN), "children")
+    nothing = F.lit(None).cast("int")
+    plain = children.filter(F.col("jcid").isin(*OUTLINES, S.OUTLINE_ELEMENT)).select(*OWN, F.array(F.lit(1), "pos").alias("suffix"), F.lit("child").alias("role"), nothing.alias("r"), nothing.alias("c"), "ref", "ref_type")
+    content = referred(of_type(objects, S.OUTLINE_ELEMENT), S.CONTENT, known).select(*OWN, F.array(F.lit(0), "pos").alias("suffix"), F.lit("content").alias("role"), nothing.alias("r"), nothing.alias("c"), "ref", "ref_type")
+    placed = lambda of, kind, to, at: children.filter((F.col("jcid") == of) & (F.col("ref_type") == kind)).select(*K, F.col("object_id").alias(of_name[of]), F.col("ref").alias(to), (F.row_number().over(Window.partitionBy(*OWN).orderBy("pos")) - 1).alias(at))
+    of_name = {S.TABLE: "table_id", S.ROW: "row_id"}
+    rows, cells = placed(S.TABLE, S.ROW, "row_id", "r"), placed(S.ROW, S.CELL, "cell_id", "c")
+    grid = rows.join(cells, [*K, "row_id"], "left")
+    counts = grid.groupBy(*K, "table_id", "r").agg(F.count("c").cast("int").alias("n"))
+    shapes = counts.groupBy(*K, F.col("table_id").alias("object_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "n"))), lambda x: x["n"]).alias("shape"))
+    held = children.filter(F.col("jcid") == S.CELL).select(*K, F.col("object_id").alias("cell_id"), "pos", "ref", "ref_type")
+    inside = grid.filter("cell_id is not null").join(held, [*K, "cell_id"]).select(*K, F.col("table_id").alias("object_id"), F.array(F.lit(1), "r", "c", "pos").alias("suffix"), F.lit("cell").alias("role"), "r", "c", "ref", "ref_type")
+    all_steps = plain.unionByName(content).unionByName(inside)
+    return all_steps.groupBy(*OWN).agg(F.sort_array(F.collect_list(F.struct("suffix", "role", "r", "c", "ref", "ref_type"))).alias("steps")), shapes
+
+
+def walk(pages: DataFrame, objects: DataFrame, elements: DataFrame, about: DataFrame, limits: GraphLimits) -> DataFrame:
+    """Every occurrence of an element below page nodes (tree 0) and title nodes (tree 1): keys, tree, title_pos, path (its
+    sort key), depth, object_id, jcid, empty (an outline element without content), top_chain (the content of an element
+    that lies on the page, by whichever contents), list and tags (of the outline elements whose content it is: the list of
+    the outermost, the tags of the innermost that has any), table (the path of the table that it lies in), r, c.
+
+    elements: (keys, ref, ref_type) of objects that can be elements; about: steps, list and tags by object. Of an outline
+    element's contents only the first that can be an element here counts. An object within itself is left out, as is what
+    lies deeper than the limit; nested tables are walked below titles only. A round per level, over all pages.
+    """
+    nodes = objects.join(pages.select(*K, F.col("node_id").alias("object_id")), OWN)
+    none = lambda kind: F.lit(None).cast(kind)
+    titles = referred(nodes, S.STRUCTURE, objects.select(*K, F.col("object_id").alias("ref"), F.col("jcid").alias("ref_type"))).filter(F.col("ref_type") == S.TITLE).select(*K, F.col("ref").alias("object_id"), F.col("pos").alias("title_pos"))
+    tops = referred(nodes, S.CHILDREN, elements).withColumn("tree", F.lit(0)).withColumn("title_pos", F.lit(0))
+    below = titles.join(referred(of_type(objects, S.TITLE), S.CHILDREN, elements), OWN).withColumn("tree", F.lit(1))
+    columns = [*K, "tree", "title_pos", "pos", "ref", "ref_type"]
+    level = tops.select(*columns).unionByName(below.select(*columns)).select(*K, "tree", "title_pos", F.array("pos").alias("path"), F.lit(0).alias("depth"), F.col("ref").alias("object_id"), F.col("ref_type").alias("jcid"), F.array().cast("array<string>").alias("above"), F.lit(False).alias("top_chain"), none(_LIST).alias("list"), none(_TAGS).alias("tags"), none("array<int>").alias("table"), none("int").alias("r"), none("int").alias("c"))
+    found: list[DataFrame] = []
+    for depth in range(limits.depth):
+        within = F.concat("above", F.array("object_id"))
+        closed = F.lit(depth + 1 >= limits.depth) | ((F.col("jcid") == S.TABLE) & F.col("table").isNotNull() & (F.col("tree") == 0))
+        open_steps = F.when(~closed, F.filter("steps", lambda s: ~F.array_contains(within, s["ref"])))
+        content = F.filter(open_steps, lambda s: s["role"] == "content")
+        rows = level.join(about, OWN, "left").withColumn("next", F.concat(F.slice(content, 1, 1), F.filter(open_steps, lambda s: s["role"] != "content")))
+        rows = rows.withColumn("empty", (F.col("jcid") == S.OUTLINE_ELEMENT) & (F.coalesce(F.size(content), F.lit(0)) <= 0)).drop("steps")
+        rows = written(rows, "page-elements")
+        if rows.isEmpty():
+            break
+        found.append(rows.select(*K, "tree", "title_pos", "path", "depth", "object_id", "jcid", "empty", "top_chain", F.when(F.col("empty"), F.coalesce("list", "own_list")).otherwise(F.col("list")).alias("list"), "tags", "own_tags", "table", "r", "c"))
+        step, main, enters = F.col("s"), F.col("s")["role"] == "content", (F.col("jcid") == S.TABLE) & F.col("table").isNull()
+        level = rows.withColumn("s", F.explode("next")).select(
+            *K, "tree", "title_pos", F.concat("path", step["suffix"]).alias("path"), F.lit(depth + 1).alias("depth"), step["ref"].alias("object_id"), step["ref_type"].alias("jcid"), within.alias("above"),
+            (main & ((F.col("depth") == 0) | F.col("top_chain"))).alias("top_chain"), F.when(main, F.coalesce("list", "own_list")).alias("list"), F.when(main, F.coalesce("own_tags", "tags")).alias("tags"),
+            F.when(enters, F.col("path")).otherwise(F.col("table")).alias("table"), F.when(enters, step["r"]).otherwise(F.col("r")).alias("r"), F.when(enters, step["c"]).otherwise(F.col("c")).alias("c"),
+        )
+    return reduce(DataFrame.unionByName, found) if found else rows.select(*K, "tree", "title_pos", "path", "depth", "object_id", "jcid", "empty", "top_chain", "list", "tags", "own_tags", "table", "r", "c")
+
+
+def _row(rows: DataFrame, key: Column, **own: Column) -> DataFrame:
+    return rows.select(*K, key.alias("key"), *(own[c].cast(kind).alias(c) if c in own else F.lit(None).cast(kind).alias(c) for c, kind in COLUMNS.items()))
 
-    own = pages.select("section", "page_id", "node_id").join(objects.withColumnRenamed("space_id", "page_id"), ["section", "page_id"])
-    return own.select("section", "page_id", "node_id", "object_id", "jcid", "file_ref", "file_ext", "properties").groupBy("section", "page_id").applyInArrow(walk, SCHEMA)
+
+def elements(pages: DataFrame, objects: DataFrame, limits: GraphLimits = GraphLimits()) -> DataFrame:
+    """The rows of all pages (section, page_id, node_id) from their spaces' objects: section, page_id, ord and COLUMNS.
+    Paragraphs, tables and assets as they are written (outlines before what lies on the page itself), a row of ink with all
+    strokes and the words, one for each nested table that cannot be written, and the title as each title node gives it. A
+    page with a fault is one row with its code."""
+    own = written(pages.select(*K, "node_id"), "page-nodes")
+    objects = written(objects.withColumnRenamed("space_id", "page_id").join(own.select(*K), K, "left_semi").select(*OWN, "jcid", "file_ref", "file_ext", "properties"), "page-objects")
+    known = objects.select(*K, F.col("object_id").alias("ref"), F.col("jcid").alias("ref_type"))
+    inks = written(inks_of(own, objects, known, limits), "inks")
+    able = known.filter(F.col("ref_type").isin(*KINDS)).join(inks.select(*K, F.col("object_id").alias("ref"), F.lit(True).alias("drawn")), [*K, "ref"], "left").filter((F.col("ref_type") != S.INK) | F.col("drawn")).drop("drawn")
+    able = written(able, "elements")
+    steps, shapes = steps_of(objects, able.unionByName(known.filter(F.col("ref_type").isin(S.ROW, S.CELL))))
+    runs = written(text_runs(objects), "text-runs")
+    # steps lead to elements only: rows and cells are known to the steps of tables alone
+    steps = steps.withColumn("steps", F.filter("steps", lambda s: s["ref_type"].isin(*KINDS)))
+    about = written(steps.join(list_marks(objects, known).withColumnRenamed("list", "own_list"), OWN, "full").join(tags_of(objects).withColumnRenamed("tags", "own_tags"), OWN, "full"), "about-objects")
+    all_rows = written(walk(own, objects, able, about, limits), "walked")
+    faults = all_rows.join(inks.filter("code is not null").select(*OWN, "code"), OWN).groupBy(*K).agg(F.min_by("code", F.struct("tree", "title_pos", "path")).alias("code"))
+    all_rows = all_rows.join(faults, K, "left_anti")
+
+    # what lies on the page itself comes after the outlines: an outline element counts as its innermost content
+    tops = all_rows.filter((F.col("tree") == 0) & ((F.col("depth") == 0) | F.col("top_chain")) & ((F.col("jcid") != S.OUTLINE_ELEMENT) | F.col("empty")))
+    paragraph = (F.col("jcid") == S.TEXT) | F.col("empty")
+    slot = F.when(F.col("depth") == 0, F.when(F.col("jcid").isin(*OUTLINES), 0).otherwise(1)).otherwise(F.when(paragraph, 1).otherwise(0))
+    tops = tops.select(*K, F.get("path", F.lit(0)).alias("top"), slot.alias("slot"))
+    rows = all_rows.filter("tree = 0").withColumn("top", F.get("path", F.lit(0))).join(tops, [*K, "top"]).withColumn("key", F.concat(F.array("slot"), "path"))
+    rows = rows.join(runs.select(*OWN, "runs"), OWN, "left").join(style_names(objects, known), OWN, "left")
+    files = files_of(objects, known)
+    assets = rows.filter(F.col("jcid").isin(S.IMAGE, S.EMBEDDED)).select(*OWN, "key").join(files, OWN)
+    number = (F.row_number().over(Window.partitionBy(*K).orderBy("key")) - 1).cast("int")
+    assets = assets.select(*K, "key", F.struct(number.alias("number"), "name", "extension", "reference", "image").alias("asset"))
+    rows = written(rows.join(assets, [*K, "key"], "left"), "placed-elements")
+
+    texts = rows.filter(paragraph).withColumn("runs", F.coalesce("runs", F.array().cast(f"array<{_RUN}>"))).withColumn("tags", F.coalesce(F.when(F.col("jcid") == S.TEXT, F.col("own_tags")), "tags"))
+    shown = _row(texts.filter("table is null"), F.col("key"), kind=F.lit("paragraph"), style=F.col("style"), level=F.col("list.level"), ordered=F.col("list.ordered"), format=F.col("list.format"), tags=F.col("tags"), runs=F.col("runs"))
+    shown = shown.unionByName(_row(rows.filter("asset is not null and table is null"), F.col("key"), kind=F.lit("asset"), asset=F.col("asset")))
+    part = lambda of, runs, asset: of.filter("table is not null").select(*K, "table", "r", "c", "key", F.struct(runs.cast(f"array<{_RUN}>").alias("runs"), asset.cast(_ASSET).alias("asset")).alias("part"))
+    parts = part(texts, F.col("runs"), F.lit(None)).unionByName(part(rows.filter("asset is not null"), F.lit(None), F.col("asset")))
+    cells = parts.groupBy(*K, "table", "r", "c").agg(F.sort_array(F.collect_list(F.struct("key", "part"))).alias("parts"))
+    cells = cells.select(*K, "table", F.concat_ws(",", "r", "c").alias("at"), F.transform("parts", lambda x: x["part"]).alias("parts")).groupBy(*K, "table").agg(F.map_from_entries(F.collect_list(F.struct("at", "parts"))).alias("filled"))
+    tables = rows.filter((F.col("jcid") == S.TABLE) & F.col("table").isNull()).drop("table").join(shapes, OWN).join(cells.withColumnRenamed("table", "path"), [*K, "path"], "left")
+    cell = lambda r, c: F.coalesce(F.try_element_at("filled", F.concat_ws(",", r, c)), F.array().cast(f"array<{_PART}>"))
+    grid = F.transform("shape", lambda n, r: F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda c: cell(r, c)))
+    last = F.array(F.lit((1 << 31) - 1))
+    shown = shown.unionByName(_row(tables, F.concat("key", last), kind=F.lit("table"), cells=grid))
+    shown = shown.unionByName(_row(rows.filter((F.col("jcid") == S.TABLE) & F.col("table").isNotNull()), F.col("key"), kind=F.lit("nested")))
+
+    drawn = rows.filter(F.col("jcid") == S.INK).select(*OWN, "key").join(inks, OWN).select(*K, "key", "strokes", "words")
+    strokes = drawn.groupBy(*K).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("key", "strokes"))), lambda x: x["strokes"])).alias("strokes"))
+    words = changes(drawn.select(*K, "key", "words"), K, ["key"], "words").groupBy(*K).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("key", "words"))), lambda x: x["words"]), " ").alias("words"))
+    counts = rows.filter("asset is not null").groupBy(*K).agg(F.count(F.lit(1)).cast("int").alias("assets"))
+    ink = strokes.join(words, K, "left").join(counts, K, "left")
+    drawing = F.struct(F.coalesce("assets", F.lit(0)).alias("number"), F.lit(None).cast("string").alias("name"), F.lit("svg").alias("extension"), F.lit(None).cast("string").alias("reference"), F.lit(True).alias("image"))
+    shown = shown.unionByName(_row(ink, F.array(F.lit(2)), kind=F.lit("ink"), strokes=F.col("strokes"), words=F.col("words"), asset=drawing))
+
+    # titles: the texts below each title node, in order, without those that are blank
+    nodes = objects.join(own.select(*K, F.col("node_id").alias("object_id")), OWN)
+    titles = referred(nodes, S.STRUCTURE, known).filter(F.col("ref_type") == S.TITLE).select(*K, F.col("pos").alias("title_pos")).join(faults, K, "left_anti")
+    said = all_rows.filter("tree = 1").join(runs.select(*OWN, "texts"), OWN, "left").join(inks.select(*OWN, "words"), OWN, "left")
+    pieces = said.select(*K, "title_pos", "path", F.posexplode(F.coalesce("texts", F.array("words"))).alias("k", "piece")).filter(text.trim_space(F.col("piece")) != "")
+    joined = pieces.groupBy(*K, "title_pos").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "k", "piece"))), lambda x: x["piece"]), " ").alias("words"))
+    titles = titles.join(joined, [*K, "title_pos"], "left")
+    shown = shown.unionByName(_row(titles, F.array(F.lit(3), "title_pos"), kind=F.lit("title"), words=text.trim_space(F.coalesce("words", F.lit("")))))
+    shown = shown.unionByName(_row(faults, F.array(F.lit(0)), kind=F.lit("fault"), code=F.col("code")))
+    order = Window.partitionBy(*K).orderBy("key")
+    return shown.withColumn("ord", (F.row_number().over(order) - 1).cast("int")).select(*K, "ord", *COLUMNS)
