@@ -88,8 +88,8 @@ def convert(inputs: DataFrame, options: Options = Options(), order: DataFrame |
     counts = own.groupBy("input").agg(F.count(F.lit(1)).alias("n_sections"), F.max("groups").alias("any_groups"))
     graph = object_graph.relations(own, "section", "content", revision_store.StoreLimits(), options.graph)
     objects, roots = spaces.materialized(graph)
-    listed = spaces.pages(graph, objects, roots, options.graph.page_nodes)
-    tops = spaces.section_spaces(graph, objects, roots)
+    listed = written(spaces.pages(graph, objects, roots, options.graph.page_nodes), "listed-pages")
+    tops = written(spaces.section_spaces(graph, objects, roots), "section-spaces")
     notebook = render.notebook_name(F.lit(options.notebook).cast("string"), F.col("input"), F.col("n_sections"), F.col("any_groups"))
     about = own.select("section", "input", F.col("entry_ord").alias("section_ord"), "title", "groups").join(counts, "input").join(order, "input").join(tops.select("section", "section_name"), "section", "left")
     about = about.withColumn("notebook", notebook).withColumn("label", F.when(F.col("section_name") != "", F.col("section_name")).otherwise(F.col("title")))

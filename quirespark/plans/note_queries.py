@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirespark.functions import render, text, values
-from quirespark.operators import relational, spaces
+from quirespark.operators import mapping, relational, spaces
 from quirespark.plans.catalogue import WS, query
 from quirespark.sources import cabinet
 from quirespark.sources.object_graph import Relations
@@ -252,3 +252,49 @@ def cell_texts(t):
     """Cells of the parts that are not empty."""
     k = F.col("page_id")
     return t("pages").select("page_id", render.cell_text(F.array(F.when(k % 2 == 0, "a"), F.lit(""), F.substr("url", F.lit(1), (k % 3).cast("int")))).alias("cell"))
+
+
+def _set(*own: tuple[int, str, Column]) -> Column:
+    """Properties of an object: (id, field, value); those of null value are left out."""
+    kinds = {"flag": "boolean", "scalar": "long", "data": "binary", "refs": "array<string>"}
+    rows = []
+    for k, (prop, name, value) in enumerate(own):
+        path, number = ("/0.0", prop) if name.startswith("tag ") else ("", prop)
+        field = name.removeprefix("tag ")
+        fields = [F.lit(path).alias("path"), F.lit(k).alias("ord"), F.lit(number & 0x7FFFFFFF).cast("long").alias("id"), *((value if f == field else F.lit(None)).cast(t).alias(f) for f, t in list(kinds.items())[:3]), F.lit(None).cast("string").alias("kind"), (value if field == "refs" else F.lit(None)).cast("array<string>").alias("refs")]
+        rows.append(F.when(value.isNotNull(), F.struct(*fields)))
+    return F.filter(F.array(*rows), lambda p: p.isNotNull()).cast(_PROPERTIES)
+
+
+@query("""
+WITH x AS (SELECT o_custkey, o_orderkey, o_orderstatus, l_linenumber, l_returnflag || ' part ' || l_partkey AS t FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, l_linenumber) - 1)::INT AS ord, coalesce(left(t, 2), '') AS bold, coalesce(substr(t, 3, 4), '') AS italic, coalesce(substr(t, 7), '') AS rest,
+  CASE WHEN coalesce(l_linenumber, 1) = 1 AND o_orderkey % 2 = 0 THEN greatest(0, o_orderkey % 4 - 1)::INT END AS level, CASE WHEN coalesce(l_linenumber, 1) = 1 AND o_orderkey % 2 = 0 THEN o_orderkey % 3 = 0 END AS ordered,
+  CASE WHEN l_linenumber = 1 AND o_orderstatus = 'F' THEN o_orderkey % 5 = 0 END AS done FROM x""")
+def page_walk(t):
+    """Pages of customers as paragraphs: orders are outline elements in lists, with check boxes; their first line is their
+    content and the others are their children; styles cut each line into runs."""
+    orders, lines = t("orders"), t("lineitem")
+    page, own = F.concat(F.lit("c"), F.col("o_custkey")).alias("space_id"), F.concat(F.lit("o:"), F.col("o_orderkey"))
+    line = F.concat(F.lit("l:"), F.col("l_orderkey"), F.lit("/"), F.col("l_linenumber"))
+    refs = lambda rows, key, order, ref: rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("k"), ref.alias("ref")))), lambda x: x["ref"]).alias("refs"))
+    even = F.col("o_orderkey") % 2 == 0
+    made = lambda rows, name, kind, properties: rows.select(F.lit("s").alias("section"), page, name.alias("object_id"), F.lit(kind).cast("long").alias("jcid"), F.lit(None).cast("string").alias("file_ref"), F.lit(None).cast("string").alias("file_ext"), properties.alias("properties"))
+    nodes = made(refs(orders, "o_custkey", "o_orderkey", own), F.lit("p:0"), spaces.PAGE, _set((spaces.CHILDREN, "refs", F.col("refs"))))
+    held = orders.join(refs(lines, "l_orderkey", "l_linenumber", line).withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "left")
+    box = lambda value: F.when(F.col("o_orderstatus") == "F", value)
+    lists = F.when(even, F.array(F.concat(F.lit("n:"), (F.col("o_orderkey") % 3).cast("string"))))
+    elements = made(held, own, spaces.OUTLINE_ELEMENT, _set((mapping.TAG_STATES, "flag", box(F.lit(True))), (mapping.TAG_STATUS, "tag scalar", box((F.col("o_orderkey") % 5 == 0).cast("long"))), (mapping.TAG_SHAPE, "tag scalar", box(F.lit(3))), (spaces.CONTENT, "refs", F.slice("refs", 1, 1)), (spaces.CHILDREN, "refs", F.slice("refs", F.lit(2), F.greatest(F.size("refs"), F.lit(1)))), (mapping.LIST_NODES, "refs", lists), (mapping.CHILD_LEVEL, "scalar", F.col("o_orderkey") % 4)))
+    words = F.encode(F.concat("l_returnflag", F.lit(" part "), "l_partkey"), "UTF-16LE")
+    texts = made(lines.join(orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey"), line, spaces.TEXT, _set((mapping.WIDE, "data", words), (mapping.RUN_ENDS, "data", F.unhex(F.lit("0200000006000000"))), (mapping.RUN_STYLES, "refs", F.array(F.lit("b:0"), F.lit("i:0")))))
+    people = orders.select("o_custkey").distinct()
+    styles = [made(people, F.lit(name), 0x120001, _set((mapping.MARKS[mark], "flag", F.lit(True)))) for name, mark in (("b:0", "bold"), ("i:0", "italic"))]
+    formats = [made(people, F.lit(f"n:{k}"), spaces.NUMBER_LIST, _set((mapping.LIST_FORMAT, "data", F.encode(F.lit("\x02\ufffd." if k == 0 else "\x01-"), "UTF-16LE")))) for k in range(3)]
+    objects = nodes
+    for rows in (elements, texts, *styles, *formats):
+        objects = objects.unionByName(rows)
+    pages = people.select(F.lit("s").alias("section"), page).select("section", F.col("space_id").alias("page_id"), F.lit("p:0").alias("node_id"))
+    found = mapping.elements(pages, objects)
+    run = lambda k: F.coalesce(F.get("runs", F.lit(k))["text"], F.lit(""))
+    marked = lambda k, mark: F.when(F.size("runs") == 0, "").when(F.get("runs", F.lit(k))[mark], run(k))
+    return found.select(F.substring("page_id", 2, 99).cast(orders.schema["o_custkey"].dataType).alias("o_custkey"), "ord", marked(0, "bold").alias("bold"), marked(1, "italic").alias("italic"), run(2).alias("rest"), "level", "ordered", F.get("tags", F.lit(0))["completed"].alias("done"))
