@@ -37,12 +37,6 @@ def references(objects: DataFrame, prop: int, keys: list[str], pos: str, to: str
     return objects.select(*keys, F.posexplode(value(F.col("properties"), prop)["refs"]).alias(pos, to))
 
 
-def file_key(reference: Column) -> Column:
-    """The name of a payload in a reference such as `<ifndf>{GUID}`; null for any other text."""
-    bare = F.regexp_replace(F.trim(F.substring(reference, 8, 1 << 30)), r"\x00+\z", "")
-    return F.when(F.lower(reference).startswith("<ifndf>"), F.lower(F.regexp_replace(F.regexp_replace(bare, r"\A\{", ""), r"\}\z", "")))
-
-
 def revision_chains(revisions: DataFrame, heads: DataFrame) -> DataFrame:
     """(section, space_id, rev_id, chain_pos) of each space's current revision and what it depends on, the oldest at 0.
     The last of revisions that repeat an id counts; a cycle ends a chain. A task holds the ids of one section."""

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirespark.functions import binary, names, render, text
+from quirespark.functions import binary, names, render, text, values
 from quirespark.operators import ink, layout, mapping, spaces
 from quirespark.scratch import written
 from quirespark.sources import cabinet, object_graph, revision_store
@@ -118,7 +118,7 @@ def convert(inputs: DataFrame, options: Options = Options(), order: DataFrame |
     suggested = F.when(F.col("svg").isNotNull(), F.concat("stem", F.lit(" - Ink.svg"))).when(F.col("image"), render.with_extension(F.concat("stem", F.lit(" image")), image_type)).otherwise(render.with_extension(F.coalesce("name", F.lit("attachment")), F.col("extension")))
     stored = graph.payloads.groupBy("section", "key").agg(F.max_by("ord", "ord").alias("ord"))
     payloads = graph.payloads.join(stored, ["section", "key", "ord"]).select("section", "key", "payload")
-    assets = assets.withColumn("suggested", suggested).withColumn("key", spaces.file_key(F.col("reference"))).join(payloads, ["section", "key"], "left")
+    assets = assets.withColumn("suggested", suggested).withColumn("key", values.file_key(F.col("reference"))).join(payloads, ["section", "key"], "left")
     assets = assets.withColumn("payload", F.coalesce(F.col("svg").cast("binary"), "payload"))
     has = (F.coalesce(F.octet_length("payload"), F.lit(0)) > 0) & F.lit(options.attachments_dir is not None)
     kept = claimed_attachments(assets.filter(has), options.attachments_dir or "")

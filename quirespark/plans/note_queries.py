@@ -217,7 +217,7 @@ def file_keys(t):
     k = F.col("doc_id")
     bare = F.concat(F.lit("ABC-"), k.cast("string"), F.upper("source"))
     form = F.when(k % 4 == 0, F.concat(F.lit("<ifndf>{"), bare, F.lit("}"))).when(k % 4 == 1, F.concat(F.lit("<IFNDF> {"), bare, F.lit("} "))).when(k % 4 == 2, F.concat(F.lit("<ifndf>"), bare)).otherwise(bare)
-    return t("documents").select("doc_id", spaces.file_key(form).alias("key"))
+    return t("documents").select("doc_id", values.file_key(form).alias("key"))
 
 
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS done, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders")

@@ -1,7 +1,7 @@
 """Revisions, objects and payloads of sections of either encoding, as relations.
 
 A section is decoded in the task that holds it to rows of one wide table, which is written once; the relations are
-projections of it. From there on everything is joins and aggregates (operators.spaces).
+projections of it, and for packaged sections joins over its elements (operators.packages). From there on everything is joins and aggregates (operators.spaces).
 """
 
 from __future__ import annotations
@@ -9,11 +9,12 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quirespark.operators.packages import package_relations
 from quirespark.scratch import written
 from quirespark.sources import revision_store as store
 from quirespark.sources import sync_package
@@ -230,12 +231,12 @@ class _Desktop:
         self.graph.payloads.append((name, self.piece(node.target, 36, n)))
 
 
-def graph_of(data: bytes, store_limits: store.StoreLimits = store.StoreLimits(), limits: GraphLimits = GraphLimits()) -> Graph:
-    """The graph of a section, by the encoding that its header names."""
+def section_rows(data: bytes, store_limits: store.StoreLimits = store.StoreLimits(), limits: GraphLimits = GraphLimits()) -> Iterator[dict]:
+    """What a section holds, by the encoding that its header names: its graph, or the relations of its package."""
     header = store.read_header(data)
     if header.storage == "file-synchronization-package":
-        return sync_package.graph_of(data, Graph, Revision, Object, limits)
-    return _Desktop(data, header.length, limits).read(list(store.read_lists(data, store_limits)))
+        return sync_package.package_rows(data)
+    return graph_rows(_Desktop(data, header.length, limits).read(list(store.read_lists(data, store_limits))))
 
 
 #: The wide table: `part` says which relation a row is of.
@@ -253,13 +254,15 @@ ROWS = pa.schema(
         ("count", pa.int64()),
         ("data", pa.binary()),
         ("extension", pa.string()),
+        ("ids", pa.list_(pa.string())),
+        ("cells", pa.list_(pa.struct([("a", pa.string()), ("b", pa.string())]))),
         ("properties", pa.list_(pa.struct([("path", pa.string()), ("ord", pa.int32()), ("id", pa.int64()), ("flag", pa.bool_()), ("scalar", pa.int64()), ("data", pa.binary()), ("kind", pa.string()), ("refs", pa.list_(pa.string()))]))),
     ]
 )
-SCHEMA = "section string, part string, ord long, id string, other string, context string, space string, number long, flag boolean, count long, data binary, extension string, properties array<struct<path:string,ord:int,id:long,flag:boolean,scalar:long,data:binary,kind:string,refs:array<string>>>"
+SCHEMA = "section string, part string, ord long, id string, other string, context string, space string, number long, flag boolean, count long, data binary, extension string, ids array<string>, cells array<struct<a:string,b:string>>, properties array<struct<path:string,ord:int,id:long,flag:boolean,scalar:long,data:binary,kind:string,refs:array<string>>>"
 
 
-def graph_rows(section: str, graph: Graph) -> Iterator[dict]:
+def graph_rows(graph: Graph) -> Iterator[dict]:
     for k, r in enumerate(graph.revisions):
         yield {"part": "revision", "ord": k, "id": r.id, "other": r.dependency, "context": r.context, "space": r.space, "flag": r.encrypted}
         for context, role, at in r.roles:
@@ -296,7 +299,7 @@ def relations(sections: DataFrame, key: str = "section", content: str = "content
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    rows = [{"section": name} | r for r in graph_rows(name, graph_of(data or b"", store_limits, limits))]
+                    rows = [{"section": name} | r for r in section_rows(data or b"", store_limits, limits)]
                 except FormatError as e:
                     rows = [{"section": name, "part": "fault", "ord": 0, "id": e.code}]
                 for at in range(0, len(rows), 2000):
@@ -304,7 +307,7 @@ def relations(sections: DataFrame, key: str = "section", content: str = "content
 
     rows = written(sections.select(key, content).mapInArrow(run, SCHEMA), "object-graph")
     part = lambda name, *columns: rows.filter(rows["part"] == name).selectExpr("section", *columns)
-    return Relations(
+    graph = Relations(
         part("revision", "ord AS rev_ord", "id AS rev_id", "other AS dep_id", "context AS context_id", "space AS space_id", "flag AS is_encrypted"),
         part("role", "ord AS assoc_ord", "id AS rev_id", "count AS rev_ord", "context AS context_id", "space AS space_id", "number AS role", "flag AS is_encrypted"),
         part("root", "id AS rev_id", "ord AS root_ord", "number AS role", "other AS object_id"),
@@ -312,3 +315,8 @@ def relations(sections: DataFrame, key: str = "section", content: str = "content
         part("payload", "ord", "id AS key", "count AS length", "data AS payload"),
         part("fault", "id AS code"),
     )
+    packaged = rows.filter("part in ('cell_map', 'rev_map', 'cell_manifest', 'rev_manifest', 'rev_root', 'rev_group', 'decl', 'data', 'blob')")
+    if packaged.isEmpty():
+        return graph
+    more = package_relations(packaged, limits)
+    return Relations(**{f.name: getattr(graph, f.name).unionByName(more[f.name].select(*getattr(graph, f.name).columns)) for f in fields(Relations)})
