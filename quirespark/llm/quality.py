@@ -133,13 +133,18 @@ def sampled_labels(labels: DataFrame, label: str, id_col: str = "doc_id", bound:
     return known if share == 1 else known.filter(F.pmod(F.xxhash64("label_id", F.lit("labelled")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str, usable: Column, id_col: str = "doc_id", text_col: str = "text", bound: int = LABELLED) -> Ranking:
-    """Fits the ranking to the labelled rows of `docs` for which `usable` holds (a bounded sample, collected)."""
+def learn(docs: DataFrame, labels: DataFrame, label: str, usable: Column, id_col: str = "doc_id", text_col: str = "text", bound: int = LABELLED, pairs: int = PAIRS) -> Ranking:
+    """Fits the ranking to the labelled rows of `docs` for which `usable` holds: the features of a sample of about `bound`
+    labelled ids at most come to the driver, and `pairs` preference pairs are drawn from them.
+
+    Null text is empty text; rows without an id or a label are not learnt from; an id with both labels counts as 1; rows that
+    repeat a labelled id are each learnt from. The draw is the same for any order of rows. Without labelled rows, or with
+    one label only, every document gets that label's side of the cut."""
     bounded_batches(docs.sparkSession)
     sample = docs.filter(usable).select(F.col(id_col).alias("label_id"), whole_text(text_col).alias("text")).join(F.broadcast(sampled_labels(labels, label, id_col, bound)), "label_id")
     rows = sample.select(feature_column("text").alias("x"), "label").collect()
     rows.sort(key=lambda r: (r.label, r.x))  # the same draw for any order of rows
-    return fit(np.array([r.x for r in rows]).reshape(-1, N_FEATURES), np.array([r.label for r in rows]))
+    return fit(np.array([r.x for r in rows]).reshape(-1, N_FEATURES), np.array([r.label for r in rows]), pairs=pairs)
 
 
 def scored(docs: DataFrame, ranking: Ranking, text_col: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:

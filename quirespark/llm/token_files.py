@@ -23,6 +23,10 @@ from quirespark.llm.shared import bounded_batches, mapped, write_whole
 from quirespark.llm.tokenization import encoder, text_bytes
 
 
+#: Ids of a shard: with the document that reaches so many it is closed, and what a task holds is written.
+SHARD_TOKENS = 1 << 24
+
+
 @dataclass(frozen=True)
 class Shard:
     """base: ids in all shards before this one."""
@@ -33,12 +37,13 @@ class Shard:
     base: int
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> list[Shard]:
+def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int, wide: bool = False, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> list[Shard]:
     """Encodes every text, appends end_id, and writes the ids in ascending document order under `path` (shared storage).
 
-    Returns the manifest: a row per shard, as many as shuffle partitions. The texts are range-partitioned by id once;
-    a task sorts its range, encodes it in blocks and writes its shard under a name of its own attempt, so a task that
-    runs again after an executor was lost leaves no half-written file in the manifest.
+    Returns the manifest, a row per shard. The texts are range-partitioned by id once; a task sorts its range, encodes it in
+    blocks and writes a shard whenever it holds shard_tokens ids, and one for the rest: what it holds does not grow with its
+    range. Files bear names of the attempt's own, so a task that runs again after an executor was lost leaves no
+    half-written file in the manifest.
 
     Null text is empty: the end id alone. Null ids come first. Rows that repeat an id stay next to each other, ordered
     by text. An empty table gives an empty manifest. Other columns are not read.
@@ -47,31 +52,37 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int,
     bounded_batches(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, lengths, names, valid = [], [], [], []
+        ids, lengths, names, valid, closed, held = [], [], [], [], 0, 0
         end = np.array([end_id], "<u4").tobytes()
+        part = TaskContext.get().partitionId()
+
+        def shard() -> pa.RecordBatch:
+            name = f"{path}/shard-{part:08d}-{closed:06d}-{uuid.uuid4().hex}"
+            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<u8")
+            write_whole(f"{name}.ids", np.concatenate(ids).data)
+            write_whole(f"{name}.offsets", offsets.data)
+            write_whole(f"{name}.docs", np.array(names, "<i8").data)
+            write_whole(f"{name}.valid", np.array(valid, "u1").data)
+            return pa.RecordBatch.from_pydict({"part": [part], "number": [closed], "path": [name], "n_docs": [len(lengths)], "n_tokens": [int(offsets[-1])]})
+
         for batch in batches:
-            column = batch.column(0)
-            valid.append(np.asarray(column.is_valid(), dtype="u1"))
-            names.append(np.asarray(column.fill_null(0), dtype="<i8"))
-            for encoded in encoder(vocabulary).encode(text_bytes(batch.column(1))):
+            for own, encoded in zip(batch.column(0).to_pylist(), encoder(vocabulary).encode(text_bytes(batch.column(1))), strict=True):
                 whole = np.frombuffer(encoded + end, "<u4")
                 if not wide and whole.max(initial=0) > 0xFFFF:
                     raise ValueError("an id needs 32 bits: pass wide=True")
                 ids.append(whole.astype(dtype))
                 lengths.append(len(whole))
-        if not lengths:
-            return
-        task = TaskContext.get()
-        shard = f"{path}/shard-{task.partitionId():08d}-{uuid.uuid4().hex}"
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<u8")
-        write_whole(f"{shard}.ids", np.concatenate(ids).data)
-        write_whole(f"{shard}.offsets", offsets.data)
-        write_whole(f"{shard}.docs", np.concatenate(names).data)
-        write_whole(f"{shard}.valid", np.concatenate(valid).data)
-        yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "path": [shard], "n_docs": [len(lengths)], "n_tokens": [int(offsets[-1])]})
+                names.append(own or 0)
+                valid.append(own is not None)
+                held += len(whole)
+                if held >= shard_tokens:
+                    yield shard()
+                    ids, lengths, names, valid, closed, held = [], [], [], [], closed + 1, 0
+        if lengths:
+            yield shard()
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    rows = sorted(ordered.mapInArrow(write, "part long, path string, n_docs long, n_tokens long").collect())
+    rows = sorted(ordered.mapInArrow(write, "part long, number long, path string, n_docs long, n_tokens long").collect())
     shards, base = [], 0
     for row in rows:
         shards.append(Shard(row.path, row.n_docs, row.n_tokens, base))

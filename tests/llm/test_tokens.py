@@ -73,8 +73,9 @@ def test_counts(spark, docs, texts):
 
 
 def test_files_round_trip(spark, docs, texts):
-    for wide in (False, True):
-        shards = write_token_files(docs, PATH, new_dir(spark, "test-files"), end_id=1, wide=wide)
+    for wide, most in ((False, 1 << 24), (True, 1 << 24), (False, 300), (True, 1)):
+        shards = write_token_files(docs, PATH, new_dir(spark, "test-files"), end_id=1, wide=wide, shard_tokens=most)
+        assert all(s.n_tokens >= most or most > 300 for s in shards[:1]) and (len(shards) <= 4 or most <= 300)
         rows = read_token_files(spark, shards, wide).orderBy("start").collect()
         order = sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
         start = 0
