@@ -151,16 +151,23 @@ PROTECTED_STREAMS = {"EncryptedPackage", "DRMEncryptedTransform", "DRMEncryptedD
 
 
 def compound_code(data: bytes) -> str:
-    """Why a compound file is declined: its directory names streams of a protected document, or it is of no kind we know."""
+    """Why a compound file is declined: its directory names streams of a protected document, or it is of no kind we know.
+    The directory is followed as far as the file goes, also through tables that the header has no room to name."""
     try:
         sector, (n_fat, first) = 1 << struct.unpack_from("<H", data, 30)[0] % 32, struct.unpack_from("<II", data, 44)
+        words = sector // 4
         whole = lambda k: len(data[(k + 1) * sector : (k + 2) * sector]) == sector
-        tables = struct.unpack_from(f"<{min(n_fat, 109)}I", data, 76)
-        chain = [x for t in takewhile(whole, tables) for x in struct.unpack_from(f"<{sector // 4}I", data, (t + 1) * sector)]
+        read = lambda k: struct.unpack_from(f"<{words}I", data, (k + 1) * sector)
+        tables, further, met = list(struct.unpack_from("<109I", data, 76)), struct.unpack_from("<I", data, 68)[0], set()
+        while words > 1 and len(tables) < n_fat and further not in met and whole(further):
+            met.add(further)
+            *more, further = read(further)
+            tables += more
+        chain = [x for t in takewhile(whole, tables[:n_fat]) for x in read(t)]
     except struct.error:
         return "ONENOTE_ONEX_UNSUPPORTED"
     seen, at = set(), first
-    while at not in seen and whole(at) and len(seen) < 4096:
+    while at not in seen and whole(at):
         seen.add(at)
         for k in range((at + 1) * sector, (at + 2) * sector - 127, 128):
             size = struct.unpack_from("<H", data, k + 64)[0]

@@ -201,3 +201,23 @@ def test_folder_in_an_archive():
     blocks = packed(data)
     stream = b"".join(struct.pack("<IHH", 0, len(p), n) + p for p, n in blocks)
     assert cabinet._folder(stream, (0, len(blocks), 3 | 15 << 8), 0, 1 << 20, len(data)) == data
+
+
+def test_directory_beyond_the_tables_of_the_header():
+    """Sectors of 128 bytes: the second directory sector is told by the 110th table, which a further sector names."""
+    sector, words, tables = 128, 32, range(200, 310)
+    first, second, further = 109 * words + 1, 11, 10
+    name = "EncryptedPackage".encode("utf-16le") + b"\0\0"
+    sectors = {t: [0xFFFFFFFE] * words for t in tables} | {further: [tables[109]] + [0xFFFFFFFF] * 30 + [0xFFFFFFFE]}
+    sectors[tables[109]][first % words] = second
+    body = bytearray((first + 2) * sector)
+    struct.pack_into("<H", body, 30, 7)
+    struct.pack_into("<II", body, 44, len(tables), first)
+    struct.pack_into("<II", body, 68, further, 1)
+    struct.pack_into("<109I", body, 76, *tables[:109])
+    for k, held in sectors.items():
+        struct.pack_into("<32I", body, (k + 1) * sector, *held)
+    body[(second + 1) * sector : (second + 2) * sector] = (name.ljust(64, b"\0") + struct.pack("<HB", len(name), 2)).ljust(sector, b"\0")
+    assert cabinet.compound_code(bytes(body)) == "ONENOTE_ONEX_PROTECTED"
+    struct.pack_into("<I", body, 44, 109)  # without that table the directory ends
+    assert cabinet.compound_code(bytes(body)) == "ONENOTE_ONEX_UNSUPPORTED"
