@@ -132,6 +132,6 @@ def carried_links(runs: DataFrame, keys: list[str], order: list[str], field: str
 def first_copies(assets: DataFrame, folder: str, payload: Column, order: list[str]) -> DataFrame:
     """Adds digest, and written: whether this is the first asset of its content in its folder. Payloads are hashed where
     they lie; only digests and the order are grouped, with map-side combine, and joined back."""
-    rows = assets.withColumn("digest", F.sha2(payload, 256))
-    first = rows.groupBy(folder, "digest").agg(F.min(F.struct(*order)).alias("_first"))
-    return rows.join(first, [folder, "digest"]).withColumn("written", F.struct(*order) == F.col("_first")).drop("_first")
+    rows, own = assets.withColumn("digest", F.sha2(payload, 256)), unused(assets, "_first")
+    first = rows.groupBy(folder, "digest").agg(F.min(F.struct(*order)).alias(own))
+    return rows.join(first, [folder, "digest"]).withColumn("written", F.struct(*order) == F.col(own)).drop(own)

@@ -24,8 +24,8 @@ def last_of(rows: DataFrame, keys: list[str], order: list[str], descending: bool
     sends one row per task; the order's columns must not be null and tell rows apart, else any of the tied rows stays."""
     rest = [c for c in rows.columns if c not in keys and c not in order]
     whole = F.struct(*order, *rest)
-    pick = (F.max_by if descending else F.min_by)(whole, F.struct(*order))
-    return rows.groupBy(*keys).agg(pick.alias("_row")).select(*keys, "_row.*").select(*rows.columns)
+    pick, own = (F.max_by if descending else F.min_by)(whole, F.struct(*order)), unused(rows, "_row")
+    return rows.groupBy(*keys).agg(pick.alias(own)).select(*keys, f"{own}.*").select(*rows.columns)
 
 
 def current_revision(revisions: DataFrame, keys: list[str], context: Column, order: list[str], role: int = 1) -> DataFrame:
@@ -72,9 +72,10 @@ def islands(rows: DataFrame, keys: list[str], order: list[str], value: str) -> D
 
 def difference(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Keys that are missing on the right, unexpected there, or differ in value."""
-    a = left.select(*keys, F.col(value).alias("_a"), F.lit(True).alias("_in_a"))
-    b = right.select(*keys, F.col(value).alias("_b"), F.lit(True).alias("_in_b"))
-    kind = F.when(F.col("_in_b").isNull(), "missing").when(F.col("_in_a").isNull(), "unexpected").when(~F.col("_a").eqNullSafe(F.col("_b")), "differs")
+    own, other, in_own, in_other = (unused(left.select(*keys), x) for x in ("_a", "_b", "_in_a", "_in_b"))
+    a = left.select(*keys, F.col(value).alias(own), F.lit(True).alias(in_own))
+    b = right.select(*keys, F.col(value).alias(other), F.lit(True).alias(in_other))
+    kind = F.when(F.col(in_other).isNull(), "missing").when(F.col(in_own).isNull(), "unexpected").when(~F.col(own).eqNullSafe(F.col(other)), "differs")
     return a.join(b, keys, "full").select(*keys, kind.alias("kind")).filter("kind is not null")
 
 
