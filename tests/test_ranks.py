@@ -33,8 +33,7 @@ POOLS = {
 }
 
 
-@pytest.mark.parametrize("pool", POOLS)
-@pytest.mark.parametrize("most", [8, layout.GROUP_ROWS])
+@pytest.mark.parametrize(("pool", "most"), [*((pool, 8) for pool in POOLS), ("mixed", layout.GROUP_ROWS)])
 def test_claims_like_a_loop(spark, pool, most):
     rng = random.Random(pool)
     rows = [(k, rng.choice(["f", "F", None]), rng.choice(POOLS[pool]), k) for k in range(300)] + [(300, "f", None, 300)]
