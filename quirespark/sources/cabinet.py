@@ -68,11 +68,12 @@ def _name(data: bytes, at: int) -> tuple[bytes, int]:
     return data[at:end], end + 1
 
 
-def read_layout(data: bytes, limits: Limits = Limits()) -> Layout:
+def read_layout(data: bytes, limits: Limits = Limits(), total: int | None = None) -> Layout:
+    """The folders and entries that an archive's first bytes name. total: its length, where data is only its begin."""
     if len(data) < 36 or data[:4] != b"MSCF":
         raise FormatError("ONENOTE_CAB_SIGNATURE")
     (size,), (first,), (n_folders, n_entries, flags) = _unpack("I", data, 8), _unpack("I", data, 16), _unpack("HHH", data, 26)
-    if size > len(data) or not n_folders or n_entries > limits.entries:
+    if size > (len(data) if total is None else total) or not n_folders or n_entries > limits.entries:
         raise FormatError("ONENOTE_CAB_HEADER")
     at, folder_extra, block_extra = 36, 0, 0
     if flags & 4:
@@ -98,7 +99,7 @@ def checksum(data: bytes) -> int:
     return reduce(xor, struct.unpack_from(f"<{whole}I", data), 0) ^ int.from_bytes(data[4 * whole :], "big")
 
 
-def _folder(data: bytes, folder: tuple[int, int, int], reserve: int, room: int, needed: int) -> bytes:
+def expanded_folder(data: bytes, folder: tuple[int, int, int], reserve: int, room: int, needed: int) -> bytes:
     at, blocks, method = folder
     parts, total = [], 0
     for _ in range(blocks):
@@ -134,7 +135,7 @@ def extract(data: bytes, wanted: set[str] | None = None, limits: Limits = Limits
         needed[e.folder] = max(needed.get(e.folder, 0), e.offset + e.length)
     expanded, room = {}, limits.expanded_bytes
     for k in sorted(k for k, n in needed.items() if n):
-        expanded[k] = _folder(data, layout.folders[k], layout.reserve, room, needed[k])
+        expanded[k] = expanded_folder(data, layout.folders[k], layout.reserve, room, needed[k])
         room -= len(expanded[k])
     taken = 0
     for e in chosen:

@@ -200,7 +200,7 @@ def test_folder_in_an_archive():
     data = sample(50_000, 9)
     blocks = packed(data)
     stream = b"".join(struct.pack("<IHH", 0, len(p), n) + p for p, n in blocks)
-    assert cabinet._folder(stream, (0, len(blocks), 3 | 15 << 8), 0, 1 << 20, len(data)) == data
+    assert cabinet.expanded_folder(stream, (0, len(blocks), 3 | 15 << 8), 0, 1 << 20, len(data)) == data
 
 
 def test_directory_beyond_the_tables_of_the_header():
