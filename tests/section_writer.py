@@ -107,6 +107,7 @@ def desktop(spaces, payloads=(), revisions=None, extra=()):
     entries = b"".join(struct.pack("<II", *c) for c in out.counts)
     log = out.put(entries + struct.pack("<II", 1, zlib.crc32(entries)) + struct.pack("<QI", *revision_store.NIL))
     out.data[:16], out.data[48:64] = KINDS["section"], STORES["revision-store"]
+    struct.pack_into("<4I", out.data, 64, *[revision_store.VERSIONS["section"]] * 4)
     struct.pack_into("<I", out.data, 96, 1)
     out.data[160:172], out.data[172:184] = log, root
     struct.pack_into("<Q", out.data, 196, len(out.data))
@@ -161,4 +162,4 @@ def packaged(spaces, payloads=(), files=None, extra=b""):
     head = [element("index", p.INDEX, cells), element("storage", p.STORAGE, [framed(p.SCHEMA_ID, guid("schema").bytes_le)])]
     out = bytearray(sync_package.START)
     out[:16], out[48:64] = KINDS["section"], STORES["file-synchronization-package"]
-    return bytes(out) + framed(0x7A, guid("packaging").bytes_le, [framed(p.PACKAGE, b"\0", [*head, *elements])]) + extra + bytes(5)
+    return bytes(out) + framed(revision_store.PACKAGING, sync_id("index", 1) + uuid.UUID(next(iter(revision_store.CELL_SCHEMAS))).bytes_le, [framed(p.PACKAGE, b"\0", [*head, *elements])]) + extra + bytes(5)
