@@ -129,7 +129,7 @@ def test_notes_of_both_encodings(spark, desktop):
         data = W.desktop(made, [("picture", picture)])
     else:
         data = W.packaged(made, [("blob", picture)], {(name, 23): "blob" for name in PAGES})
-    done = C.convert(inputs(spark, [("x/one.one", data), ("x/bad.one", data[:100])]))
+    done = C.convert(inputs(spark, [("x/one.one", data), ("x/bad.one", data[:120])]))
     assert [(r.name, r.kind, r.code) for r in done.errors.collect()] == [("bad", "malformed", "ONENOTE_TRUNCATED_STRUCTURE" if desktop else "ONENOTE_FSSHTTPB_RANGE")]
     notes = {r.path: bytes(r.content).decode() for r in done.notes.collect()}
     files = {r.path: bytes(r.content) for r in done.attachments.collect()}
