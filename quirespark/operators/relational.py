@@ -35,19 +35,25 @@ def current_revision(revisions: DataFrame, keys: list[str], context: Column, ord
 
 def chain_depth(links: DataFrame, node: str, parent: str) -> DataFrame:
     """(node, root, depth) of every node by pointer doubling: log2 of the longest chain in joins. Nodes of a cycle have
-    no root and are left out; a parent that is no node ends its chain."""
-    ids = links.select(F.col(node).alias("k"))
-    start = links.join(ids, links[parent] == ids["k"], "left")
-    rows = start.select(F.col(node).alias("node"), F.col("k").alias("up"), F.col("k").isNotNull().cast("int").alias("depth"), F.when(F.col("k").isNull(), F.col(node)).alias("root"))
+    no root and are left out; a parent that is no node ends its chain. Rows whose chain has ended are asked for but never
+    ask: they have no parent to be dealt by, and would all meet in one task."""
+    links = written(links.select(F.col(node).alias("node"), F.col(parent).alias("parent")), "links")
+    ids = links.select(F.col("node").alias("k"))
+    ended = lambda rows: rows.filter("up is null").select("node", "root", "depth")
+    done = links.filter("parent is null").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"))
+    start = links.filter("parent is not null").join(ids, F.col("parent") == F.col("k"), "left")
+    rows = start.select("node", F.col("k").alias("up"), F.col("k").isNotNull().cast("int").alias("depth"), F.when(F.col("k").isNull(), F.col("node")).alias("root"))
     before = -1
     while True:
         rows = written(rows, "chains")  # each step reads its rows twice, and its plan stays small
-        left = rows.filter("up is not null").count()
+        done, rows = done.unionByName(ended(rows)), rows.filter("up is not null").select("node", "up", "depth")
+        left = rows.count()
         if left in (0, before):
-            return rows.filter("up is null").select("node", "root", "depth")
+            return done
         before = left
-        at = rows.select(F.col("node").alias("j"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("root").alias("top"))
-        rows = rows.join(at, rows["up"] == at["j"], "left").select("node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("root", "top").alias("root"))
+        known = done.select("node", F.lit(None).cast(rows.schema["up"].dataType).alias("up"), "depth", "root").unionByName(rows.withColumn("root", F.lit(None).cast(done.schema["root"].dataType)))
+        at = known.select(F.col("node").alias("j"), F.col("up").alias("next"), F.col("depth").alias("more"), "root")
+        rows = rows.join(at, F.col("up") == F.col("j")).select("node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), "root")
 
 
 def latest_known(rows: DataFrame, keys: list[str], order: list[str], value: str, default) -> Column:

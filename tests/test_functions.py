@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quirespark import scratch
 from quirespark.functions import names, text
 from quirespark.operators import ink, layout, relational
 
@@ -63,6 +64,31 @@ def test_chain_and_cycle(spark):
     assert got == {**{k: (0, k) for k in range(150)}, 600: (600, 0)}
 
 
+def test_ended_chains_do_not_meet_in_one_task(spark, monkeypatch):
+    """Without broadcasts, no task of a round writes most of the rows, though most chains have ended."""
+    largest = []
+
+    def counted(rows, name):
+        if name == "chains":
+            sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+            largest.append(max(sizes, default=0))
+        return scratch.written(rows, name)
+
+    monkeypatch.setattr(relational, "written", counted)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    links = spark.range(4000).select("id", F.when(F.col("id") % 4 != 0, F.col("id") - 1).alias("up"))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = relational.chain_depth(links, "id", "up").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r.node, r.root, r.depth) for r in got} == {(k, k - k % 4, k % 4) for k in range(4000)} and len(got) == 4000
+    assert max(largest) < 1500
+
+
 def test_ink(spark):
     numbers = [0, -1, 1, 63, -64, 5000, -(1 << 40)]
     assert ink.signed_varints(ink.encoded_varints(numbers)) == numbers
