@@ -23,7 +23,7 @@ CACHED_TITLE, PAGE_TITLE, LEVEL, CREATED, MODIFIED, MODIFIED_32, CONFLICT, DELET
 
 def value(properties: Column, prop: int) -> Column:
     """The last of an object's own properties that carries an id, as a struct; null where none does."""
-    return F.try_element_at(F.filter(properties, lambda p: (p["path"] == "") & (p["id"] == F.lit(prop & 0x7FFFFFFF))), F.lit(-1))
+    return F.try_element_at(F.filter(properties, lambda p: (p["id"] == F.lit(prop & 0x7FFFFFFF)) & (p["path"] == "")), F.lit(-1))
 
 
 def last_value(rows: DataFrame, keys: list[str], prop: str, order: str) -> DataFrame:
